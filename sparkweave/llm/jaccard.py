@@ -107,8 +107,8 @@ def fold(op, values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """Cells of a sketch: the power of two from n, 64 at least."""
-    return np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    """Cells of a sketch: the power of two from 4n, 64 at least, so that few differing tokens share a cell."""
+    return np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
 
 
 def sketches(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
@@ -282,7 +282,7 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table([pa.concat_arrays([pa.array(pair[:, 0]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(m, pa.int64())]), pa.array([None] * n + list(lists.values()), pa.list_(pa.int64()))], schema=_GROUPS)
 
 
-def _near(t: float):
+def _near(t: float):  # a, b, sizes and sketches in the order of _sketched
     """Drops pairs whose sizes or sketches show that they are too far apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,34 +372,40 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
     packed = own.select("text").mapInArrow(_keys(width, t, size), "bucket int, prints binary, runs binary, keys binary")
     found = stored(packed.groupBy("bucket").applyInArrow(_groups, "a long, b long, members array<long>"), "keys")
 
-    def side(name: str) -> DataFrame:
-        return reps.select(F.col("f1").alias(name), F.col("rep").alias(f"r{name}"), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    def of(name: str) -> DataFrame:
+        return reps.select(F.col("f1").alias(name), F.col("rep").alias(f"r{name}"))
 
-    pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    links = _verified(own, reps, pairs.select(F.least("ra", "rb"), F.greatest("ra", "rb"), "na", "sa", "nb", "sb").where("ra <> rb"), t, width)
+    pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    pairs = pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    links = _verified(own, reps, _sketched(pairs, reps), t, width)
 
-    # the rest of the larger groups: members that no link has brought together yet
+    # the rest of the larger groups: members that no link has brought together yet, pair by pair in blocks
     now = components(links)
     groups = found.where("members IS NOT NULL").select(F.xxhash64("members").alias("g"), F.size("members").alias("size"), F.explode("members").alias("f1"))
     seats = groups.join(reps.select("f1", "rep"), "f1").join(now, F.col("rep") == F.col("node"), "left")
-    seats = stored(seats.select("g", "size", "f1", "rep", F.coalesce("component", "rep").alias("comp")).distinct(), "seats")
-    mixed = seats.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    open_ = seats.join(mixed, "g")
-    if open_.limit(1).count():
-        count = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.hash("rep"), count)
-        open_ = open_.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), count - 1)))
-        open_ = open_.select("g", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "comp", "f1")
-        open_ = open_.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch")
-        more = open_.groupBy("g", "x", "y").applyInPandas(_blocks(t), "a long, b long").distinct()
-        links = links.union(_verified(own, reps, more, t, width, near=False))
-        now = components(links)
+    seats = stored(seats.select("g", "size", "rep", F.coalesce("component", "rep").alias("comp")).distinct(), "seats")
+    apart = seats.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    seats = seats.join(apart, "g")
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    seats = seats.withColumn("x", F.pmod(F.hash("rep"), count)).withColumn("y", F.explode(F.sequence(F.lit(0), count - 1)))
+    seats = seats.select("g", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "comp")
+    seats = seats.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch")
+    more = seats.groupBy("g", "x", "y").applyInPandas(_blocks(t), "a long, b long").distinct()
+    links = links.union(_verified(own, reps, more, t, width, near=False))
+    now = components(links)
     label = reps.join(now, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(label, ["f1", "f2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")), links
 
 
+def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs with the sizes and sketches of both."""
+    for x in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    return pairs.select("a", "b", "na", "sa", "nb", "sb")
+
+
 def _verified(own: DataFrame, reps: DataFrame, pairs: DataFrame, t: float, width: int, near: bool = True) -> DataFrame:
     """Links among ``pairs``: the sketches reject first, then the texts meet in rooms, a host and some of its guests each."""
     spark = own.sparkSession
