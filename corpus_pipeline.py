@@ -1,8 +1,64 @@
-"""Corpus pipeline (stages follow)."""
+"""From raw documents to token ids: language, toxicity, near duplicates, mixture, encoding.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a DataFrame; all but
+the last return the columns of ``documents``. ``run`` writes each stage's result as Parquet into
+the shared folder and reads it for the next one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkweave.llm import jaccard, langid, mixing, sentencepiece_bpe, toxicity
+from sparkweave.llm.common import read, stored
+
+#: Shares of words that the mixture aims at.
+TARGETS = {"high": 0.9, "low": 0.1}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text, no letter) go."""
+    model = langid.train(docs)
+    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are rather toxic than not go."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least doc_id; rows without a doc_id stay."""
+    classes, _ = jaccard.jaccard_join(docs)
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the fitted rates give; its columns stay as they are."""
+    out = mixing.mixed(docs, mixing.domains_of(read(spark, sf_dir, "labels")), TARGETS)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return out.where("copies > 0").withColumn("copy", copies).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids and how many there are."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [("language_id", language_id), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mixture), ("sentencepiece", encode)]
+#: The stages fit models and encode, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

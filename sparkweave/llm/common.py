@@ -118,3 +118,25 @@ class Memo:
         if missing:
             self.new.update(zip(missing, encode(missing), strict=True))
         return self.new
+
+
+def appended(df: DataFrame, source: str, fields: list, make) -> DataFrame:
+    """``df`` with more columns, made from the string column ``source`` in steps of bounded size.
+
+    ``make(bytes, offsets)`` gives an array for each of ``fields`` (StructFields). Columns of ``df``
+    that have the name of a new one are replaced.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    df = df.drop(*(f.name for f in fields))
+    at, schema = df.columns.index(source), T.StructType([*df.schema.fields, *fields])
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, end, data, off in steps(b.column(at)):
+                new = [pa.array(x, k) for x, k in zip(make(data, off), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, *new], names=names)
+
+    return df.mapInArrow(run, schema)
