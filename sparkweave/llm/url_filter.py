@@ -74,7 +74,7 @@ def templates(urls: DataFrame) -> DataFrame:
         apart = (F.col("cn") >= SUPPORT * F.col("pn")) & (F.col("cl") >= LABELS) & (F.abs(own - mean) > 2 * chance)
         label = F.when((F.col("seg") == "") | apart, F.col("seg")).otherwise("*")
         both = both.select("node", "seg", F.concat_ws("/", "node", label).alias("next"))
-        rows = rows.join(both, ["node", "seg"]).select("host", "segs", "n", "l", "g", F.col("next").alias("node"))
+        rows = stored(rows.join(both, ["node", "seg"]).select("host", "segs", "n", "l", "g", F.col("next").alias("node")), "tree")
     leaf = rows.groupBy("node").agg(((F.sum("g") + WEIGHT * prior) / (F.sum("l") + WEIGHT)).alias("purity"))
     return rows.join(leaf, "node").select("host", "segs", F.regexp_replace("node", "/+$", "").alias("template"), "purity")
 
