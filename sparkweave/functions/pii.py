@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import PandasUDFType
 
 # Entity names, their patterns and scores.
 PATTERNS = {
@@ -51,12 +53,12 @@ def pseudonyms(text: str | None) -> tuple[str, dict[str, str]]:
     return "".join(out) + text[at:], undo
 
 
-@F.pandas_udf("text string, map map<string,string>")
-def _pseudonymise(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _pseudonymised(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
         yield pd.DataFrame([pseudonyms(t) for t in s], columns=["text", "map"])
 
 
 def pseudonymise(c: Column) -> Column:
     """struct<text, map>: the text with numbered tokens, and what each token stands for."""
-    return _pseudonymise(c)
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("map", T.MapType(T.StringType(), T.StringType()))])
+    return F.pandas_udf(_pseudonymised, kind, PandasUDFType.SCALAR_ITER)(c)

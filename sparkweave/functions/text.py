@@ -34,8 +34,9 @@ def sanitise(c: Column, limit: int = 500) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """Model output without its thinking and its code fence."""
-    bare = F.trim(F.regexp_replace(c, "(?s)<think>.*?</think>", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "^```[a-zA-Z]*\\s*", ""), "\\s*```$", ""))
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = trim(F.regexp_replace(c, "(?s)<think>.*?</think>", ""))
+    return trim(F.regexp_replace(F.regexp_replace(bare, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
 # The redaction patterns of log lines, in the order in which they apply.

@@ -19,10 +19,12 @@ def rule_entries(files: DataFrame, key: str) -> DataFrame:
 
 def statutory(words: DataFrame, word: str = "word", terms: dict[str, tuple[str, ...]] = STATUTORY_TERMS) -> DataFrame:
     """``words`` with statutory_rule and statutory_term: the first term, in list order, that stands in the word."""
-    hit = F.lit(None).cast("struct<rule:string,term:string>")
-    for rule, term in [(r, t) for r, ts in terms.items() for t in ts][::-1]:
-        hit = F.when(has_word(F.col(word), term), F.struct(F.lit(rule).alias("rule"), F.lit(term).alias("term"))).otherwise(hit)
-    return words.withColumn("_hit", hit).withColumn("statutory_rule", F.col("_hit.rule")).withColumn("statutory_term", F.col("_hit.term")).drop("_hit")
+    listed = [(r, t) for r, ts in terms.items() for t in ts]
+    place = F.when(F.lit(False), -1)
+    for i, (_, term) in enumerate(listed):
+        place = place.when(has_word(F.col(word), term), i)
+    rule, name = (F.array(*(F.lit(x[i]) for x in listed)) for i in (0, 1))
+    return words.withColumn("_place", place).withColumn("statutory_rule", F.get(rule, F.col("_place"))).withColumn("statutory_term", F.get(name, F.col("_place"))).drop("_place")
 
 
 def banned(words: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +79,6 @@ def valid_policy(key: str, days: int) -> None:
 
 def redact_json(c: Column, term: str, mark: str = "<REDACTED>") -> Column:
     """Replaces a term in all string values of a JSON text; keys stay."""
-    import json
-
-    import pandas as pd
-
     def walk(v):
         if isinstance(v, str):
             return v.replace(term, mark)
@@ -87,8 +86,7 @@ def redact_json(c: Column, term: str, mark: str = "<REDACTED>") -> Column:
             return [walk(x) for x in v]
         return {k: walk(x) for k, x in v.items()} if isinstance(v, dict) else v
 
-    @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False))
 
-    return run(c)
+    return F.pandas_udf(run, "string")(c)

@@ -179,11 +179,12 @@ def _re(term: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
 
 
-_HITS = ", ".join(f"({i}, '{r}', '{_quoted(t)}', '(?i)(^|[^\\pL\\pN_]){_quoted(_re(t))}($|[^\\pL\\pN_])')" for i, (r, t) in enumerate(_RULES))
-_STATUTORY = f"lists(o, rule, term, pat) AS (VALUES {_HITS}), hits AS (SELECT w.id, min(o) AS o FROM terms w JOIN lists ON regexp_matches(w.word, pat) GROUP BY w.id), statutory AS (SELECT w.*, l.rule AS statutory_rule, l.term AS statutory_term FROM terms w LEFT JOIN hits h ON h.id = w.id LEFT JOIN lists l ON l.o = h.o)"
-_FILES = {c: '{"banned": ["' + x + '", {"word": "BLUE", "rule_id": "colour"}, 7, {"word": "green"}], "safe": [{"word": "' + y + '"}, "hot red"]}' for c, x, y in (("DE", "red", "cold blue eco-friendly"), ("FR", "hot", "old green"), ("UK", "spac", "small red"))}
+_PLACE = "CASE " + " ".join(f"WHEN regexp_matches(word, '(?i)(^|[^\\pL\\pN_]){_quoted(_re(t))}($|[^\\pL\\pN_])') THEN {i}" for i, (_, t) in enumerate(_RULES)) + " END"
+_LISTS = ", ".join(f"({i}, '{r}', '{_quoted(t)}')" for i, (r, t) in enumerate(_RULES))
+_STATUTORY = f"lists(o, rule, term) AS (VALUES {_LISTS}), placed AS (SELECT *, {_PLACE} AS place FROM terms), statutory AS (SELECT w.id, w.word, w.country, l.rule AS statutory_rule, l.term AS statutory_term FROM placed w LEFT JOIN lists l ON l.o = w.place)"
+_FILES = {c: '{"banned": ["' + x + '", {"word": "BLUE", "rule_id": "colour"}, 7, {"word": "green"}], "safe": [{"word": "' + y + '"}, "hot red"]}' for c, x, y in (("DE", "red", "small ring eco-friendly"), ("FR", "hot", "red widget Net Zero set"), ("UK", "spac", "hot gear sustainables"))}
 _BANNED = "entries(country, ord, term, rule) AS (VALUES " + ", ".join(f"('{c}', {o}, '{t}', '{r}')" for c, x in (("DE", "red"), ("FR", "hot"), ("UK", "spac")) for o, t, r in ((0, x, "manual_banned"), (1, "BLUE", "colour"), (3, "green", "manual_banned"))) + f"), banned AS (SELECT w.id, arg_min(rule, ord) AS banned_rule FROM terms w JOIN entries e ON e.country = w.country AND contains({fold('w.word')}, {fold('e.term')}) GROUP BY w.id)"
-_SAFE = "safe(country, word) AS (VALUES ('DE', 'cold blue eco-friendly'), ('DE', 'hot red'), ('FR', 'old green'), ('FR', 'hot red'), ('UK', 'small red'), ('UK', 'hot red'))"
+_SAFE = "safe(country, word) AS (VALUES ('DE', 'small ring eco-friendly'), ('DE', 'hot red'), ('FR', 'red widget Net Zero set'), ('FR', 'hot red'), ('UK', 'hot gear sustainables'), ('UK', 'hot red'))"
 _VERDICT = f"{_STATUTORY}, {_BANNED}, {_SAFE}, verdicts AS (SELECT s.id, s.word, s.country, CASE WHEN f.word IS NOT NULL THEN true WHEN coalesce(statutory_rule, banned_rule) IS NOT NULL THEN false END AS verdict, CASE WHEN f.word IS NULL THEN coalesce(statutory_rule, banned_rule) END AS rule_id FROM statutory s LEFT JOIN banned b ON b.id = s.id LEFT JOIN safe f ON f.country = s.country AND f.word = s.word)"
 
 
@@ -285,10 +286,10 @@ def any_flag(spark, sf_dir):
     return _qid(_reranked(spark, sf_dir)).groupBy("qid", "country").agg(F.coalesce(F.bool_or("ai_generated"), F.lit(False)).alias("ai_assisted"), F.count("*").alias("n"))
 
 
-@operator("q29_candidate_text_block", ("anchors", "tags"), f"WITH {_ASKED} SELECT qid, country, string_agg('- ' || word || coalesce(' (类目: ' || category || ')', '') || ' (相似度: ' || printf('%.4f', similarity) || ')', chr(10) ORDER BY ord) AS block FROM ranked WHERE ord <= 8 GROUP BY qid, country")
+@operator("q29_candidate_text_block", ("anchors", "tags"), f"WITH {_ASKED} SELECT qid, country, string_agg('- ' || word || coalesce(' (类目: ' || category || ')', '') || ' (相似度: ' || printf('%.4f', floor(similarity * 10000 + 0.5) / 10000) || ')', chr(10) ORDER BY ord) AS block FROM ranked WHERE ord <= 8 GROUP BY qid, country")
 def text_block(spark, sf_dir):
     c = _qid(search.recall(view(spark, sf_dir, "tags"), _asked(spark, sf_dir), 8))
-    line = F.concat(F.lit("- "), "word", F.coalesce(F.concat(F.lit(" (类目: "), "category", F.lit(")")), F.lit("")), F.format_string(" (相似度: %.4f)", "similarity"))
+    line = F.concat(F.lit("- "), "word", F.coalesce(F.concat(F.lit(" (类目: "), "category", F.lit(")")), F.lit("")), F.format_string(" (相似度: %.4f)", F.floor(F.col("similarity") * 10000 + 0.5) / 10000))
     lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
     return c.groupBy("qid", "country").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
 
