@@ -329,10 +329,14 @@ def _verify(width: int, t: float):
 
 
 def _blocks(t: float):
-    """Of one block pair of a key group: pairs from different components that the sketches leave open."""
+    """Of one block pair of a key group: pairs from different components that the sketches leave open.
+
+    A pair that sits together in several groups is proposed by the first of them only.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values("n_shingles", kind="stable")
+        g, groups = pdf["g"].iloc[0], [np.asarray(x) for x in pdf["groups"]]
         n, comp, rep = (pdf[c].to_numpy() for c in ("n_shingles", "comp", "rep"))
         sk, out = pdf["sketch"].tolist(), []
         lens = np.array([len(x) for x in sk])
@@ -345,6 +349,11 @@ def _blocks(t: float):
                     if use.any():
                         far = hamming_to(sk[i], cuts[w][use])
                         hit = rows[use][far <= np.floor((n[rows[use]] + n[i]) * (1 - t) / (1 + t) + 1e-9)]
+                        if len(hit):
+                            others = np.concatenate([groups[j] for j in hit])
+                            of = np.repeat(np.arange(len(hit)), [len(groups[j]) for j in hit])
+                            both = np.isin(others, groups[i][groups[i] < g])
+                            hit = np.delete(hit, np.unique(of[both]))
                         out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in hit]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -385,11 +394,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
     seats = groups.join(reps.select("f1", "rep"), "f1").join(now, F.col("rep") == F.col("node"), "left")
     seats = stored(seats.select("g", "size", "rep", F.coalesce("component", "rep").alias("comp")).distinct(), "seats")
     apart = seats.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    seats = seats.join(apart, "g")
+    seats = stored(seats.join(apart, "g"), "apart")
+    member = seats.groupBy("rep").agg(F.collect_list("g").alias("groups"))  # at most as many as a set has cells
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     seats = seats.withColumn("x", F.pmod(F.hash("rep"), count)).withColumn("y", F.explode(F.sequence(F.lit(0), count - 1)))
     seats = seats.select("g", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "comp")
-    seats = seats.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch")
+    seats = seats.join(reps.select("rep", "n_shingles", "sketch").join(member, "rep"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch", "groups")
     more = seats.groupBy("g", "x", "y").applyInPandas(_blocks(t), "a long, b long").distinct()
     links = links.union(_verified(own, reps, more, t, width, near=False))
     now = components(links)
