@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, batch, mix, partitions, ragged, steps, stored
@@ -331,12 +331,13 @@ def _verify(width: int, t: float):
 def _blocks(t: float):
     """Of one block pair of a key group: pairs from different components that the sketches leave open.
 
-    A pair that sits together in several groups is proposed by the first of them only.
+    A pair that sits together in several groups is proposed by the first of them only; ``groups``
+    has, for each member, its groups before this one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values("n_shingles", kind="stable")
-        g, groups = pdf["g"].iloc[0], [np.asarray(x) for x in pdf["groups"]]
+        groups = [np.asarray(x) for x in pdf["groups"]]
         n, comp, rep = (pdf[c].to_numpy() for c in ("n_shingles", "comp", "rep"))
         sk, out = pdf["sketch"].tolist(), []
         lens = np.array([len(x) for x in sk])
@@ -352,7 +353,7 @@ def _blocks(t: float):
                         if len(hit):
                             others = np.concatenate([groups[j] for j in hit])
                             of = np.repeat(np.arange(len(hit)), [len(groups[j]) for j in hit])
-                            both = np.isin(others, groups[i][groups[i] < g])
+                            both = np.isin(others, groups[i])
                             hit = np.delete(hit, np.unique(of[both]))
                         out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in hit]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -394,12 +395,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
     seats = groups.join(reps.select("f1", "rep"), "f1").join(now, F.col("rep") == F.col("node"), "left")
     seats = stored(seats.select("g", "size", "rep", F.coalesce("component", "rep").alias("comp")).distinct(), "seats")
     apart = seats.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    seats = stored(seats.join(apart, "g"), "apart")
+    seats = stored(_numbered(seats, apart), "apart")
     member = seats.groupBy("rep").agg(F.collect_list("g").alias("groups"))  # at most as many as a set has cells
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     seats = seats.withColumn("x", F.pmod(F.hash("rep"), count)).withColumn("y", F.explode(F.sequence(F.lit(0), count - 1)))
     seats = seats.select("g", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "comp")
-    seats = seats.join(reps.select("rep", "n_shingles", "sketch").join(member, "rep"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch", "groups")
+    seats = seats.join(reps.select("rep", "n_shingles", "sketch").join(member, "rep"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch", F.filter("groups", lambda k: k < F.col("g")).alias("groups"))
     more = seats.groupBy("g", "x", "y").applyInPandas(_blocks(t), "a long, b long").distinct()
     links = links.union(_verified(own, reps, more, t, width, near=False))
     now = components(links)
@@ -409,6 +410,16 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
     return out.select("doc_id", "n_shingles", whole.alias("component_id")), links
 
 
+def _numbered(seats: DataFrame, apart: DataFrame) -> DataFrame:
+    """``seats`` of the groups in ``apart``, with small numbers for the groups' hashes: members carry lists of them."""
+    dealt = partitions(seats.sparkSession)
+    place = F.row_number().over(Window.partitionBy("p").orderBy("g")).cast("long")
+    names = apart.withColumn("p", F.pmod("g", F.lit(dealt))).select("g", (place * dealt + F.col("p")).alias("k"))
+    names = stored(names, "groups")
+    kind = "int" if (names.agg(F.max("k")).first()[0] or 0) < 2**31 else "long"
+    return seats.join(names, "g").select(F.col("k").cast(kind).alias("g"), "size", "rep", "comp")
+
+
 def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs with the sizes and sketches of both."""
     for x in "ab":
