@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FIRST_QUOTA, PER_COUNTRY, SCORE_FLOOR, SCORE_RANKS, TOP_PER_COUNTRY, TOTAL_CAP
@@ -51,3 +51,16 @@ def capped(merged: DataFrame, countries: tuple[str, ...], cap: int = TOTAL_CAP)
 def with_fallback(dynamic: DataFrame, fixed: DataFrame) -> DataFrame:
     """Dynamic seeds; fixed ones for countries without any."""
     return dynamic.unionByName(fixed.join(dynamic.select("country").distinct(), "country", "left_anti"))
+
+
+def positional_lookup(words: Column, clean: Column, pieces: Column, answers: Column) -> Column:
+    """A batch's translations as an array of (word, translation).
+
+    Words, their cleaned and their masked forms belong together by position, up to the shortest of
+    the three. ``answers`` (a map) is asked for the masked form, then the cleaned one, then the word.
+    Blank and missing translations are left out.
+    """
+    n = F.least(F.size(words), F.size(clean), F.size(pieces))
+    rows = F.slice(F.arrays_zip(words.alias("word"), clean.alias("clean"), pieces.alias("piece")), F.lit(1), n)
+    found = F.transform(rows, lambda x: F.struct(x["word"].alias("word"), strip(F.coalesce(*(F.try_element_at(answers, x[k]) for k in ("piece", "clean", "word")))).alias("translation")))
+    return F.filter(found, lambda x: x["translation"] != "")

@@ -412,6 +412,22 @@ def cache_merge(spark, sf_dir):
     return store.merged_cache(old, new, ["country", "word"], "v")
 
 
+@operator("q56_positional_lookup", ("tags",), "SELECT country, CAST(floor(id / 72) AS BIGINT) AS batch, concat(coalesce(word, ''), ' ', id, CASE WHEN id % 5 = 0 THEN chr(7) ELSE '' END) AS word, concat(CASE id % 4 WHEN 0 THEN 'p' WHEN 1 THEN 'c' ELSE 'o' END, id) AS translation FROM tags WHERE id % 4 <> 3")
+def positional_lookup(spark, sf_dir):
+    """Batches of up to 12 words of a country; by id, answers name the masked form, the cleaned one, the word itself, or are blank."""
+    at = F.col("id").cast("string")
+    word = F.concat(F.coalesce("word", F.lit("")), F.lit(" "), at, F.when(F.col("id") % 5 == 0, F.lit("\x07")).otherwise(""))
+    t = view(spark, sf_dir, "tags").select("country", "id", F.floor(F.col("id") / 72).alias("batch"), word.alias("word"), tx.sanitise(word).alias("clean"))
+    kind = F.col("id") % 4
+    t = t.withColumn("piece", F.when(kind == 0, F.concat(F.lit("<P"), at, F.lit(">"))).otherwise(F.col("clean")))
+    key = F.when(kind == 0, F.col("piece")).when(kind == 1, F.col("clean")).otherwise(F.col("word"))
+    says = F.when(kind == 3, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.when(kind == 0, "p").when(kind == 1, "c").otherwise("o"), at))
+    b = t.groupBy("country", "batch").agg(F.array_sort(F.collect_list(F.struct("id", "word", "clean", "piece", key.alias("key"), says.alias("value")))).alias("b"))
+    answers = F.map_from_arrays(F.col("b.key"), F.col("b.value"))
+    found = b.select("country", "batch", F.inline(collect.positional_lookup(F.col("b.word"), F.col("b.clean"), F.col("b.piece"), answers)))
+    return found.select("country", "batch", "word", "translation")
+
+
 both("q57_review_transition", ("tags",), "SELECT id, word, country, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN 'approved' WHEN compliance_status = '存疑' THEN 'rejected' ELSE 'unchanged' END AS transition, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN '可复用' WHEN compliance_status = '存疑' THEN '需拦截' ELSE compliance_status END AS status FROM tags")
 
 
