@@ -2,13 +2,13 @@
 
 For each language, a tree of byte contexts of 0 to 3 bytes with the counts of the bytes that
 follow. A byte that a context has seen costs -log2 n/(N+T); one that it hasn't costs the escape,
--log2 (T+dropped)/(N+T), and its cost in the context shorter by one byte, at last 8 bits. With
+-log2 (T+ended)/(N+T), and its cost in the context shorter by one byte, at last 8 bits. With
 frozen counts, a text's code length is the sum of its bytes' costs; the language with the
 shortest code wins (ties: the least name), and its posterior under equal priors is the score.
 
-All training texts are counted by Spark. The tree keeps the grams that make up at least
-``share`` of a language's bytes, so it has at most 1/share grams per order and language whatever
-the corpus's size, and what it drops counts for the escape. That bound is what is broadcast.
+All training texts are counted by Spark and the tree keeps every gram. It stays a table: the
+distinct grams of the texts to judge are joined to it, order by order, and texts meet their costs
+block by block, so neither the driver nor a worker holds it.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing was
 learned. Rows are judged one by one; training rows with null text or language are left out.
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, batch, crc_mod, steps, stored
+from .blocks import answered, blocked, wanted
+from .common import batch, crc_mod, steps, stored
 from .ngrams import Counter, Index, codes, counted, text_sums
 
 ORDER = 3
@@ -32,12 +33,16 @@ UNKNOWN = "und"
 _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
+def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return codes(data, off, ORDER + 1)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, Counter] = {}
     for b in batches:
         names = np.array(b.column(1).to_pylist(), object)
         for at, to, data, off in steps(b.column(0)):
-            g = codes(data, off, ORDER + 1)
+            g = _grams(data, off)
             of = np.repeat(names[at:to], np.diff(off))
             for name in set(names[at:to]):
                 sums.setdefault(name, Counter()).add(*counted(g[of == name]))
@@ -48,93 +53,76 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_COUNTS, [name] * len(part), part.astype(np.int64), n[i : i + 100_000])
 
 
+def _shorter(gram: str, k: int) -> Column:
+    """The last k bytes of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+
+def _by_language(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lang", value.cast("float")))).alias(name))
+
+
 class LanguageModel:
-    """Cost vectors (one bit count a language) of the kept grams, and escape vectors of their contexts."""
-
-    def __init__(self, langs: list[str], rows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
-        """rows: (order, number of the language) -> (grams, counts)."""
-        self.langs, size = langs, len(langs)
-        self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
-        for k in range(ORDER + 1):
-            own = [rows.get((k, i), (np.zeros(0, np.uint32), np.zeros(0, np.int64))) for i in range(size)]
-            grams = np.unique(np.concatenate([g for g, _ in own]).astype(np.uint32)) if size else np.zeros(0, np.uint32)
-            contexts = np.unique(grams >> np.uint32(8)) if k else np.zeros(1, np.uint32)
-            cost, escape = self._shorter(grams, k), np.zeros((len(contexts), size), np.float32)
-            of = np.searchsorted(contexts, grams >> np.uint32(8)) if k else np.zeros(len(grams), np.int64)
-            for i, (g, n) in enumerate(own):
-                if not len(g):
-                    continue
-                at = np.searchsorted(grams, g)
-                kept, kinds = (np.bincount(of[at], w, len(contexts)) for w in (n, None))
-                whole = kept.copy()
-                if k:  # what followed the context but was dropped, or nothing did
-                    short, count = rows[k - 1, i]
-                    j = np.minimum(np.searchsorted(short, contexts), len(short) - 1)
-                    whole = np.maximum(kept, np.where(short[j] == contexts, count[j], 0))
-                seen = kinds > 0
-                escape[seen, i] = -np.log2((kinds + whole - kept)[seen] / (whole + kinds)[seen])
-                cost[:, i] += escape[of, i]
-                cost[at, i] = -np.log2(n / (whole + kinds)[of[at]])
-            self.grams.append(Index(grams))
-            self.costs.append(cost.astype(np.float32))
-            self.contexts.append(Index(contexts))
-            self.escapes.append(escape)
-
-    def _shorter(self, grams: np.ndarray, k: int) -> np.ndarray:
-        """Costs of grams' last bytes in the context shorter than k bytes."""
-        if not k:
-            return np.full((len(grams), len(self.langs)), 8.0, np.float32)
-        return self._cost(grams & np.uint32((1 << 8 * k) - 1), k - 1)
-
-    def _cost(self, grams: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros((len(grams), len(self.langs)), np.float32)
-        at = self.grams[k].find(grams)
-        hit = at >= 0
-        out[hit] = self.costs[k][at[hit]]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            x = grams[miss]
-            c = self.contexts[k].find(x >> np.uint32(8)) if k else np.zeros(len(x), np.int32)
-            out[miss] = self._shorter(x, k) + np.where((c >= 0)[:, None], self.escapes[k][c], 0)
-        return out
-
-    def code_lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language."""
-        return text_sums(self._cost(codes(data, off, ORDER + 1), ORDER), off)
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", share: float = 1e-6) -> LanguageModel:
+    """The languages, costs by (k, gram) and escapes by (k, context), each as a map from language to bits."""
+
+    def __init__(self, langs: list[str], seen: DataFrame | None = None, escapes: DataFrame | None = None):
+        self.langs, self.seen, self.escapes = langs, seen, escapes
+
+    def costs(self, grams: DataFrame, k: int = ORDER) -> DataFrame:
+        """(gram, costs): bits of the last of k+1 bytes under each language, for distinct grams."""
+        rows = grams.withColumn("context", F.shiftright("gram", 8))
+        rows = rows.join(self.seen.where(F.col("k") == k).drop("k"), "gram", "left")
+        rows = rows.join(self.escapes.where(F.col("k") == k).drop("k"), "context", "left")
+        if k:
+            before = self.costs(grams.select(_shorter("gram", k).alias("gram")).distinct(), k - 1)
+            rows = rows.withColumn("shorter", _shorter("gram", k)).join(before.withColumnRenamed("gram", "shorter"), "shorter")
+        else:
+            rows = rows.withColumn("costs", F.array_repeat(F.lit(8.0), len(self.langs)))
+        own = F.zip_with(F.array(*map(F.lit, self.langs)), "costs", lambda x, short: F.coalesce(F.try_element_at("seen", x), short + F.coalesce(F.try_element_at("escapes", x), F.lit(0.0))))
+        return stored(rows.select("gram", F.transform(own, lambda x: x.cast("float")).alias("costs")), "costs")
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     own = labelled.select(F.col(text).cast("string"), F.col(lang).cast("string").alias("lang")).dropna()
     top = stored(own.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    cut = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(ORDER + 1))))
+    langs = sorted(r["lang"] for r in top.select("lang").distinct().collect())
+    if not langs:
+        return LanguageModel([])
+    cut = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _shorter("gram", k + 1).alias("gram")) for k in range(ORDER + 1))))
     orders = top.select("lang", "n", cut.alias("o")).groupBy("lang", "o.k", "o.gram").agg(F.sum("n").alias("n"))
-    total = {r["lang"]: r["n"] for r in top.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(total)
-    enough = F.create_map(*(x for name in langs for x in (F.lit(name), F.lit(float(share * total[name]))))) if langs else None
-    rows = {}
-    if langs:
-        kept = orders.where(F.col("n") >= enough[F.col("lang")]).toPandas()
-        kept["lang"] = kept["lang"].map({x: i for i, x in enumerate(langs)})
-        for (k, i), g in kept.sort_values("gram").groupby(["k", "lang"]):
-            rows[int(k), int(i)] = (g["gram"].to_numpy(np.int64).astype(np.uint32), g["n"].to_numpy(np.int64))
-    return LanguageModel(langs, rows)
+    orders = stored(orders.withColumn("context", F.shiftright("gram", 8)), "orders")
+    # what ends a text follows its context with nothing, which counts for the escape
+    short = orders.select("lang", (F.col("k") + 1).alias("k"), F.col("gram").alias("context"), F.col("n").alias("came"))
+    places = orders.groupBy("lang", "k", "context").agg(F.sum("n").alias("followed"), F.count("*").alias("kinds"))
+    places = places.join(short, ["lang", "k", "context"], "left").withColumn("whole", F.greatest("followed", F.coalesce("came", F.lit(0))))
+    places = stored(places.select("lang", "k", "context", "followed", "kinds", "whole"), "places")
+    both = orders.join(places, ["lang", "k", "context"])
+    seen = stored(_by_language(both, ["k", "gram"], -F.log2(F.col("n") / (F.col("whole") + F.col("kinds"))), "seen"), "seen")
+    missed = -F.log2((F.col("kinds") + F.col("whole") - F.col("followed")) / (F.col("whole") + F.col("kinds")))
+    return LanguageModel(langs, seen, stored(_by_language(places, ["k", "context"], missed, "escapes"), "escapes"))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(data: np.ndarray, off: np.ndarray):
-        m = shared.value
-        n = len(off) - 1
-        if not m.langs:
-            return np.full(n, UNKNOWN, object), np.zeros(n)
-        bits = m.code_lengths(data, off)
+    """``docs`` with lang_pred, score and bits, the code length a byte under lang_pred."""
+    langs, fields = model.langs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
+
+    def judge(data: np.ndarray, off: np.ndarray, index: Index, costs: np.ndarray):
+        at = index.find(_grams(data, off))
+        bits = text_sums(costs[at], off) if len(at) else np.zeros((len(off) - 1, len(langs)))
         best = bits.argmin(axis=1)
         odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
-        return np.array(m.langs, object)[best], 1 / odds.sum(axis=1)
+        return np.array(langs, object)[best], 1 / odds.sum(axis=1), bits.min(axis=1) / np.maximum(np.diff(off), 1)
 
-    out = appended(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], judge)
+    if langs:
+        docs = docs.drop(*(f.name for f in fields))
+        blocks = blocked(docs, text)
+        grams = stored(wanted(blocks, text, _grams), "wanted")
+        costs = model.costs(grams.select("gram").distinct())
+        # the table grows with the corpus, so the join shuffles at every size
+        answers = grams.join(costs.hint("merge"), "gram").select("_block", "gram", F.col("costs").alias("value"))
+        out = answered(docs, blocks, answers, text, fields, judge)
+    else:
+        out = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits": F.lit(0.0)})
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_pred": F.when(letters, F.col("lang_pred")).otherwise(UNKNOWN), "score": F.when(letters, F.col("score")).otherwise(0.0)})
 

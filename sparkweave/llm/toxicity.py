@@ -10,8 +10,9 @@ expressions visible in a long text. A logistic curve, fitted on labelled rows th
 left out, turns the two differences into a score.
 
 Counts cover all labelled rows of the training part but the tenth kept for the curve (of which at
-most ``calibration`` rows are used: a bounded sample). Kept are grams that are at least ``share``
-of a class's bytes, so at most 1/share per class; that bounds what is broadcast.
+most ``calibration`` rows are used: a bounded sample). All grams are kept: discounts, totals and
+continuation counts are aggregated by Spark, and texts are joined to the table block by block, so
+neither the driver nor a worker holds it.
 
 Null and empty texts score as a text without evidence. Labels that are null or of a null doc_id
 are ignored; a doc_id that is labelled more than once counts as toxic if any of its labels says
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import answered, blocked, wanted
 from .common import appended, batch, crc_mod, steps, stored
 from .ngrams import Counter, Index, codes, counted, text_sums
 
@@ -44,7 +46,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         toxic = b.column(1).to_numpy()
         for at, to, data, off in steps(b.column(0)):
-            g = codes(_LOWER[data], off, ORDER)
+            g = _grams(data, off)
             of = np.repeat(toxic[at:to], np.diff(off))
             for c in (0, 1):
                 sums[c].add(*counted(g[of == c]))
@@ -55,73 +57,94 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_COUNTS, np.full(len(part), c), part.astype(np.int64), n[i : i + 100_000])
 
 
-def _discount(n: np.ndarray) -> float:
-    one, two = (n == 1).sum(), (n == 2).sum()
-    return float(one / (one + 2 * two)) if one and two else 0.75
+def _discount(rows: DataFrame, n: str) -> float:
+    one, two = rows.agg(F.count_if(F.col(n) == 1), F.count_if(F.col(n) == 2)).first()
+    return min(one / (one + 2 * two), 0.95) if one and two else 0.75
 
 
-class _Level:
-    """Discounted probabilities of grams within their contexts, and what each context leaves over."""
+def _context(gram: str = "gram") -> Column:
+    return F.shiftright(gram, 8)
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, contexts: np.ndarray):
-        d = min(_discount(n), 0.95)
-        of = np.searchsorted(contexts, grams >> np.uint64(8))
-        total, kinds = np.bincount(of, n, len(contexts)), np.bincount(of[n > 0], minlength=len(contexts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.own = np.where(total[of] > 0, np.maximum(n - d, 0) / total[of], 0.0)
-            self.left = np.where(total > 0, d * kinds / total, 1.0)
-        self.of = of
 
-
-def _shared(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Interpolated Kneser-Ney probabilities of the grams' last bytes: counts at the top, continuation counts below."""
-    levels = [(grams, n)]
+def _shared(grams: DataFrame) -> DataFrame:
+    """(gram, p): interpolated Kneser-Ney probabilities of the grams' last bytes: counts at the top, continuation counts below."""
+    levels = [grams.select("gram", (F.col("t") + F.col("o")).alias("n"))]
     for k in range(ORDER - 1, 0, -1):
-        levels.append(counted(levels[-1][0] & np.uint64((1 << 8 * k) - 1)))
-    p = shorter = None
-    for k, (g, c) in enumerate(reversed(levels)):  # grams of k+1 bytes
-        level = _Level(g, c, np.unique(g >> np.uint64(8)))
-        base = p[np.searchsorted(shorter, g & np.uint64((1 << 8 * k) - 1))] if k else 1 / 256
-        p, shorter = level.own + level.left[level.of] * base, g
-    return p
+        shorter = levels[-1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram"))
+        levels.append(stored(shorter.groupBy("gram").agg(F.count("*").alias("n")), "level"))
+    p = None
+    for k, rows in enumerate(reversed(levels)):  # grams of k+1 bytes
+        d = _discount(rows, "n")
+        contexts = rows.groupBy(_context().alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        rows = rows.withColumn("context", _context()).join(contexts, "context")
+        base = F.lit(1 / 256)
+        if k:
+            rows, base = rows.withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(p, "shorter"), F.col("p")
+        rows = rows.select("gram", ((F.col("n") - d) / F.col("total") + d * F.col("kinds") / F.col("total") * base).alias("p"))
+        p = stored(rows, "level").withColumnRenamed("gram", "shorter")
+    return p.withColumnRenamed("shorter", "gram")
+
+
+def _ratios(grams: DataFrame) -> DataFrame:
+    """(context, missed, seen): log-likelihood differences (toxic less ordinary) of each context's bytes, and of all others after it."""
+    rows = grams.join(_shared(grams), "gram")
+    counts = [f(x).alias(name + x) for x in "to" for name, f in (("total_", F.sum), ("kinds_", lambda x: F.count_if(F.col(x) > 0)))]
+    each = F.struct(F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "t", "o", "p")
+    rows = rows.groupBy(_context().alias("context")).agg(*counts, F.collect_list(each).alias("bytes"))  # 256 at most
+    d = {x: _discount(grams, x) for x in "to"}
+    left = {x: F.when(F.col("total_" + x) > 0, d[x] * F.col("kinds_" + x) / F.col("total_" + x)).otherwise(1.0) for x in "to"}
+
+    def log_p(b: Column, x: str) -> Column:
+        own = F.when(F.col("total_" + x) > 0, F.greatest(b[x] - d[x], F.lit(0.0)) / F.col("total_" + x)).otherwise(0.0)
+        return F.log(own + left[x] * b["p"])
+
+    seen = F.transform("bytes", lambda b: F.struct(b["byte"], (log_p(b, "t") - log_p(b, "o")).cast("float")))
+    missed = F.log(F.greatest(left["t"], F.lit(1e-6))) - F.log(F.greatest(left["o"], F.lit(1e-6)))
+    return stored(rows.select("context", missed.cast("float").alias("missed"), F.map_from_entries(seen).alias("seen")), "ratios")
+
+
+def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return codes(_LOWER[data], off, ORDER)
+
+
+def _features(data: np.ndarray, off: np.ndarray, index: Index, ratios: np.ndarray) -> np.ndarray:
+    at = index.find(_grams(data, off))
+    llr = np.zeros(len(at), np.float32)
+    hit = at >= 0
+    llr[hit] = ratios[at[hit]]
+    size = np.diff(off)
+    whole = text_sums(llr, off) / np.maximum(size, 1)
+    # the best stretch: sums over WINDOW bytes, or the whole of a shorter text
+    run = np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))
+    pos = np.arange(len(data))
+    end = np.minimum(pos + WINDOW, np.repeat(off[1:], size))
+    best = np.zeros(len(size))
+    some = size > 0
+    if some.any():
+        best[some] = np.maximum.reduceat(run[end] - run[pos], off[:-1][some]) / WINDOW
+    return np.stack((whole, best, np.log1p(size)), axis=1)
 
 
 class ToxicityModel:
-    """Log-likelihood differences (toxic less ordinary) of grams and of contexts, and the curve."""
-
-    def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        self.grams, contexts = Index(grams), np.unique(grams >> np.uint64(8))
-        self.contexts = Index(contexts)
-        if len(grams):
-            p = _shared(grams, toxic + ordinary)
-            t, o = _Level(grams, toxic, contexts), _Level(grams, ordinary, contexts)
-            self.gram_llr = (np.log(t.own + t.left[t.of] * p) - np.log(o.own + o.left[o.of] * p)).astype(np.float32)
-            self.context_llr = (np.log(np.maximum(t.left, 1e-6)) - np.log(np.maximum(o.left, 1e-6))).astype(np.float32)
+    """The table of log-likelihood differences (None if nothing was learned), and the curve."""
+
+    def __init__(self, ratios: DataFrame | None):
+        self.ratios = ratios
         self.weights, self.mean, self.scale = np.zeros(1 + len(_FEATURES)), np.zeros(len(_FEATURES)), np.ones(len(_FEATURES))
         self.weights[0] = -np.inf
 
-    def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        g = codes(_LOWER[data], off, ORDER)
-        at = self.grams.find(g)
-        llr = np.zeros(len(g), np.float32)
-        hit = at >= 0
-        if hit.any():
-            llr[hit] = self.gram_llr[at[hit]]
-        miss = np.flatnonzero(~hit)
-        if len(miss) and len(self.contexts.keys):
-            c = self.contexts.find(g[miss] >> np.uint64(8))
-            llr[miss[c >= 0]] = self.context_llr[c[c >= 0]]
-        size = np.diff(off)
-        whole = text_sums(llr, off) / np.maximum(size, 1)
-        # the best stretch: sums over WINDOW bytes, or the whole of a shorter text
-        run = np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))
-        pos = np.arange(len(data))
-        end = np.minimum(pos + WINDOW, np.repeat(off[1:], size))
-        best = np.zeros(len(size))
-        some = size > 0
-        if some.any():
-            best[some] = np.maximum.reduceat(run[end] - run[pos], off[:-1][some]) / WINDOW
-        return np.stack((whole, best, np.log1p(size)), axis=1)
+    def features(self, docs: DataFrame, text: str) -> DataFrame:
+        """``docs`` with whole, window and size."""
+        fields = [T.StructField(x, T.DoubleType()) for x in _FEATURES]
+        if self.ratios is None:
+            return appended(docs, text, fields, lambda data, off: [np.zeros(len(off) - 1)] * len(fields))
+        docs = docs.drop(*_FEATURES)
+        blocks = blocked(docs, text)
+        grams = wanted(blocks, text, _grams)
+        value = F.coalesce(F.try_element_at("seen", F.col("gram").bitwiseAND(F.lit(255))), "missed")
+        # the table grows with the corpus, so the join shuffles at every size
+        answers = grams.withColumn("context", _context()).join(self.ratios.hint("merge"), "context").select("_block", "gram", value.alias("value"))
+        return answered(docs, blocks, answers, text, fields, lambda *x: list(_features(*x).T))
 
     def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
         """Ridge logistic regression by Newton steps."""
@@ -143,13 +166,17 @@ class ToxicityModel:
                 break
         self.weights = w
 
-    def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        z = (self.features(data, off) - self.mean) / self.scale if len(self.grams.keys) else np.zeros((len(off) - 1, len(_FEATURES)))
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -35, 35)))
+    def scores(self, docs: DataFrame, text: str) -> DataFrame:
+        """``docs`` with score."""
+        z = F.lit(float(self.weights[0]))
+        if self.ratios is not None:
+            for x, w, mean, scale in zip(_FEATURES, self.weights[1:], self.mean, self.scale, strict=True):
+                z = z + float(w) * (F.col(x) - float(mean)) / float(scale)
+        z = F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))
+        return self.features(docs, text).withColumn("score", 1 / (1 + F.exp(-z))).drop(*_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", share: float = 2e-7, calibration: int = 20_000) -> ToxicityModel:
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = 20_000) -> ToxicityModel:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
@@ -157,27 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # labels grow with the corpus, so the join shuffles at every size; only training rows reach it
     counts = own.join(known.where(~aside).hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_count, "toxic int, gram long, n long")
     t, o = (F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(x) for x, c in (("t", 1), ("o", 0)))
-    grams = counts.groupBy("gram").agg(t, o)
-    grams = stored(grams, "grams")
-    total = grams.agg(F.sum("t"), F.sum("o")).first()
-    kept = grams.where((F.col("t") > 0) & (F.col("t") >= share * (total[0] or 0)) | (F.col("o") > 0) & (F.col("o") >= share * (total[1] or 0)))
-    rows = kept.toPandas().sort_values("gram")
-    model = ToxicityModel(*(rows[c].to_numpy(np.int64).astype(k) for c, k in (("gram", np.uint64), ("t", np.int64), ("o", np.int64))))
-    shared = spark.sparkContext.broadcast(model)
+    grams = stored(counts.groupBy("gram").agg(t, o), "grams")
+    model = ToxicityModel(None if grams.isEmpty() else _ratios(grams))
     sample = known.where(aside).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(calibration)
     held = own.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    fields = [T.StructField(x, T.DoubleType()) for x in _FEATURES]
-    felt = appended(held, "text", fields, lambda data, off: list(shared.value.features(data, off).T)) if len(rows) else held.limit(0).select("toxic", *(F.lit(0.0).alias(x) for x in _FEATURES))
-    seen = felt.select("toxic", *_FEATURES).toPandas()
+    seen = model.features(held if model.ratios is not None else held.limit(0), "text").select("toxic", *_FEATURES).toPandas()
     model.fit_curve(seen[list(_FEATURES)].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = appended(docs, text, [T.StructField("score", T.DoubleType())], lambda data, off: [shared.value.scores(data, off)])
-    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return model.scores(docs.drop("score"), text).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -142,6 +142,21 @@ def test_toxicity(spark):
     assert [r.score for r in none] == pytest.approx([0] * 5, abs=1e-9)
 
 
+def test_rare_grams_count_in_large_corpora(spark):
+    """What occurs once tells classes apart, however many bytes they have."""
+    train = [r.id for r in spark.range(1000).where("pmod(xxhash64(id), 10) <> 0").collect()][:2]
+    rows = [(i, f"{'calm' if i % 2 else 'vile'} words here " * 2500, "ab"[i % 2], None, None) for i in range(1000, 1400)]
+    for i, rare in zip(train, ("jkvpgf", "qwzxvy")):
+        rows.append((i, rare, "ab"[i != train[0]], None, None))
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(r[0], 1, int(r[2] == "a")) for r in rows], "doc_id long, quality int, toxic int")
+    ask = spark.createDataFrame([(1, "jkvpgf"), (2, "qwzxvy")], "doc_id long, text string")
+    lang = {r.doc_id: (r.lang_pred, r.score > 0.99) for r in langid.identify(ask, langid.train(docs)).collect()}
+    assert lang == {1: ("a", True), 2: ("b", True)}
+    score = {r.doc_id: r.score for r in toxicity.score(ask, toxicity.train(docs, labels)).collect()}
+    assert score[1] > score[2] + 1e-6
+
+
 def test_mixing(spark):
     rows = [(i, ("good words here " if i % 2 else "BAD!! JUNK!! ") * 20, "en", None, None) for i in range(80)] + [(200 + i, t, None, None, None) for i, t in enumerate(ODD[:7])]
     labels = spark.createDataFrame([(i, "high" if i % 2 else "low") for i in range(40)], "doc_id long, domain string")
