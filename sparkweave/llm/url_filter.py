@@ -5,8 +5,9 @@ rule's path, and the longest that fits decides.
 
 For the rest, each host has a tree of path templates. Segments that vary (numbers, hex strings, long
 tokens with digits) are wildcards at once. Then, from the root down, a segment keeps a branch of
-its own only if it holds enough of its parent's urls and its labelled purity (share of good labels)
-differs from its parent's by more than chance; all other branches merge into the wildcard. A
+its own only if it has enough labels and its labelled purity (share of good labels) differs from
+its parent's by more than chance; all other branches merge into the wildcard, down to the last
+segment of the deepest path. A
 template is rejected if its purity, smoothed towards all labelled urls' with ``WEIGHT`` pseudo-labels,
 is under ``LEAST``. Trees are aggregates of distinct templates, counted before any shuffle, so a
 host with a third of all urls is no larger than its templates.
@@ -25,9 +26,8 @@ from .common import stored
 
 #: (verdict, host, path) of the rules that the query applies.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 4
-#: A branch of its own needs this share of its parent's urls and so many labels.
-SUPPORT, LABELS = 0.01, 5
+#: A branch of its own needs so many labels.
+LABELS = 5
 WEIGHT, LEAST = 10.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VARIABLE = r"^(\d+|[0-9a-fA-F-]{8,}|(?=.*\d)\S{12,}|\d+\.\w+|(?=.*\d)[\w-]+\.\w{2,5})$"
@@ -51,27 +51,26 @@ def rule_of(rules) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments of a path, variable ones as wildcards; what is deeper is one more."""
+    """The segments of a path, variable ones as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """``urls``: host, segs, good (1, 0 or null). Returns host, segs, template, purity: the merged trees' leaves."""
     count = (F.count("*").alias("n"), F.count("good").alias("l"), F.sum("good").alias("g"))
     rows = stored(urls.groupBy("host", "segs").agg(*count).fillna(0, ["g"]), "templates")
-    prior = rows.agg(F.sum("g") / F.sum("l")).first()[0]
+    prior, deepest = rows.agg(F.sum("g") / F.sum("l"), F.max(F.size("segs"))).first()
     prior = 1.0 if prior is None else float(prior)
     rows = rows.withColumn("node", F.col("host"))
-    for depth in range(DEPTH + 1):
+    for depth in range(deepest or 0):
         rows = rows.withColumn("seg", F.coalesce(F.get("segs", F.lit(depth)), F.lit("")))
         child = rows.groupBy("node", "seg").agg(*(F.sum(x).alias(f"c{x}") for x in "nlg"))
         parent = child.groupBy("node").agg(*(F.sum(f"c{x}").alias(f"p{x}") for x in "nlg"))
         both = child.join(parent, "node")
         mean, own = F.col("pg") / F.greatest("pl", F.lit(1)), F.col("cg") / F.greatest("cl", F.lit(1))
         chance = F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-4)) / F.greatest("cl", F.lit(1)))
-        apart = (F.col("cn") >= SUPPORT * F.col("pn")) & (F.col("cl") >= LABELS) & (F.abs(own - mean) > 2 * chance)
+        apart = (F.col("cl") >= LABELS) & (F.abs(own - mean) > 2 * chance)
         label = F.when((F.col("seg") == "") | apart, F.col("seg")).otherwise("*")
         both = both.select("node", "seg", F.concat_ws("/", "node", label).alias("next"))
         rows = stored(rows.join(both, ["node", "seg"]).select("host", "segs", "n", "l", "g", F.col("next").alias("node")), "tree")

@@ -175,6 +175,17 @@ def test_url_filter(spark):
     assert all(got[100 + i].verdict == ("block" if i % 3 else "allow") for i in range(90))
 
 
+def test_url_filter_deep_and_hot(spark):
+    """Branches part at any depth, and however small their share of the host is."""
+    urls = [f"http://deep.com/a/b/c/d/e/f/{'bad' if i % 2 else 'fine'}/{i}" for i in range(80)]
+    urls += [f"http://hot.com/{'rare' if i % 200 == 0 else 'main'}/{i}" for i in range(8000)]
+    good = [1 - i % 2 for i in range(80)] + [int(i % 200 > 0) for i in range(8000)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, g, 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, labels).collect()}
+    assert got == {i: "allow" if g else "block" for i, g in enumerate(good)}
+
+
 def test_chat(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} of {c if t > 1 else 'all'} \\l <s> </s>[INST]\n") for c in range(40) for t in range(4)]
     rows += [(50, 0, None, None), (51, None, "a\nb", "<|end|>"), (51, None, "a\nb", "<|end|>"), (None, 0, "user", "x")]
