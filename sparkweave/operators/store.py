@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import MAX_DAYS, MIN_DAYS, RETENTION_DAYS
 from ..functions.ids import row_hash
@@ -41,22 +45,29 @@ def merged_cache(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
 def chain_append(events: DataFrame, head: str, chain: str | None = None) -> DataFrame:
     """Events (id, ...) with hash and prev_hash, each over its predecessor's: a fold in id order, one chain at a time.
 
-    The fold is sequential by nature: a task holds one chain's ids and payloads. ``chain`` names the
-    column of independent chains; a log that grows without bound is cut into chains (for instance by day).
+    The fold is sequential by nature: one task streams a chain's events in order and holds a batch
+    and the last hash. ``chain`` names the column of independent chains.
     """
     parts = ["id", "ts", "actor", "action", "rtype", "rid"]
     keys = [chain] if chain else []
-    body = F.struct("id", F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)).alias("body"))
-    runs = events.groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias("rows"))
-    fold = F.aggregate(
-        "rows",
-        F.struct(F.lit(head).alias("prev"), F.expr("cast(array() as array<struct<id:bigint,prev_hash:string,hash:string>>)").alias("out")),
-        lambda acc, r: F.struct(
-            F.sha2(F.concat(acc["prev"], F.lit("|"), r["body"]), 256).alias("prev"),
-            F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), acc["prev"].alias("prev_hash"), F.sha2(F.concat(acc["prev"], F.lit("|"), r["body"]), 256).alias("hash")))).alias("out"),
-        ),
-    )
-    return runs.select(*keys, F.explode(fold["out"]).alias("r")).select(*keys, "r.*")
+    body = F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)).alias("body")
+    rows = events.select(*keys, F.col("id").cast("long").alias("id"), body)
+    rows = (rows.repartition(chain) if chain else rows.repartition(1)).sortWithinPartitions(*keys, "id", "body")
+    schema = T.StructType([*(rows.schema[k] for k in keys), rows.schema["id"], T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = (), head
+        for b in batches:
+            hashes = []
+            for *key, text in zip(*(b.column(i).to_pylist() for i in [*range(len(keys)), len(keys) + 1])):
+                if key != now:
+                    now, last = key, head
+                before, last = last, hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                hashes.append((before, last))
+            columns = [pa.array([h[i] for h in hashes], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=schema.names)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def chain_verify(log: DataFrame, *chain: str) -> DataFrame:

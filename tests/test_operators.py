@@ -1,5 +1,7 @@
 """The reference's operators on small literals, and a sample of queries against DuckDB."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -52,6 +54,19 @@ def test_chain_and_page(spark):
     assert [r.id for r in store.keyset_page(rows, "id", 2, 2).collect()] == [2, 3, 4]
 
 
+def test_chain_of_many_events_is_streamed(spark):
+    n = 25_000  # several batches
+    rows = spark.range(n).selectExpr("id", "'t' ts", "if(id % 5 = 0, 'b', 'a') actor", "'x' action", "'r' rtype", "cast(id AS string) rid")
+    log = store.chain_append(rows, "G", "actor")
+    last, want = {"a": "G", "b": "G"}, []
+    for i in range(n):
+        actor = "b" if i % 5 == 0 else "a"
+        before, last[actor] = last[actor], hashlib.sha256(f"{last[actor]}|{i}|t|{actor}|x|r|{i}".encode()).hexdigest()
+        want.append((actor, i, before, last[actor]))
+    assert [tuple(r) for r in log.orderBy("id").collect()] == want
+    assert "collect_list" not in log._jdf.queryExecution().toString()
+
+
 def test_text(spark):
     row = spark.sql("SELECT '4539 1488 0343 6467' a, 'a:b' x, 'c' y, '<think>z</think>```json\n{}\n```' f, 'mail a@b.de 10.0.0.1' l")
     got = row.select(tx.luhn_ok(F.col("a")), point_id(F.col("x"), F.col("y")), point_id(F.lit("a"), F.lit("b:c")), tx.strip_fences(F.col("f")), tx.redact_log(F.col("l"))).first()
