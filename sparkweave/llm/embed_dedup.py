@@ -5,7 +5,9 @@ bounded sample of ``SAMPLE`` vectors, gives a grid of cells. Every vector lies i
 nearest pair of centroids and, in the order of the multi-sequence traversal (sums of the halves'
 squared distances), visits the nearest cells. How many is found by brute force: a sample of
 ``PROBES`` vectors is compared with all, and the traversal goes as far as brings the target recall
-of the sample's true links. In a visited cell the visitors meet the residents in bounded blocks
+of the sample's true links. The sample grows until ``ENOUGH`` of its vectors have links; where even
+all ``SAMPLE`` vectors don't give so many, recall can't be measured and all blocks meet, which is
+exact and takes quadratic time. In a visited cell the visitors meet the residents in bounded blocks
 and cosines are computed in double precision; pairs at or over the threshold are links.
 
 A link counts from both sides, also if only one of the two visits the other's cell. Equal vectors
@@ -34,6 +36,8 @@ PROBES = 256
 BLOCK = 2048
 #: Vectors that a cell shall hold on average, and the bounds of a codebook's size.
 PER_CELL, CODES = 32, (2, 256)
+#: Linked probes that a measured recall needs.
+ENOUGH = 32
 #: Cells that every vector visits at least.
 LEAST_CELLS = 8
 
@@ -90,8 +94,8 @@ def _floats(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32)
 
 
-def _steps_for(grid: Grid, reps: DataFrame, sample: np.ndarray, dim: int, threshold: float, recall: float) -> int:
-    """Cells to visit so that the target recall of the sample's links is found."""
+def _steps_for(grid: Grid, reps: DataFrame, sample: np.ndarray, dim: int, threshold: float, recall: float) -> int | None:
+    """Cells to visit so that the target recall of the sample's links is found; None if too few vectors of it have a link."""
     homes = grid.traversal(sample, 1)[:, 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +110,8 @@ def _steps_for(grid: Grid, reps: DataFrame, sample: np.ndarray, dim: int, thresh
                 yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int64)) for y in (*pair, n)], names=["s", "place", "n"])
 
     seen = reps.select("x").mapInArrow(run, "s long, place long, n long").groupBy("s", "place").agg(F.sum("n").alias("n")).toPandas()
-    if not len(seen):
-        return min(LEAST_CELLS, grid.size**2)
+    if seen["s"].nunique() < ENOUGH:
+        return None
     # each vector of the sample counts alike, however many links it has
     share = (seen["n"] / seen.groupby("s")["n"].transform("sum")).groupby(seen["place"]).sum().sort_index().cumsum()
     return min(max(int(share.index[int(np.searchsorted(share.to_numpy(), recall * share.iloc[-1]))]) + 1, LEAST_CELLS), grid.size**2)
@@ -171,7 +175,14 @@ def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float
     sample = unit(np.frombuffer(b"".join(bytes(r["x"]) for r in taken), np.float32).reshape(-1, dim))
     size = int(min(max(np.ceil(np.sqrt(n / PER_CELL)), CODES[0]), CODES[1], len(sample)))
     grid = Grid(sample, size)
-    steps = _steps_for(grid, reps, sample[:: max(1, len(sample) // PROBES)][:PROBES], dim, threshold, recall)
+    probes, steps = PROBES, None
+    while steps is None and size > 1:  # where links are rare, more probes
+        steps = _steps_for(grid, reps, sample[:: max(1, len(sample) // probes)][:probes], dim, threshold, recall)
+        if probes >= len(sample):
+            break
+        probes *= 4
+    if steps is None:  # too few links to measure recall by: all meet all, in one cell
+        grid, steps = Grid(sample, 1), 1
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

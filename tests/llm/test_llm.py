@@ -114,6 +114,18 @@ def test_embedding_dedup(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (900, 901, 902))
 
 
+def test_embedding_dedup_rare_links(spark):
+    """A few links among many distinct vectors are all found."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((4000, 16))
+    v = np.concatenate((v, v[:10] + 0.3 * rng.standard_normal((10, 16)) / np.sqrt(2))).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()}
+    u = embed_dedup.unit(v)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit.any() and [got[i] for i in range(len(v))] == hit.sum(axis=1).tolist()
+
+
 def test_language(spark):
     rng = random.Random(4)
     say = {"aa": "abab baba abba", "bb": "xyxy yxyx yyxx"}
