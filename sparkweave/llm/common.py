@@ -6,9 +6,13 @@ tables are written below ``spark.checkpoint.dir`` so that they outlive any execu
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +30,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
+    """The folder all executors share; a folder of our own only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
-#: With it, Spark removes a query's shuffle files when the query ends, not when the driver collects its garbage.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+class _Freed:
+    """While open, Spark removes a query's shuffle files when the query ends, not when the driver collects its garbage.
+
+    Sessions may write from several threads: the first to enter notes the setting, the last to leave puts it back.
+    """
+
+    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self):
+        self.lock, self.open, self.before = threading.Lock(), 0, "false"
+
+    def enter(self, spark: SparkSession) -> None:
+        with self.lock:
+            if not self.open:
+                self.before = spark.conf.get(self.KEY)
+                spark.conf.set(self.KEY, "true")
+            self.open += 1
+
+    def leave(self, spark: SparkSession) -> None:
+        with self.lock:
+            self.open -= 1
+            if not self.open:
+                spark.conf.set(self.KEY, self.before)
+
+
+_freed: dict[int, _Freed] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,13 +76,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE)
-    spark.conf.set(_FREE, "true")
+    held = _freed.setdefault(spark._jsparkSession.hashCode(), _Freed())
+    held.enter(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_FREE, before)
-    return spark.read.schema(df.schema).parquet(path)
+        held.leave(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove what ``stored`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        if path := t.__dict__.pop("_folder", None):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches in a Python worker, which gives freed memory back to the machine when the task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
 
 
 def partitions(spark: SparkSession) -> int:
@@ -90,6 +146,17 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         at = to
 
 
+def windows(data: np.ndarray, off: np.ndarray, before: int, after: int = 0, limit: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, first own byte, end of own bytes): a step as it is, or the windows of one long text with some bytes around each."""
+    n = len(data)
+    if n <= limit or len(off) > 2:
+        yield data, off, 0, n
+        return
+    for a in range(0, n, limit):
+        b, low, high = min(a + limit, n), max(0, a - before), min(n, a + limit + after)
+        yield data[low:high], np.array([0, high - low]), a - low, b - low
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that all bits depend on all bits."""
     x = x ^ (x >> np.uint64(32))
@@ -110,29 +177,6 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class Memo:
-    """A bounded two-generation cache from words to encodings, kept by a worker between batches."""
-
-    def __init__(self, size: int = 600_000):
-        self.size, self.new, self.old = size, {}, {}
-
-    def fill(self, words: set, encode) -> dict:
-        """A mapping that has all of ``words``; ``encode(list)`` gives what is missing."""
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-        missing = []
-        for w in words:
-            if w not in self.new:
-                x = self.old.get(w)
-                if x is None:
-                    missing.append(w)
-                else:
-                    self.new[w] = x
-        if missing:
-            self.new.update(zip(missing, encode(missing), strict=True))
-        return self.new
-
-
 def appended(df: DataFrame, source: str, fields: list, make) -> DataFrame:
     """``df`` with more columns, made from the string column ``source`` in steps of bounded size.
 
@@ -152,4 +196,4 @@ def appended(df: DataFrame, source: str, fields: list, make) -> DataFrame:
                 new = [pa.array(x, k) for x, k in zip(make(data, off), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, *new], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -1,21 +1,24 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding.
 
 The model file gives pieces and scores. Spaces become U+2581 and one is put in front of a text
-that isn't empty (identity normalisation with dummy prefix, as the model file says). No piece
-holds U+2581 after another character, so texts fall into independent words. The distinct words
-of a batch lie in one flat numpy array of symbols; in each round every word finds the least rank
+that isn't empty (identity normalisation with dummy prefix, as the model file says). Texts fall into
+independent words between characters that are neighbours in no piece, as before spaces. The distinct
+words of a batch lie in one flat numpy array of symbols; in each round every word finds the least rank
 among its adjacent pairs (segmented minimum), merges the leftmost occurrences of that rank
 together, and is compacted; words without a pair leave the array. A word stops a round early
 where a merge makes a pair of the same or a better rank, so the order of merges is the same as
 one at a time. Characters outside the vocabulary become their UTF-8 byte pieces.
 
+Decoding joins the pieces' bytes by table; texts with bytes that make no characters, or with control
+pieces, are left to the library.
+
 Null texts encode as empty, empty texts have no ids. Rows are independent of each other, so
-repeated rows, ties and extra columns pass through unchanged.
+repeated rows, ties and extra columns pass through unchanged; an empty table gives an empty one.
+A column of the table that has the name of a new one (``ids``, ``decoded``) is replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, Memo, ragged, text_bytes
+from .common import STEP_BYTES, appended, ragged, tidy
+from .ngrams import Index
+from .words import WordIds
 
 SPACE = "▁"
 _INF = np.iinfo(np.int32).max
@@ -42,8 +47,12 @@ class PieceModel:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         known = {pieces[i]: i for i in plain}
-        if any(SPACE in p.lstrip(SPACE) for p in known):
-            raise ValueError("pieces span words: this encoder needs a model whose pieces hold spaces only at the front")
+        # which bytes follow each other in some piece; nothing merges across others
+        self.joint = np.zeros((256, 256), bool)
+        for p in known:
+            raw = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
+            self.joint[raw[:-1], raw[1:]] = True
+        self.joint[:, 0x80:0xC0] = True
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.of_char = np.arange(0x110000, dtype=np.int32) + n
         for p, i in known.items():
@@ -51,10 +60,15 @@ class PieceModel:
                 self.of_char[ord(p)] = i
         scores = {-s: r for r, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         pairs = sorted((known[p[:k]] * n + known[p[k:]], i, scores[-sp.get_score(i)]) for p, i in known.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known)
-        self.pair, self.merged, self.rank = (np.array(x, d) for x, d in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
+        pair, merged, rank = (np.array(x, d) for x, d in zip(zip(*pairs, strict=True), (np.uint64, np.int32, np.int32), strict=True))
+        self.pair, self.merged, self.rank = Index(pair), merged, rank
+        shown = [bytes.fromhex(p[3:5]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.shown, self.shown_size = np.frombuffer(b"".join(shown), np.uint8), np.array([len(x) for x in shown])
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
+        self.odd = np.array([sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) and shown[i] == b" " for i in range(n)])
         # a filter before the search: most adjacent symbols form no pair
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self._slot(self.pair)] = True
+        self.maybe[self._slot(pair)] = True
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
@@ -67,15 +81,19 @@ class PieceModel:
         key = left[at].astype(np.int64) * self.size + right[at]
         some = self.maybe[self._slot(key)]
         at, key = at[some], key[some]
-        k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        hit = self.pair[k] == key
+        k = self.pair.find(key.astype(np.uint64))
+        hit = k >= 0
         rank[at[hit]], merged[at[hit]] = self.rank[k[hit]], self.merged[k[hit]]
         return rank, merged
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids (32-bit, as bytes) of words, each with its leading spaces already in it."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words, how many each has); a space in a word stands for U+2581."""
+        raw = b"".join(words)
+        char = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        starts = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        size = np.diff(starts[np.concatenate(([0], ends))])
+        sym = self.of_char[np.where(char == 0x20, np.uint32(ord(SPACE)), char)]
         word = np.repeat(np.arange(len(words)), size)
         done_sym, done_word = [], []
         rank, merged = self._ranks(sym, word)
@@ -110,7 +128,7 @@ class PieceModel:
         sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int32)
         word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return self._bytes_of(sym[order], word[order], len(words))
+        return self._with_bytes(sym[order], word[order], len(words))
 
     def _ranks(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, merged = np.full(len(sym), _INF, np.int32), np.zeros(len(sym), np.int32)
@@ -143,7 +161,7 @@ class PieceModel:
         base = np.repeat(earlier[group], np.diff(np.append(group, len(w))))
         return pick[earlier == base]
 
-    def _bytes_of(self, sym, word, n) -> list[bytes]:
+    def _with_bytes(self, sym, word, n) -> tuple[np.ndarray, np.ndarray]:
         out = np.flatnonzero(sym >= self.size)
         if len(out):
             odd, back = np.unique(sym[out] - self.size, return_inverse=True)
@@ -154,93 +172,76 @@ class PieceModel:
             flat = np.repeat(sym, lens)
             flat[ragged(ends[out] - lens[out], lens[out])] = np.concatenate([coded[i] for i in back])
             sym, word = flat, np.repeat(word, lens)
-        cut = (4 * np.concatenate(([0], np.cumsum(np.bincount(word, minlength=n))))).tolist()
-        flat = sym.tobytes()
-        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return sym, np.bincount(word, minlength=n)
+
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str | None]:
+        """The text of each run of ids; None where it has control pieces or bytes that make no characters."""
+        n = self.shown_size[ids]
+        raw = self.shown[ragged(self.shown_at[ids], n)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(n)))[off].tolist()
+        odd = np.diff(np.concatenate(([0], np.cumsum(self.odd[ids])))[off]).tolist()
+        out = []
+        for a, b, bad in zip(ends[:-1], ends[1:], odd, strict=True):
+            try:  # the space put in front of a text goes again
+                out.append(None if bad else raw[a + (raw[a : a + 1] == b" ") : b].decode())
+            except UnicodeDecodeError:
+                out.append(None)
+        return out
 
 
 @lru_cache(2)
-def model(path: str) -> tuple[PieceModel, Memo]:
-    return PieceModel(path), Memo()
-
-
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-
+def model(path: str) -> tuple[PieceModel, WordIds]:
+    bpe = PieceModel(path)
+    return bpe, WordIds(bpe.encode_words)
 
-def words_of(text: str) -> list[str]:
-    """Words of a text, each without the first of its leading spaces."""
-    if not text:
-        return []
-    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-        return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
-    return text.split(" ")
 
-
-def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, offsets of each text)."""
-    bpe, memo = model(path)
-    words = [words_of(t) for t in texts]
-    known = memo.fill(set().union(*words), lambda new: bpe.encode_words([SPACE + w for w in new]))
-    parts = [b"".join(map(known.__getitem__, ws)) for ws in words]
-    off = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int64)
-    return np.frombuffer(b"".join(parts), np.int32), off
-
-
-def _with(df: DataFrame, name: str, kind: T.DataType, source: str, make, arrow: pa.DataType) -> DataFrame:
-    """``df`` and one more column, made from ``source`` in steps of bounded size."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-    at = df.columns.index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, n in make.spans(b.column(at)):
-                part = b.slice(first, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(at)).cast(arrow)], names=[*part.schema.names, name])
-
-    return df.mapInArrow(run, schema)
-
-
-class _Spans:
-    def __init__(self, path: str):
-        self.path = path
-
-    def _cut(self, off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-        at = 0
-        while at < len(off) - 1:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-            yield at, to - at
-            at = to
-
-
-class _Encode(_Spans):
-    def spans(self, column):
-        return self._cut(text_bytes(column)[1], STEP_BYTES)
-
-    def __call__(self, column):
-        ids, off = encode_texts(self.path, [t or "" for t in column.to_pylist()])
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-
-
-class _Decode(_Spans):
-    def spans(self, column):
-        size = np.diff(column.offsets.to_numpy())
-        return self._cut(np.concatenate(([0], np.cumsum(size))), STEP_BYTES // 4)
-
-    def __call__(self, column):
-        bpe, _ = model(self.path)
-        flat, off = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        return pa.array(bpe.library.decode([flat[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)], num_threads=1), pa.string())
+    if SPACE.encode() in (raw := data.tobytes()):  # the mark itself counts as a space
+        texts = [raw[a:b].replace(SPACE.encode(), b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    bpe, words = model(path)
+    size = np.diff(off)
+    data = np.insert(data, off[:-1][size > 0], 0x20)  # the space in front of each text
+    off = np.concatenate(([0], np.cumsum(size + (size > 0))))
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = ~bpe.joint[data[:-1], data[1:]]
+    cut[off] = True
+    at = np.flatnonzero(cut)
+    ids, n = words.ids(data, at[:-1], at[1:])
+    return ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, off)]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with an array<int> column of ids, without begin and end ids."""
-    return _with(df, ids, T.ArrayType(T.IntegerType()), text, _Encode(path), pa.list_(pa.int32()))
+
+    def make(data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        flat, cut = encode_texts(path, data, off)
+        return [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))]
+
+    return appended(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts that the ids decode to (null ids: empty)."""
-    df = df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
-    return _with(df, text, T.StringType(), ids, _Decode(path), pa.string())
+    df = df.drop(text).withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
+    schema, at = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]), df.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, _ = model(path)
+        for b in batches:
+            off, first = b.column(at).offsets.to_numpy(), 0
+            while first < len(b):
+                end = max(first + 1, int(np.searchsorted(off, off[first] + STEP_BYTES // 4, "right")) - 1)
+                own, cut = b.column(at).values.to_numpy(zero_copy_only=False)[off[first] : off[end]], off[first : end + 1] - off[first]
+                said = bpe.decode(own, cut)
+                left = [i for i, t in enumerate(said) if t is None]
+                for i, t in zip(left, bpe.library.decode([own[cut[i] : cut[i + 1]].tolist() for i in left], num_threads=1), strict=True):
+                    said[i] = t
+                yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, pa.array(said, pa.string())], names=schema.names)
+                first = end
+
+    return df.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
