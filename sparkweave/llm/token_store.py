@@ -9,90 +9,144 @@ which sends each key to a slot, and for each slot a 32-bit fingerprint of its ke
 key's place in the shard. A lookup hashes twice, compares the fingerprint and reads the
 payload at the offset it finds. Shards are bounded in ids and documents; one longer document is a shard.
 
-The tokenizers' pre-tokenizer never joins characters across a space that follows and precedes
-non-space characters otherwise than by putting the space in front of the next word, so texts
-are cut there and each distinct piece is encoded once per worker.
+The byte-level pre-tokenizer never joins a letter or digit to a character of another kind, but for
+a space in front and the apostrophe of an English ending, so texts are cut at such places and each
+distinct piece is encoded once while a worker's store holds it. Pieces are merged by the file's own
+vocabulary in tiktoken, which takes a fifth of the tokenizers library's time; where a file's merges
+aren't in the order of its ids, or the two differ on pieces of the vocabulary, the library encodes
+the pieces. Files with other pre-tokenizers or normalizers get whole texts from the library.
 
 Null texts are empty (the end id only). Rows that repeat a doc_id stand next to each other and
-are all stored; a key then finds the first. Rows with a null doc_id come first and have no key.
+are all stored; a key then finds the first. Rows with a null doc_id come first and have no key. An
+empty table gives an empty store. Only the doc_id and text of a table are used, whatever else it has.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Memo, mix, partitions, shared_dir, text_bytes
+from .common import mix, partitions, ragged, shared_dir, steps, tidy
+from .words import WordIds
 
 SHARD_IDS = 1 << 20
 SHARD_DOCS = 1 << 13
-_SPACE_RUN = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-
-
-class WordEncoder:
-    """Encodes texts piece by piece, each distinct piece once per worker."""
+#: Fixed value: the byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of bytes: 1 letters, 2 digits, 3 other marks, 4 the apostrophe, 5 white space but 6 the space, 0 others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127], _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[39] = 3, 2, 1, 1, 4
+_KIND[[9, 10, 13]], _KIND[32] = 5, 6
+#: Between which kinds a text is cut.
+_CUT = np.zeros((7, 7), bool)
+_CUT[1, 2:] = _CUT[2, 1] = _CUT[2, 3:] = _CUT[3, [1, 2, 5, 6]] = _CUT[4, [5, 6]] = True
+#: First bytes of characters that may follow a space without being white space.
+_GRAPH = np.zeros(256, bool)
+_GRAPH[33:127] = _GRAPH[0xC3:0xE1] = _GRAPH[0xE4:0xF5] = True
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, and the end of the last one."""
+    kind, cut = _KIND[data], np.ones(len(data) + 1, bool)
+    if len(data):
+        cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+        # before a space that goes with what follows
+        cut[1:-1] |= np.append((kind[1:-1] == 6) & _GRAPH[data[2:]], False)
+        # after a single white space that isn't a space
+        alone = np.zeros(len(data), bool)
+        alone[1:] = (kind[1:] == 5) & (kind[:-1] > 0) & (kind[:-1] < 5)
+        cut[1:-1] |= alone[:-1] & (kind[1:] > 0) & (kind[1:] < 5)
+    cut[off] = True
+    return np.flatnonzero(cut)
+
+
+class PieceEncoder:
+    """Encodes the pieces of texts with a byte-level tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = tk = Tokenizer.from_file(path)
-        self.heads, self.tails, self.letters, self.rests = Memo(50_000), Memo(), Memo(300_000), Memo(50_000)
+        says = json.loads(tk.to_str())
+        before = says["pre_tokenizer"] or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space") and not says["normalizer"]
+        self.cuts &= not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in says["added_tokens"])
+        self.added = [x["content"].encode() for x in says["added_tokens"]]
         marker = tk.encode(" a", add_special_tokens=False).tokens[0][0]
         size = tk.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(tk.id_to_token(i) or "").startswith(marker) for i in range(size)])
-
-    def whole(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def after_space(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, each with a space before it: many go as one text, cut at the spaces again."""
-        out = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            start = np.flatnonzero(self.spaced[ids])
+        self.words = WordIds(self.pieces)
+        self.joined = self._joined(says["model"]) if self.cuts else None
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _joined(self, bpe: dict):
+        """What encodes a text of many pieces."""
+        import tiktoken
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        vocab, merges = bpe["vocab"], [m if isinstance(m, str) else "".join(m) for m in bpe["merges"]]
+        ids = [vocab[m.replace(" ", "")] for m in merges]
+        if ids != sorted(ids) or bpe.get("type") != "BPE" or any(bpe.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return self._library
+        # the file shows bytes as printable characters: those of one byte stand for themselves, the others follow from 256 on
+        shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+        assert {chr(b) for b in shown} <= set(ByteLevel.alphabet())
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t)}
+        fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        probe = " ".join(t.decode() for t in list(ranks)[::16] if t.isascii() and t.decode().isalnum())
+        return fast if fast(probe) == self._library(probe) else self._library
+
+    def whole(self, pieces: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has). Those whose only space is their first byte go many as one text, cut at the spaces again."""
+        n, begin, flat, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        plain = [i for i, w in enumerate(words) if w[:1] == b" " and w.rfind(b" ") == 0 and len(w) > 1]
+        left = sorted({*range(len(words))} - {*plain})
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            got = np.array(self.joined(b"".join([words[i] for i in part]).decode()), np.int32)
+            start = np.flatnonzero(self.spaced[got])
             if len(start) != len(part):
-                out += self.whole([" " + w for w in part])
-            else:
-                cut = [*(4 * start).tolist(), 4 * len(ids)]
-                raw = ids.tobytes()
-                out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return out
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """Pieces that follow a space. A run of letters is a pre-token of its own, so it goes without what follows it."""
-        stem = [w.rstrip(".,;:!?\"')]}\n") for w in words]
-        split = [h.isalpha() for h in stem]
-        letters = self.letters.fill({h for h, ok in zip(stem, split, strict=True) if ok}, self.after_space)
-        rests = self.rests.fill({w[len(h) :] for w, h, ok in zip(words, stem, split, strict=True) if ok}, self.whole)
-        odd = iter(self.whole([" " + w for w, ok in zip(words, split, strict=True) if not ok]))
-        return [letters[h] + rests[w[len(h) :]] if ok else next(odd) for w, h, ok in zip(words, stem, split, strict=True)]
+                left += part
+                continue
+            begin[part], n[part] = held + start, np.diff(np.append(start, len(got)))
+            flat.append(got)
+            held += len(got)
+        for i, x in zip(left, self.whole([words[i].decode("utf-8", "replace") for i in left]), strict=True):
+            begin[i], n[i] = held, len(x)
+            flat.append(np.array(x, np.int32))
+            held += len(x)
+        return np.concatenate([*flat, np.zeros(0, np.int32)])[ragged(begin, n)], n
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, offsets of each text)."""
+        raw = data.tobytes()
+        if not self.cuts or any(x in raw for x in self.added):
+            ids = self.whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)])
+            return np.concatenate([np.array(x, np.int32) for x in [*ids, []]]), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+        at = cuts(data, off)
+        ids, n = self.words.ids(data, at[:-1], at[1:])
+        return ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, off)]
 
 
 @lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    e = encoder(path)
-    parts = [_CUT.split(t) if _SPACE_RUN.search(t) else t.split(" ") for t in texts]
-    heads = e.heads.fill({p[0] for p in parts}, e.whole)
-    tails = e.tails.fill({w for p in parts for w in p[1:]}, e.pieces)
-    return [heads[p[0]] + b"".join([tails[w] for w in p[1:]]) for p in parts]
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -167,7 +221,7 @@ _SHARD_SQL = "part int, shard int, first_id long, last_id long, n_docs long, n_t
 _SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((x, pa.int64()) for x in ("first_id", "last_id", "n_docs", "n_tokens")), ("doc_ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("sizes", "payload", "seeds", "prints", "places"))])
 
 
-def _shard_row(part: int, shard: int, ids: list, coded: list[bytes]) -> pa.RecordBatch:
+def _shard_row(part: int, shard: int, ids: list, sizes: np.ndarray, payload: bytes) -> pa.RecordBatch:
     keyed = [(d, i) for i, d in enumerate(ids) if d is not None and (i == 0 or ids[i - 1] != d)]
     keys, place = np.array([d for d, _ in keyed], np.int64), np.array([i for _, i in keyed], np.uint32)
     seeds = build_mph(keys)
@@ -175,35 +229,39 @@ def _shard_row(part: int, shard: int, ids: list, coded: list[bytes]) -> pa.Recor
     if len(keys):
         at = slots(keys, seeds, len(keys))
         prints[at], places[at] = fingerprints(keys), place
-    sizes = np.array([len(x) // 4 for x in coded], np.uint32)
-    row = [part, shard, int(keys[0]) if len(keys) else None, int(keys[-1]) if len(keys) else None, len(ids), int(sizes.sum(dtype=np.int64)), ids, sizes.tobytes(), b"".join(coded), seeds.tobytes(), prints.tobytes(), places.tobytes()]
+    row = [part, shard, int(keys[0]) if len(keys) else None, int(keys[-1]) if len(keys) else None, len(ids), int(sizes.sum(dtype=np.int64)), ids, sizes.astype(np.uint32).tobytes(), payload, seeds.tobytes(), prints.tobytes(), places.tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SHARD, strict=True)], schema=_SHARD)
 
 
 def _write(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, ids, coded, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, docs, sizes, held = TaskContext.get().partitionId(), 0, [], [], []
+
+        def row() -> pa.RecordBatch:
+            return _shard_row(part, shard, docs, np.concatenate(sizes), b"".join(held))
+
         for b in batches:
-            _, off = text_bytes(b.column(1))
-            at = 0
-            while at < len(b):
-                to = max(at + 1, int(np.searchsorted(off, off[at] + STEP_BYTES, "right")) - 1)
-                texts = [t or "" for t in b.column(1).slice(at, to - at).to_pylist()]
-                for d, x in zip(b.column(0).slice(at, to - at).to_pylist(), encode_texts(path, texts), strict=True):
-                    x += end
-                    if ids and (held + len(x) > 4 * SHARD_IDS or len(ids) >= SHARD_DOCS):
-                        yield _shard_row(part, shard, ids, coded)
-                        shard, ids, coded, held = shard + 1, [], [], 0
-                    ids.append(d)
-                    coded.append(x)
-                    held += len(x)
-                at = to
-        if ids:
-            yield _shard_row(part, shard, ids, coded)
-
-    return run
+            for first, last, data, off in steps(b.column(1)):
+                ids, cut = encoder(path).encode(data, off)
+                coded = np.insert(ids, cut[1:], end_id).astype("<u4")
+                n, names, at = np.diff(cut) + 1, b.column(0).slice(first, last - first).to_pylist(), 0
+                ends = np.concatenate(([0], np.cumsum(n)))
+                while at < len(n):  # as many documents as the shard has room for
+                    room = SHARD_IDS - sum(map(len, held)) // 4
+                    to = min(int(np.searchsorted(ends, ends[at] + room, "right")) - 1, at + SHARD_DOCS - len(docs))
+                    if to <= at and docs:
+                        yield row()
+                        shard, docs, sizes, held = shard + 1, [], [], []
+                        continue
+                    to = max(to, at + 1)
+                    docs += names[at:to]
+                    sizes.append(n[at:to])
+                    held.append(coded[ends[at] : ends[to]].tobytes())
+                    at = to
+        if docs:
+            yield row()
+
+    return tidy(run)
 
 
 def write_store(docs: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -235,13 +293,14 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(b)):
             row = b.slice(i, 1).to_pylist()[0]
             s = _shard_of(row)
-            place = np.arange(len(s.doc_ids))
             keyed = np.array([d is not None for d in s.doc_ids], bool)
-            found = s.find(np.array([d for d in s.doc_ids if d is not None], np.int64))
+            place = np.arange(len(s.doc_ids))
+            keys, which, times = np.unique(np.array([d for d in s.doc_ids if d is not None], np.int64), return_inverse=True, return_counts=True)
+            found = s.find(keys)
             # of rows that repeat a key, the index finds the first; the others follow it
-            again = place[keyed] - found
-            place[keyed] = found + again
-            if (found < 0).any() or any(s.doc_ids[p] != s.doc_ids[p + g] for p, g in zip(found[again > 0], again[again > 0], strict=True)):
+            place[keyed] = found[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            good = (found >= 0).all() and len(np.unique(place)) == len(place) and place.max(initial=0) < len(place)
+            if not good or any(s.doc_ids[p] != d for p, d in zip(place.tolist(), s.doc_ids, strict=True)):
                 raise ValueError(f"broken index in part {row['part']}, shard {row['shard']}")
             n = np.diff(s.begin)[place]
             crc = [zlib.crc32(s.ids(p)) for p in place]
@@ -251,31 +310,48 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark, out: str) -> DataFrame:
     """All documents of a store through its index: doc_id, start, n_tokens, ids_crc32, part, shard."""
     shards = spark.read.parquet(out)
-    docs = shards.mapInArrow(_read_back, "doc_id long, place long, offset long, n_tokens long, ids_crc32 long, part int, shard int")
+    docs = shards.mapInArrow(tidy(_read_back), "doc_id long, place long, offset long, n_tokens long, ids_crc32 long, part int, shard int")
     return docs.join(_with_start(shards), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "part", "shard")
 
 
 def lookup(spark, out: str, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids array<long>) of those distinct keys that the store has.
 
-    Keys meet the shards' ranges part by part, then each shard that is asked for is opened once.
+    Parts of the store are ranges of keys, one for each task that wrote it, so their bounds are few:
+    a key finds its part by them, then its shard among its part's. Only shards that are asked for
+    are opened, each once.
     """
     shards = spark.read.parquet(out)
     asked = keys.select(F.col(doc_id).cast("long").alias("key")).where("key IS NOT NULL").distinct()
     ranges = shards.where("first_id IS NOT NULL").select("part", "shard", "first_id", "last_id")
-    step = 1 << 12
-    spans = ranges.select("part", "shard", "first_id", "last_id", F.explode(F.sequence(F.floor(F.col("first_id") / step), F.floor(F.col("last_id") / step))).alias("cell"))
-    hits = asked.withColumn("cell", F.floor(F.col("key") / step)).join(spans, "cell").where("key BETWEEN first_id AND last_id").select("part", "shard", "key")
-
-    def get(keys: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for row in rows.to_dict("records") if len(keys) else []:
-            s, own = _shard_of(row), keys["key"].to_numpy(np.int64)
-            found += [(k, np.frombuffer(s.ids(p), "<u4").astype(np.int64)) for k, p in zip(own, s.find(own), strict=True) if p >= 0 and s.doc_ids[p] == k]
-        return pd.DataFrame(found, columns=["doc_id", "ids"])
-
-    hits = hits.select(F.col("part").alias("p"), F.col("shard").alias("s"), "key")
-    return hits.groupBy("p", "s").cogroup(shards.groupBy("part", "shard")).applyInPandas(get, "doc_id long, ids array<long>").dropDuplicates(["doc_id"])
+    parts = sorted((r["last"], r["part"]) for r in ranges.groupBy("part").agg(F.max("last_id").alias("last")).collect())
+    ends, names = np.array([x for x, _ in parts], np.int64), np.array([x for _, x in parts], np.int32)
+
+    def to_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy()
+            at = np.searchsorted(ends, key)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[at < len(ends)]]), pa.array(key[at < len(ends)])], names=["part", "key"])
+
+    def to_shard(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = right.sort_by([("last_id", "ascending"), ("shard", "ascending")])
+        key = left["key"].to_numpy()
+        at = np.searchsorted(own["last_id"].to_numpy(), key)  # the first that reaches the key
+        in_one = at < len(own)
+        key, at = key[in_one], at[in_one]
+        has = own["first_id"].to_numpy()[at] <= key
+        return pa.table({"part": own["part"].take(pa.array(at[has])), "shard": own["shard"].take(pa.array(at[has])), "key": pa.array(key[has], pa.int64())})
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                s, own = _shard_of(row), np.array(row["keys"], np.int64)
+                found = [(k, np.frombuffer(s.ids(p), "<u4").astype(np.int64)) for k, p in zip(own.tolist(), s.find(own), strict=True) if p >= 0 and s.doc_ids[p] == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    dealt = asked.mapInArrow(to_part, "part int, key long").groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(to_shard, "part int, shard int, key long")
+    hits = dealt.groupBy("part", "shard").agg(F.collect_list("key").alias("keys"))  # at most as many as a shard has documents
+    return shards.join(hits, ["part", "shard"]).mapInArrow(tidy(get), "doc_id long, ids array<long>")
 
 
 def store_digests(docs: DataFrame, path: str) -> DataFrame:
