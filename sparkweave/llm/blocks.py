@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import batch, steps, stored
+from .common import batch, steps, stored, tidy
 from .ngrams import Index
 
 #: What a block holds at most (a single longer text is a block of its own).
@@ -52,7 +52,7 @@ def blocked(docs: DataFrame, text: str) -> DataFrame:
         if parts:
             yield batch(_BLOCKS, [number], [_packed(parts)])
 
-    return stored(docs.mapInArrow(run, "_block long, rows binary"), "blocks")
+    return stored(docs.mapInArrow(tidy(run), "_block long, rows binary"), "blocks")
 
 
 def wanted(blocks: DataFrame, text: str, grams) -> DataFrame:
@@ -67,7 +67,7 @@ def wanted(blocks: DataFrame, text: str, grams) -> DataFrame:
                     part = own[i : i + 100_000]
                     yield batch(_WANTED, np.full(len(part), number), part)
 
-    return blocks.mapInArrow(run, "_block long, gram long")
+    return blocks.mapInArrow(tidy(run), "_block long, gram long")
 
 
 def answered(docs: DataFrame, blocks: DataFrame, answers: DataFrame, text: str, fields: list, make) -> DataFrame:
