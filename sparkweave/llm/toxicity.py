@@ -10,13 +10,17 @@ expressions visible in a long text. A logistic curve, fitted on labelled rows th
 left out, turns the two differences into a score.
 
 Counts cover all labelled rows of the training part but the tenth kept for the curve (of which at
-most ``calibration`` rows are used: a bounded sample). All grams are kept: discounts, totals and
-continuation counts are aggregated by Spark, and texts are joined to the table block by block, so
-neither the driver nor a worker holds it.
+most ``calibration`` rows are used: a bounded sample; where the tenth lacks a class that the labels
+have, all training rows may be drawn). All grams are kept: discounts, totals and continuation counts
+are aggregated by Spark. The table's size is counted: up to ``LOCAL`` grams, workers get it whole;
+a larger one stays distributed and texts are joined to it block by block. Both ways give the same scores.
 
 Null and empty texts score as a text without evidence. Labels that are null or of a null doc_id
 are ignored; a doc_id that is labelled more than once counts as toxic if any of its labels says
 so. Without labels of both classes every score is the share of toxic labels (0 without labels).
+Rows are scored one by one, so ties and repeated rows are no special case; long texts are worked on
+in windows; an empty table gives an empty one. Columns named score, predicted, whole, window or
+size are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import answered, blocked, wanted
-from .common import appended, batch, crc_mod, steps, stored
+from .common import appended, batch, crc_mod, steps, stored, tidy, windows
 from .ngrams import Counter, Index, codes, counted, text_sums
 
 ORDER = 5
 WINDOW = 40
+#: Grams that a worker may hold.
+LOCAL = 4_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _COUNTS = pa.schema([("toxic", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -45,11 +51,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = (Counter(), Counter())
     for b in batches:
         toxic = b.column(1).to_numpy()
-        for at, to, data, off in steps(b.column(0)):
-            g = _grams(data, off)
-            of = np.repeat(toxic[at:to], np.diff(off))
-            for c in (0, 1):
-                sums[c].add(*counted(g[of == c]))
+        for at, to, step, cut in steps(b.column(0)):
+            for data, off, first, end in windows(step, cut, ORDER - 1):
+                g = _grams(data, off)[first:end]
+                of = np.repeat(toxic[at:to], np.diff(off))[first:end]
+                for c in (0, 1):
+                    sums[c].add(*counted(g[of == c]))
     for c in (0, 1):
         gram, n = sums[c].total()
         for i in range(0, len(gram), 100_000):
@@ -107,44 +114,76 @@ def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return codes(_LOWER[data], off, ORDER)
 
 
-def _features(data: np.ndarray, off: np.ndarray, index: Index, ratios: np.ndarray) -> np.ndarray:
-    at = index.find(_grams(data, off))
-    llr = np.zeros(len(at), np.float32)
-    hit = at >= 0
-    llr[hit] = ratios[at[hit]]
+def _features(data: np.ndarray, off: np.ndarray, ratios) -> np.ndarray:
+    """whole, window and size of each text; ``ratios`` gives the log-likelihood differences of grams."""
     size = np.diff(off)
-    whole = text_sums(llr, off) / np.maximum(size, 1)
-    # the best stretch: sums over WINDOW bytes, or the whole of a shorter text
-    run = np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))
-    pos = np.arange(len(data))
-    end = np.minimum(pos + WINDOW, np.repeat(off[1:], size))
-    best = np.zeros(len(size))
-    some = size > 0
-    if some.any():
-        best[some] = np.maximum.reduceat(run[end] - run[pos], off[:-1][some]) / WINDOW
-    return np.stack((whole, best, np.log1p(size)), axis=1)
+    total, best = np.zeros(len(size)), np.full(len(size), -np.inf)
+    for part, cut, first, end in windows(data, off, ORDER - 1, WINDOW):
+        llr = ratios(_grams(part, cut))
+        own = np.clip(cut, first, end)
+        total += text_sums(llr[first:end], own - first)
+        # the best stretch: sums over WINDOW bytes, or the whole of a shorter text
+        run = np.concatenate(([0.0], np.cumsum(llr, dtype=np.float64)))
+        pos = np.arange(first, end)
+        stop = np.minimum(pos + WINDOW, np.repeat(cut[1:], np.diff(own)))
+        some = np.diff(own) > 0
+        if some.any():
+            best[some] = np.maximum(best[some], np.maximum.reduceat(run[stop] - run[pos], own[:-1][some] - first) / WINDOW)
+    return np.stack((total / np.maximum(size, 1), np.where(size > 0, best, 0.0), np.log1p(size)), axis=1)
+
+
+class Table:
+    """The log-likelihood differences of grams, and of contexts for all other bytes after them."""
+
+    def __init__(self, ratios: DataFrame):
+        gram = F.shiftleft("context", 8).bitwiseOR(F.col("byte"))
+        seen = ratios.select("context", F.explode("seen").alias("byte", "llr")).select(gram.alias("gram"), "llr").toArrow()
+        missed = ratios.select("context", "missed").toArrow()
+        self.grams, self.llr = Index(seen["gram"].to_numpy().astype(np.uint64)), seen["llr"].to_numpy()
+        self.contexts, self.missed = Index(missed["context"].to_numpy().astype(np.uint64)), missed["missed"].to_numpy()
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = self.grams.find(grams)
+        out = self.llr[at]
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            c = self.contexts.find(grams[miss] >> np.uint64(8))
+            out[miss] = np.where(c >= 0, self.missed[c], np.float32(0))
+        return out
 
 
 class ToxicityModel:
-    """The table of log-likelihood differences (None if nothing was learned), and the curve."""
+    """The table of log-likelihood differences (None if nothing was learned), whole if workers may hold it, and the curve."""
 
-    def __init__(self, ratios: DataFrame | None):
+    def __init__(self, ratios: DataFrame | None, grams: int = 0, local: int = LOCAL):
         self.ratios = ratios
+        self.table = Table(ratios) if ratios is not None and grams <= local else None
         self.weights, self.mean, self.scale = np.zeros(1 + len(_FEATURES)), np.zeros(len(_FEATURES)), np.ones(len(_FEATURES))
         self.weights[0] = -np.inf
 
     def features(self, docs: DataFrame, text: str) -> DataFrame:
         """``docs`` with whole, window and size."""
         fields = [T.StructField(x, T.DoubleType()) for x in _FEATURES]
+        docs = docs.drop(*_FEATURES)
         if self.ratios is None:
             return appended(docs, text, fields, lambda data, off: [np.zeros(len(off) - 1)] * len(fields))
-        docs = docs.drop(*_FEATURES)
+        if self.table:
+            shared = docs.sparkSession.sparkContext.broadcast(self.table)  # of checked size
+            return appended(docs, text, fields, lambda data, off: list(_features(data, off, shared.value.of).T))
         blocks = blocked(docs, text)
         grams = wanted(blocks, text, _grams)
         value = F.coalesce(F.try_element_at("seen", F.col("gram").bitwiseAND(F.lit(255))), "missed")
         # the table grows with the corpus, so the join shuffles at every size
         answers = grams.withColumn("context", _context()).join(self.ratios.hint("merge"), "context").select("_block", "gram", value.alias("value"))
-        return answered(docs, blocks, answers, text, fields, lambda *x: list(_features(*x).T))
+
+        def make(data: np.ndarray, off: np.ndarray, index: Index, value: np.ndarray) -> list:
+            def ratios(g: np.ndarray) -> np.ndarray:
+                at = index.find(g)
+                return np.where(at >= 0, value[at], np.float32(0)) if len(value) else np.zeros(len(g), np.float32)
+
+            return list(_features(data, off, ratios).T)
+
+        return answered(docs, blocks, answers, text, fields, make)
 
     def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
         """Ridge logistic regression by Newton steps."""
@@ -176,19 +215,23 @@ class ToxicityModel:
         return self.features(docs, text).withColumn("score", 1 / (1 + F.exp(-z))).drop(*_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", calibration: int = 20_000, local: int = LOCAL) -> ToxicityModel:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
     # labels grow with the corpus, so the join shuffles at every size; only training rows reach it
-    counts = own.join(known.where(~aside).hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_count, "toxic int, gram long, n long")
+    counts = own.join(known.where(~aside).hint("merge"), "doc_id").select("text", "toxic").mapInArrow(tidy(_count), "toxic int, gram long, n long")
     t, o = (F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(x) for x, c in (("t", 1), ("o", 0)))
     grams = stored(counts.groupBy("gram").agg(t, o), "grams")
-    model = ToxicityModel(None if grams.isEmpty() else _ratios(grams))
-    sample = known.where(aside).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(calibration)
+    size = grams.count()
+    model = ToxicityModel(_ratios(grams) if size else None, size, local)
+    order = (F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    classes = known.agg(F.min("toxic"), F.max("toxic"), F.min(F.when(aside, F.col("toxic"))), F.max(F.when(aside, F.col("toxic")))).first()
+    # where the tenth lacks a class, all labelled rows stand in for it
+    sample = (known.where(aside) if classes[:2] == classes[2:] else known).orderBy(*order).limit(calibration)
     held = own.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    seen = model.features(held if model.ratios is not None else held.limit(0), "text").select("toxic", *_FEATURES).toPandas()
+    seen = model.features(held, "text").select("toxic", *_FEATURES).toPandas()
     model.fit_curve(seen[list(_FEATURES)].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
     return model
 
