@@ -11,11 +11,17 @@ cells send keys for them, so the join misses no pair.
 Steps: (1) one row per document with set size, 128-bit set fingerprint and sketch; equal sets
 become one class. (2) keys of cells, packed per task and bucket, meet in a bucket; each key group
 proposes its least member with every other one, small groups all pairs. (3) sketches reject, the
-texts of the rest are compared exactly. (4) in the larger groups, members that are still in
-different components are compared, too, in blocks. No cap on groups or candidates.
+shingle sets of the rest are compared whole. (4) in the larger groups, members that are still in
+different components are compared, too, in blocks. No cap on groups or candidates. Shingles are
+compared by 64-bit hashes of their words.
+
+The links that come out connect the components; pairs of a component that other links connect
+already aren't compared.
 
 Null, empty and word-less texts have an empty set and no links. Rows that repeat a doc_id are
-rows of their own; null doc_ids take no part in links and get a null component.
+rows of their own, also with different texts: classes are named by their sets. Null doc_ids take no
+part in links and get a null component. An empty table gives an empty one. Only the doc_id and text
+of a table are used, whatever other columns it has.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, batch, mix, partitions, ragged, steps, stored
+from .common import WORD_SPACE, batch, mix, partitions, ragged, steps, stored, tidy
 from .graph import components
+from .words import names
 
 #: Upper end of a size band over its lower end.
 BAND = 1.6
@@ -38,21 +45,9 @@ ALL_PAIRS = 6
 #: Members of a key group that one task compares with each other.
 BLOCK = 2048
 
-_RNG = np.random.default_rng(20240131)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            x = np.full(max(n, 1 << 20), base, np.uint64)
-            x[0] = 1
-            _POW[i] = np.multiply.accumulate(x)
-    return _POW[0][:n], _POW[1][:n]
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +63,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = ~gap
     end[:-1] &= gap[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end)
-    up, down = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up, out=total[1:])
-    return mix((total[e + 1] - total[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(s, off)
+    return names(_LOWER[data], s, e + 1 - s), np.searchsorted(s, off)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -306,18 +298,18 @@ def _verify(width: int, t: float):
     """Of one room: the host's text against each guest's, exactly."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, host, want = table["doc_id"].to_numpy(), table["host"].to_pylist(), table["f1"].to_numpy()
+        host, want = table["host"].to_pylist(), table["f1"].to_numpy()
         room, links = None, []
         sets = []
         for at, _, data, off in steps(table["text"].combine_chunks()):
             h, begin = shingle_sets(data, off, width)
             f1, _ = _prints(h, begin)
             for i in range(len(off) - 1):
-                if f1[i] == want[at + i]:
+                if f1[i] == want[at + i]:  # not the text of another row of the same doc_id
                     if host[at + i]:
-                        room = (ids[at + i], h[begin[i] : begin[i + 1]].copy())
+                        room = (want[at + i], h[begin[i] : begin[i + 1]].copy())
                     else:
-                        sets.append((ids[at + i], h[begin[i] : begin[i + 1]].copy()))
+                        sets.append((want[at + i], h[begin[i] : begin[i + 1]].copy()))
         if room:
             for d, x in sets:
                 both = np.intersect1d(x, room[1], assume_unique=True).size
@@ -369,30 +361,27 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
 
     documents: doc_id, n_shingles, component_id, one row per row of ``docs``. links: a, b, the
     verified pairs between class representatives (the least doc_id of equal sets) that connect
-    the components; equal sets share their representative.
+    the components, so not all pairs of a component; equal sets share their representative.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     t = float(threshold)
-    sets = stored(own.mapInArrow(_sets(width), SET_SCHEMA), "sets")
+    sets = stored(own.mapInArrow(tidy(_sets(width)), SET_SCHEMA), "sets")
     reps = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
     reps = stored(reps.agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
 
     size = partitions(spark) * 4
-    packed = own.select("text").mapInArrow(_keys(width, t, size), "bucket int, prints binary, runs binary, keys binary")
+    packed = own.select("text").mapInArrow(tidy(_keys(width, t, size)), "bucket int, prints binary, runs binary, keys binary")
     found = stored(packed.groupBy("bucket").applyInArrow(_groups, "a long, b long, members array<long>"), "keys")
 
-    def of(name: str) -> DataFrame:
-        return reps.select(F.col("f1").alias(name), F.col("rep").alias(f"r{name}"))
-
-    pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-    pairs = pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(own, reps, _sketched(pairs, reps), t, width)
 
     # the rest of the larger groups: members that no link has brought together yet, pair by pair in blocks
     now = components(links)
     groups = found.where("members IS NOT NULL").select(F.xxhash64("members").alias("g"), F.size("members").alias("size"), F.explode("members").alias("f1"))
-    seats = groups.join(reps.select("f1", "rep"), "f1").join(now, F.col("rep") == F.col("node"), "left")
+    sets_of = reps.select(F.col("f1").alias("rep"), "n_shingles", "sketch")
+    seats = groups.withColumnRenamed("f1", "rep").join(sets_of.select("rep"), "rep").join(now, F.col("rep") == F.col("node"), "left")
     seats = stored(seats.select("g", "size", "rep", F.coalesce("component", "rep").alias("comp")).distinct(), "seats")
     apart = seats.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
     seats = stored(_numbered(seats, apart), "apart")
@@ -400,14 +389,17 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     seats = seats.withColumn("x", F.pmod(F.hash("rep"), count)).withColumn("y", F.explode(F.sequence(F.lit(0), count - 1)))
     seats = seats.select("g", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "comp")
-    seats = seats.join(reps.select("rep", "n_shingles", "sketch").join(member, "rep"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch", F.filter("groups", lambda k: k < F.col("g")).alias("groups"))
+    seats = seats.join(sets_of.join(member, "rep"), "rep").select("g", "x", "y", "rep", "comp", "n_shingles", "sketch", F.filter("groups", lambda k: k < F.col("g")).alias("groups"))
     more = seats.groupBy("g", "x", "y").applyInPandas(_blocks(t), "a long, b long").distinct()
     links = links.union(_verified(own, reps, more, t, width, near=False))
     now = components(links)
-    label = reps.join(now, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(label, ["f1", "f2", "n_shingles"], "left")
+    label = reps.join(now, F.col("f1") == F.col("node"), "left").select("f1", "f2", "n_shingles", "rep", F.coalesce("component", "f1").alias("c"))
+    least = label.groupBy("c").agg(F.min("rep").alias("component_id"))
+    out = sets.join(label.join(least, "c").drop("c", "rep"), ["f1", "f2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")), links
+    for x in "ab":
+        links = links.withColumnRenamed(x, "f1").join(reps.select("f1", F.col("rep").alias(x)), "f1").drop("f1")
+    return out.select("doc_id", "n_shingles", whole.alias("component_id")), links.select("a", "b")
 
 
 def _numbered(seats: DataFrame, apart: DataFrame) -> DataFrame:
@@ -423,7 +415,7 @@ def _numbered(seats: DataFrame, apart: DataFrame) -> DataFrame:
 def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs with the sizes and sketches of both."""
     for x in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+        pairs = pairs.join(reps.select(F.col("f1").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
     return pairs.select("a", "b", "na", "sa", "nb", "sb")
 
 
@@ -431,13 +423,13 @@ def _verified(own: DataFrame, reps: DataFrame, pairs: DataFrame, t: float, width
     """Links among ``pairs``: the sketches reject first, then the texts meet in rooms, a host and some of its guests each."""
     spark = own.sparkSession
     if near:
-        pairs = pairs.mapInArrow(_near(t), "a long, b long").distinct()
+        pairs = pairs.mapInArrow(tidy(_near(t)), "a long, b long").distinct()
     pairs = stored(pairs, "pairs")
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 256))
     rooms = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", salt.alias("salt"))
-    guests = rooms.select(F.col("b").alias("doc_id"), F.col("a").alias("room"), "salt", F.lit(False).alias("host"))
-    hosts = rooms.select(F.col("a").alias("doc_id"), F.col("a").alias("room"), "salt", F.lit(True).alias("host")).distinct()
-    visits = guests.union(hosts).join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id")
-    seated = own.where("doc_id IS NOT NULL").join(visits, "doc_id").select("room", "salt", "host", "doc_id", "f1", "text")
+    guests = rooms.select(F.col("b").alias("f1"), F.col("a").alias("room"), "salt", F.lit(False).alias("host"))
+    hosts = rooms.select(F.col("a").alias("f1"), F.col("a").alias("room"), "salt", F.lit(True).alias("host")).distinct()
+    visits = guests.union(hosts).join(reps.select(F.col("rep").alias("doc_id"), "f1"), "f1")
+    seated = own.where("doc_id IS NOT NULL").join(visits, "doc_id").select("room", "salt", "host", "f1", "text")
     links = seated.groupBy("room", "salt").applyInArrow(_verify(width, t), "a long, b long")
     return stored(links.repartition(max(1, partitions(spark) // 4)), "links")
