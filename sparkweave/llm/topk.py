@@ -3,15 +3,17 @@
 Inner products become distances: with R the largest norm of the data, x is lifted to
 (x, sqrt(R^2-|x|^2)) and a query to (q, 0); then |q-x|^2 = |q|^2 + R^2 - 2 q.x. Queries and data
 are grouped by the nearest of a few pivots (a bounded sample of the data). From summaries per
-group (the radius of the queries, the k+1 least distances of the data) follows for each query
-group a distance within which each of its queries has k others; a data row goes only to the
+group (the radius of the queries, the distances of the nearest k+1 different ids of the data) follows
+for each query group a distance within which each of its queries has k others; a data row goes only to the
 query groups in whose reach it lies. Each (block of queries, chunk of data) is solved locally,
 and the best k of each query's chunks are its result. Blocks and chunks are bounded, so no group
 lands in one task, however many vectors are alike.
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count
-as padded with zeros; rows with a null id take no part. Equal rows count once; a query never
-meets rows of its own id. Ties go to the smaller id.
+as padded with zeros; rows with a null id take no part. Equal rows count once, rows of one id with
+different vectors are different candidates; a query never meets rows of its own id. Ties go to the
+smaller id. Scores are exact up to 2^63, beyond which a ValueError is raised. An empty table gives an
+empty one. Only the id and vector of a table are used, whatever other columns it has.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 BLOCK = 4096
 CHUNK = 8192
@@ -59,12 +61,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k highest scores, ties to the smaller id; -inf is no candidate."""
+    """(row, column) of each row's k highest scores, ties to the smaller id; the least value of the type is no candidate."""
+    none = -np.inf if score.dtype.kind == "f" else np.iinfo(score.dtype).min
     if score.shape[1] > k:
         least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-        row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        row, col = np.nonzero((score >= least[:, None]) & (score > none))
     else:
-        row, col = np.nonzero(score > -np.inf)
+        row, col = np.nonzero(score > none)
     order = np.lexsort((ids[col], -score[row, col], row))
     row, col = row[order], col[order]
     start = np.searchsorted(row, np.arange(score.shape[0]))
@@ -87,7 +90,9 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "id", vector: str = "ve
     for i, r in enumerate(sample):
         pivots[i, : len(r["v"])] = r["v"]
     lifted, kind = _lifted(pivots, most), np.int32 if widest < 2**31 else np.int64
-    exact = dim * float(widest) ** 2 < 2**53
+    if dim * int(widest) ** 2 >= 2**63:
+        raise ValueError("inner products of these vectors don't fit into 64 bits")
+    exact = dim * int(widest) ** 2 < 2**53
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,15 +105,18 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "id", vector: str = "ve
             at = np.arange(len(x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(asks), pa.array(group, pa.int32()), pa.array(d[at, group]), pa.array(qgroup, pa.int32()), pa.array(dq[at, qgroup])], names=["id", "query", "g", "d", "qg", "dq"])
 
-    dealt = stored(own.mapInArrow(assign, "id long, query boolean, g int, d double, qg int, dq double"), "groups")
-    near = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("d"))).where(F.col("rn") <= k + 1)
-    near = [(r["g"], r["d"]) for r in near.select("g", "d").collect()]
+    dealt = stored(own.mapInArrow(tidy(assign), "id long, query boolean, g int, d double, qg int, dq double"), "groups")
+    near = dealt.groupBy("g", "id").agg(F.min("d").alias("d"))
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("d", "id"))).where(F.col("rn") <= k + 1)
+    near = [(r["g"], r["d"], r["id"]) for r in near.select("g", "d", "id").collect()]
     radius = {r["qg"]: (r["n"], r["u"]) for r in dealt.where("query").groupBy("qg").agg(F.count("*").alias("n"), F.max("dq").alias("u")).collect()}
     between = _distances(lifted, lifted)
     reach, blocks = np.full(len(sample), -1.0), np.zeros(len(sample), np.int64)
     for i, (size, u) in radius.items():
-        bound = sorted(u + between[i, j] + d for j, d in near)
-        theta = bound[k] if len(bound) > k else np.inf
+        bound: dict[int, float] = {}
+        for far, x in sorted((u + between[i, j] + d, x) for j, d, x in near):
+            bound.setdefault(x, far)
+        theta = list(bound.values())[k] if len(bound) > k else np.inf
         reach[i], blocks[i] = (u + theta) * (1 + 1e-9) + 1e-6, -(-size // BLOCK)
     chunks = max(1, -(-n // CHUNK))
 
@@ -140,14 +148,13 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "id", vector: str = "ve
             ids, asks = xs["id"].to_numpy(), qs["qid"].to_numpy()
             for at in range(0, len(q), 256):
                 s = q[at : at + 256] @ x.T
-                full = s.astype(np.float64)
-                full[asks[at : at + 256, None] == ids] = -np.inf
-                row, col = best_of(full, ids, k)
+                s[asks[at : at + 256, None] == ids] = -np.inf if exact else np.iinfo(np.int64).min
+                row, col = best_of(s, ids, k)
                 out.append(pd.DataFrame({"query_id": asks[at + row], "id": ids[col], "score": s[row, col].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
 
-    data = own.select("id", "v").mapInArrow(send, "g int, block int, chunk int, id long, x binary")
-    asked = own.where("query").select("id", "v").mapInArrow(ask, "qg int, qblock int, qchunk int, qid long, q binary")
+    data = own.select("id", "v").mapInArrow(tidy(send), "g int, block int, chunk int, id long, x binary")
+    asked = own.where("query").select("id", "v").mapInArrow(tidy(ask), "qg int, qblock int, qchunk int, qid long, q binary")
     found = asked.groupBy("qg", "qblock", "qchunk").cogroup(data.groupBy("g", "block", "chunk")).applyInPandas(solve, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
