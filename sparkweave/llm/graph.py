@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -58,5 +58,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, large.a == low.u)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        now = stored(small.where("a <> b").distinct(), "edges")
+        before, now = now, stored(small.where("a <> b").distinct(), "edges")
+        dropped(before)
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
