@@ -9,8 +9,9 @@ text, its position ids' start (the length of its ancestors), the intervals it ma
 (itself and its ancestors, adjacent ones joined), and, for assistants, the span of its text under the loss mask.
 
 Null roles and texts are empty. Turns of a conversation are ordered by (turn, role, text), nulls
-first, so ties and repeated rows have a fixed place, and all are kept. Rows with a null conv_id are
-one conversation of their own. Units are code points. A conversation is held whole by one task.
+first, so ties and repeated rows have a fixed place, and all are kept. Each row with a null conv_id is
+a conversation of its own. Units are code points. A conversation is held whole by one task. An empty
+table gives an empty one; columns other than conv_id, turn, role and text are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, tidy
 
 TURN, END = "<|turn|>", "<|end|>"
 PACK_CHARS, PACK_CONVERSATIONS = 1 << 16, 512
@@ -101,13 +102,14 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack.row(f"{part}-{number}")
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """Packs of conversations (conv_id, turn, role, text): pack, text, nodes, members."""
+def format_chats(conversations: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Packs of conversations (conv_id, turn, role, text): pack, text, nodes, members. Rows that differ in ``apart`` belong to different ones."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone"), *apart).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = whole.withColumn("order", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
     dealt = whole.repartitionByRange(partitions(conversations.sparkSession), "order", "conv_id").sortWithinPartitions("order", "conv_id")
-    return dealt.select("conv_id", "turns").mapInArrow(_packs, _SQL)
+    return dealt.select("conv_id", "turns").mapInArrow(tidy(_packs), _SQL)
 
 
 _READ = pa.schema([("conv_id", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("loss", pa.list_(pa.string())), ("formatted_chars", pa.int64())])
@@ -133,7 +135,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_chats(packs: DataFrame) -> DataFrame:
     """Each conversation, read back from its leaf's attention intervals: conv_id, turns, loss (texts under the mask), formatted_chars."""
-    return packs.mapInArrow(_unpack, "conv_id long, turns array<struct<role:string,text:string>>, loss array<string>, formatted_chars long")
+    return packs.mapInArrow(tidy(_unpack), "conv_id long, turns array<struct<role:string,text:string>>, loss array<string>, formatted_chars long")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,5 +151,6 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
     """All conversations and number -1, whose texts are control strings, formatted, packed and read back."""
     spark, said = conversations.sparkSession, "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    packs = format_chats(conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
-    return read_chats(packs).mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("added", F.lit(False)).unionByName(extra.withColumn("added", F.lit(True)))
+    packs = format_chats(rows, apart=("added",))
+    return read_chats(packs).mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
