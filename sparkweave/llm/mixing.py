@@ -11,10 +11,13 @@ are drawn, u a hash of its id and text.
 
 Null and empty texts have no words; they get the rate that follows from their posteriors. Repeated
 rows are rows of their own. Without labelled rows of at least one domain, posteriors are the targets.
+An empty table gives an empty one. Columns named n_words, posteriors, rate or copies are replaced.
+Where the targets can't be met within the tolerance, a warning says how far the mixture stays from them.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_SPACE, appended, stored
+from .common import WORD_SPACE, appended, stored, tidy
 
 CELLS = 512
 _PAIR = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64)
@@ -123,7 +126,7 @@ def fit_rates(scored: DataFrame, model: DomainModel, total: float | None = None,
                 r = rates_of(p, steps)
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*((t * r) @ p), *((p * (t * (r > 0))[:, None]).T @ p).ravel())], names=names)
 
-        got = scored.select("n_words", "posteriors").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+        got = scored.select("n_words", "posteriors").mapInArrow(tidy(run), ", ".join(f"{x} double" for x in names))
         x = np.array([x or 0.0 for x in got.agg(*(F.sum(n) for n in names)).first()], float)
         return x[:k], x[k:].reshape(k, k)
 
@@ -143,6 +146,9 @@ def fit_rates(scored: DataFrame, model: DomainModel, total: float | None = None,
             steps, now, moments, size = [*steps, step], then, moved, min(1.0, 2 * size)
         else:
             size /= 2
+    missed = float(np.abs(now - goal).max() / whole)
+    if missed >= tolerance:
+        warnings.warn(f"the mixture stays {missed:.2g} of all words from its targets", stacklevel=2)
     return steps
 
 
@@ -150,7 +156,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: s
     """``docs`` with n_words, posteriors, rate and copies."""
     spark = docs.sparkSession
     model = fit_domains(docs, labels, targets, text)
-    scored = with_posteriors(docs, model, text)
+    scored = with_posteriors(docs.drop("rate", "copies"), model, text)
     small = stored(with_posteriors(docs.select(F.col(text).cast("string").alias("text")), model).select("n_words", "posteriors"), "posteriors")
     steps = spark.sparkContext.broadcast(fit_rates(small, model, total))
     k, at = len(model.domains), scored.columns.index("posteriors")
@@ -162,7 +168,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(rates_of(_posteriors(b, at, k), steps.value), 6))], names=names)
 
     u = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30)) / float(1 << 30)
-    return scored.drop("rate").mapInArrow(run, schema).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
+    return scored.mapInArrow(tidy(run), schema).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
