@@ -3,10 +3,16 @@
 Every stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a DataFrame; all but
 the last return the columns of ``documents``. ``run`` writes each stage's result as Parquet into
 the shared folder and reads it for the next one.
+
+In every stage nulls, empty and very long texts are ordinary input, an empty table gives an empty
+one, repeated rows and doc_ids are rows of their own, and columns that bear names the operators use
+stay what they were: they are put aside under other names and come back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,35 +24,60 @@ from sparkweave.llm.common import read, stored
 TARGETS = {"high": 0.9, "low": 0.1}
 
 
+#: A text isn't of a learned language if coding its bytes after each other takes so many bits more, in all and a byte.
+ODD_BITS, ODD_SHARE = 40.0, 0.5
+
+
+def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but those used under names of their own, and what gives a result the columns of ``docs``."""
+    names = [c if c in used else f"own_{i}_" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go."""
-    model = langid.train(docs)
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Documents whose language can't be told go: null texts, texts without a letter, and texts of no learned language.
+
+    The last are texts that the model codes longer by the bytes' order in every learned language
+    than without it (``odd``), as it is with random letters and with scripts never seen. A corpus
+    without a null-free (text, lang) row teaches no language, so all go.
+    """
+    rows, back = _aside(docs, "text", "lang")
+    told = langid.identify(rows, langid.train(rows))
+    foreign = (F.col("odd") > ODD_BITS) & (F.col("odd") > ODD_SHARE * F.octet_length("text"))
+    return back(told.where((F.col("lang_pred") != langid.UNKNOWN) & ~foreign))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are rather toxic than not go."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    """Documents that are rather toxic than not go; null and empty texts, and all texts if no labels are there, stay."""
+    rows, back = _aside(docs, "doc_id", "text")
+    model = toxicity.train(rows, read(spark, sf_dir, "labels"))
+    return back(toxicity.score(rows, model).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; rows without a doc_id stay."""
-    classes, _ = jaccard.jaccard_join(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group stays: the one with the least doc_id, a null one last.
+
+    Rows are told apart by a number of their own, so different documents of one doc_id stay, and of
+    equal rows one does. Texts without words are linked with nothing and stay.
+    """
+    rows, back = _aside(docs, "doc_id", "text")
+    rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    classes, _ = jaccard.jaccard_join(rows, doc_id="row_")
+    ids = rows.select(F.col("row_").alias("doc_id"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_")).alias("first"))
+    kept = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min("first").alias("first")).select("first.row_")
+    return back(rows.join(kept, "row_", "left_semi"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the fitted rates give; its columns stay as they are."""
-    out = mixing.mixed(docs, mixing.domains_of(read(spark, sf_dir, "labels")), TARGETS)
+    rows, back = _aside(docs, "doc_id", "text")
+    out = mixing.mixed(rows, mixing.domains_of(read(spark, sf_dir, "labels")), TARGETS)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return out.where("copies > 0").withColumn("copy", copies).select(*docs.columns)
+    return back(out.where("copies > 0").withColumn("copy_", copies))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and how many there are."""
+    """doc_id, lang, source, ids and how many there are; null and empty texts have none."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
