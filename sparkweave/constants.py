@@ -28,4 +28,13 @@ THRESHOLD_WITH_CATEGORY, THRESHOLD_WITHOUT = 0.60, 0.75
 PROGRESS_KEYS, CACHE_KEYS, RECENT_ANCHORS, BATCH = 1000, 2000, 50, 12
 RETENTION_DAYS = {"llm_trace": 90, "audit_log": 396, "lineage_event": 396}
 MIN_DAYS, MAX_DAYS = 30, 3650
+MANUAL_REJECT = "manual_reject"
+VERDICTS = (REUSABLE, DOUBTFUL, BLOCKED)
+DEFAULT_REASON, REASON_CHARS = "LLM 返回的判定理由无效，请人工审核", 200
+DEADLINE_DAYS = 30
+TICKET_STATUS = ("received", "in_progress", "completed", "rejected")
+BOUNDS = {
+    "title": (1, 500, "text"), "category": (0, 100, "text"), "top_k": (1, 10, "number"), "term": (1, 500, "text"), "contact": (3, 500, "text"),
+    "note": (0, 2000, "text"), "reason": (1, 2000, "text"), "cron": (9, 100, "text"),
+}
 # end of fixed values

@@ -69,11 +69,32 @@ def luhn_ok(c: Column) -> Column:
     return F.length(digits).between(13, 19) & (F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0)
 
 
+# The least and greatest number of each cron field, and the names that stand for numbers.
+CRON = ((0, 59, ()), (0, 23, ()), (1, 31, ()), (1, 12, ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")), (0, 7, ("sun", "mon", "tue", "wed", "thu", "fri", "sat")))
+# end of fixed values
+
+
 def cron_ok(c: Column) -> Column:
-    """Five fields of cron characters."""
-    fields = F.split(F.trim(c), r"\s+")
-    return (F.size(fields) == 5) & F.forall(fields, lambda x: x.rlike(r"^[0-9*/,\-A-Za-z?]+$"))
+    """Five fields, each a list of *, values or ranges, with steps, whose numbers are in the field's bounds."""
+    fields = F.split(strip(c), r"[\s\p{Z}]+")
+    ok = F.size(fields) == 5
+    for i, (low, high, names) in enumerate(CRON):
+        numbers = "|".join(f"0?{n}" if n < 10 else str(n) for n in range(high, low - 1, -1))
+        value = f"(?:{'|'.join([numbers, *names])})"
+        part = rf"(?:\*|{value}(?:-{value})?)(?:/0*[1-9]\d{{0,2}})?"
+        ok = ok & F.coalesce(F.lower(F.get(fields, F.lit(i))).rlike(f"^{part}(?:,{part})*$"), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
 
 
 def safe_redirect(c: Column) -> Column:
     return F.when(c.startswith("/") & ~c.startswith("//"), c).otherwise("/")
+
+
+def listed(words: Column) -> Column:
+    """Words as a prompt names them."""
+    return F.array_join(words, "、")
+
+
+def unlisted(text: Column) -> Column:
+    """The words of a text that separates them by either comma, without blanks."""
+    return F.filter(F.transform(F.split(text, "[、,]"), strip), lambda x: x != "")

@@ -20,11 +20,15 @@ def position_score(rank):
 
 
 def best_scores(suggestions: DataFrame, *keys: str) -> DataFrame:
-    """One row per word: its best score, and the first category by (rank, category) among the rows that have it."""
-    rows = suggestions.withColumn("score", position_score(F.col("rank")))
-    best = rows.groupBy(*keys, "word", "score").agg(F.min(F.when(F.col("category").isNotNull(), F.struct("rank", "category"))).alias("c"))
-    top = best.groupBy(*keys, "word").agg(F.max(F.struct("score", "c")).alias("t"))
-    return top.select(*keys, "word", F.col("t.score").alias("trend_score"), F.col("t.c.category").alias("category"))
+    """One row per word: its best score, and the first category by (rank, category) among the rows that have it.
+
+    The score falls with the rank, so numbers decide: first a count of distinct (word, category) by
+    their least rank, which combines before the shuffle, then one row per word.
+    """
+    least = suggestions.groupBy(*keys, "word", "category").agg(F.min("rank").alias("rank"))
+    top = least.groupBy(*keys, "word").agg(F.min("rank").alias("r"), F.min(F.when(F.col("category").isNotNull(), F.struct(F.col("rank"), F.col("category")))).alias("c"))
+    best, first = position_score(F.col("r")), position_score(F.col("c.rank"))
+    return top.select(*keys, "word", best.alias("trend_score"), F.when(first == best, F.col("c.category")).alias("category"))
 
 
 def top_per_country(scored: DataFrame, n: int = TOP_PER_COUNTRY, *keys: str) -> DataFrame:
@@ -64,3 +68,14 @@ def positional_lookup(words: Column, clean: Column, pieces: Column, answers: Col
     rows = F.slice(F.arrays_zip(words.alias("word"), clean.alias("clean"), pieces.alias("piece")), F.lit(1), n)
     found = F.transform(rows, lambda x: F.struct(x["word"].alias("word"), strip(F.coalesce(*(F.try_element_at(answers, x[k]) for k in ("piece", "clean", "word")))).alias("translation")))
     return F.filter(found, lambda x: x["translation"] != "")
+
+
+def country_quota(countries: int, total: int = TOTAL_CAP) -> int:
+    """Words of each country in a run."""
+    return total // countries
+
+
+def first_words(words: DataFrame, n: int) -> DataFrame:
+    """The ``n`` first words of each country by (rank, word)."""
+    w = Window.partitionBy("country").orderBy("rank", "word")
+    return words.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

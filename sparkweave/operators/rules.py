@@ -10,11 +10,16 @@ from ..functions.text import contains_folded, has_word
 
 
 def rule_entries(files: DataFrame, key: str) -> DataFrame:
-    """(country, ord, word, rule_id) from ``files`` (country, json): entries are strings or objects, others are dropped."""
-    entries = files.select("country", F.posexplode(F.from_json(F.get_json_object("json", f"$.{key}"), "array<string>")).alias("ord", "raw"))
-    is_object = F.col("raw").startswith("{")
-    word = F.when(is_object, F.get_json_object("raw", "$.word")).when(~F.col("raw").rlike(r"^(-?\d+(\.\d+)?|true|false|null|\[.*)$"), F.col("raw"))
-    return entries.select("country", "ord", word.alias("word"), F.when(is_object, F.get_json_object("raw", "$.rule_id")).alias("rule_id")).where("word IS NOT NULL")
+    """(country, ord, word, rule_id) from ``files`` (country, json): entries are texts or objects with a text as word, others are dropped.
+
+    Files that aren't JSON, or lack the list, have no entries. ord is the place in the list.
+    """
+    text = lambda x, path: F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
+    listed = F.try_variant_get(F.try_parse_json("json"), f"$.{key}", "variant")
+    rows = files.select("country", listed.alias("listed")).where(F.startswith(F.schema_of_variant("listed"), F.lit("ARRAY")))
+    entries = rows.select("country", F.posexplode(F.try_variant_get("listed", "$", "array<variant>")).alias("ord", "raw"))
+    word = F.coalesce(text(F.col("raw"), "$"), text(F.col("raw"), "$.word"))
+    return entries.select("country", "ord", word.alias("word"), text(F.col("raw"), "$.rule_id").alias("rule_id")).where("word IS NOT NULL")
 
 
 def statutory(words: DataFrame, word: str = "word", terms: dict[str, tuple[str, ...]] = STATUTORY_TERMS) -> DataFrame:
@@ -47,11 +52,3 @@ def verdicts(words: DataFrame, safe: DataFrame, entries: DataFrame) -> DataFrame
     is_safe = F.coalesce("_safe", F.lit(False))
     rule = F.when(~is_safe, F.coalesce("statutory_rule", "banned_rule"))
     return out.withColumn("verdict", F.when(is_safe, True).when(rule.isNotNull(), False)).withColumn("rule_id", rule).drop("_safe")
-
-
-def changed(entries: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
-    """Entries after an edit, with action: added, exists or removed per (country, word)."""
-    if add is not None:
-        new = add.select("country", "word").distinct().join(entries, ["country", "word"], "left_anti").withColumn("action", F.lit("added"))
-        return entries.select("country", "word", F.lit("exists").alias("action")).union(new)
-    return entries.select("country", "word").join(remove.select("country", "word").distinct(), ["country", "word"], "left_anti").withColumn("action", F.lit("exists"))

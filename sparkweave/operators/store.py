@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import MAX_DAYS, MIN_DAYS, RETENTION_DAYS
 from ..functions.ids import row_hash
 
 
@@ -83,13 +82,11 @@ def purge(table: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return table.where(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
 
 
-def valid_policy(key: str, days: int) -> None:
-    if key not in RETENTION_DAYS or not MIN_DAYS <= days <= MAX_DAYS:
-        raise ValueError(f"no such policy: {key}, {days} days")
-
-
 def redact_json(c: Column, term: str, mark: str = "<REDACTED>") -> Column:
-    """Replaces a term in all string values of a JSON text; keys stay."""
+    """Replaces a term in all string values of a JSON text, whatever their depth; keys stay.
+
+    In a text that isn't JSON the term is replaced as it stands; an empty term replaces nothing.
+    """
     def walk(v):
         if isinstance(v, str):
             return v.replace(term, mark)
@@ -97,7 +94,15 @@ def redact_json(c: Column, term: str, mark: str = "<REDACTED>") -> Column:
             return [walk(x) for x in v]
         return {k: walk(x) for k, x in v.items()} if isinstance(v, dict) else v
 
+    def one(t: str | None) -> str | None:
+        if t is None or not term:
+            return t
+        try:
+            return json.dumps(walk(json.loads(t)), ensure_ascii=False)
+        except ValueError:
+            return t.replace(term, mark)
+
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False))
+        return s.map(one)
 
     return F.pandas_udf(run, "string")(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import COUNTRIES, STATUTORY_TERMS
@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.ids import point_id
 from ..functions.pii import pseudonymise
 from ..functions.vector import normalise
-from ..operators import collect, rules, search, store
+from ..operators import collect, points, rules, search, store
 from .views import duck_query, spark_query, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,8 +108,8 @@ def fold(x: str) -> str:
 _CLEAN = f"clean AS (SELECT * FROM suggestions WHERE length(word) >= 2 AND {fold('word')} <> {fold('seed')} AND NOT regexp_matches(word, '^[0-9]+$'))"
 _BEST = _CLEAN + """, scored AS (SELECT *, round(greatest(0.1, 1 - rank / 15.0), 4) AS score FROM clean),
 best AS (SELECT country, source, word, max(score) AS trend_score FROM scored GROUP BY ALL),
-cats AS (SELECT s.country, s.source, s.word, s.category, row_number() OVER (PARTITION BY s.country, s.source, s.word ORDER BY s.rank, s.category) AS n FROM scored s JOIN best b USING (country, source, word) WHERE s.score = b.trend_score AND s.category IS NOT NULL),
-words AS (SELECT b.country, b.source, b.word, b.trend_score, c.category FROM best b LEFT JOIN (SELECT * FROM cats WHERE n = 1) c USING (country, source, word)),
+cats AS (SELECT country, source, word, score, min(struct_pack(r := rank, c := category)).c AS category FROM scored WHERE category IS NOT NULL GROUP BY country, source, word, score),
+words AS (SELECT b.country, b.source, b.word, b.trend_score, c.category FROM best b LEFT JOIN cats c ON c.country = b.country AND c.source = b.source AND c.word = b.word AND c.score = b.trend_score),
 tops AS (SELECT *, row_number() OVER (PARTITION BY country, source ORDER BY trend_score DESC, word) AS ord FROM words)"""
 _MERGE = _BEST + f""", staged AS (SELECT *, CASE WHEN source = 'ebay_suggest' THEN 1 WHEN ord <= 15 THEN 0 ELSE 2 END AS phase FROM tops WHERE ord <= 50),
 once AS (SELECT *, row_number() OVER (PARTITION BY country, {fold('word')} ORDER BY phase, ord) AS k FROM staged),
@@ -240,9 +240,9 @@ def counters(spark, sf_dir):
 
 @operator("q20_running_progress", ("terms",), f"WITH {_ROUTED} SELECT id, country, action, sum(CASE WHEN action = 'approved' THEN 1 ELSE 0 END) OVER w AS approved, count(*) OVER w AS processed FROM routed WINDOW w AS (PARTITION BY country ORDER BY id)")
 def progress(spark, sf_dir):
-    w = Window.partitionBy("country").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = F.when(F.col("action") == "approved", 1).otherwise(0)
-    return _routed(spark, sf_dir).select("id", "country", "action", F.sum(one).over(w).alias("approved"), F.count("*").over(w).alias("processed"))
+    out = points.running(_routed(spark, sf_dir), "country", "id", one, "approved")
+    return points.running(out, "country", "id", F.lit(1), "processed").select("id", "country", "action", "approved", "processed")
 
 
 # ---------------------------------------------------------------- progress and sets
@@ -251,10 +251,16 @@ both("q21_unseen_anti_join", ("suggestions",), "SELECT DISTINCT a.country, a.wor
 both("q22_exists_flag", ("tags", "suggestions"), "SELECT s.country, s.word, t.word IS NOT NULL AS known FROM (SELECT DISTINCT country, word FROM suggestions) s LEFT JOIN (SELECT DISTINCT country, split_part(word, ' ', 1) AS word FROM tags) t ON t.country = s.country AND t.word = s.word")
 both("q23_last_n_keys", (), "SELECT event_id, user_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 1000")
 both("q24_recent_anchors", ("anchors",), "SELECT id, cn_word, category FROM anchors ORDER BY created_at DESC, id LIMIT 50")
-both("q25_batch_groups", ("tags",), "SELECT id, country, CAST(floor((row_number() OVER (PARTITION BY country ORDER BY id) - 1) / 12) AS BIGINT) AS batch FROM tags")
+
+
+@operator("q25_batch_groups", ("tags",), "SELECT id, country, CAST(floor((row_number() OVER (PARTITION BY country ORDER BY id) - 1) / 12) AS BIGINT) AS batch FROM tags")
+def batch_groups(spark, sf_dir):
+    return points.numbered(view(spark, sf_dir, "tags").select("id", "country"), "country", "id", 12)
+
+
 both("q36_linked_counts", ("anchors", "tags"), "SELECT a.id, a.cn_word, coalesce(c.n, 0) AS linked FROM anchors a LEFT JOIN (SELECT anchor_id, count(*) AS n FROM tags GROUP BY anchor_id) c ON c.anchor_id = a.id")
 both("q34_filtered_counts", ("tags",), "SELECT country, category, count(*) AS n FROM tags WHERE contains(word, 'th') GROUP BY country, category")
-both("q35_dashboard", ("anchors", "tags"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, {R}(t.n / (t.n + t.p), 3) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END) AS DOUBLE) AS n, CAST(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t".replace("{R}", "bround"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, round_even(t.n / (t.n + t.p), 3) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END) AS DOUBLE) AS n, CAST(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t")
+both("q35_dashboard", ("anchors", "tags"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, coalesce({R}(try_divide(t.n, t.n + t.p), 3), 0.0D) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(coalesce(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n, CAST(coalesce(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t".replace("{R}", "bround"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, coalesce(round_even(t.n / nullif(t.n + t.p, 0), 3), 0.0) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(coalesce(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n, CAST(coalesce(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t")
 
 # ---------------------------------------------------------------- rerank
 
@@ -286,10 +292,10 @@ def any_flag(spark, sf_dir):
     return _qid(_reranked(spark, sf_dir)).groupBy("qid", "country").agg(F.coalesce(F.bool_or("ai_generated"), F.lit(False)).alias("ai_assisted"), F.count("*").alias("n"))
 
 
-@operator("q29_candidate_text_block", ("anchors", "tags"), f"WITH {_ASKED} SELECT qid, country, string_agg('- ' || word || coalesce(' (类目: ' || category || ')', '') || ' (相似度: ' || printf('%.4f', floor(similarity * 10000 + 0.5) / 10000) || ')', chr(10) ORDER BY ord) AS block FROM ranked WHERE ord <= 8 GROUP BY qid, country")
+@operator("q29_candidate_text_block", ("anchors", "tags"), f"WITH {_ASKED} SELECT qid, country, string_agg('- ' || word || coalesce(' (类目: ' || category || ')', '') || ' (热度: ' || CAST(trend_score AS VARCHAR) || ')' || ' (相似度: ' || printf('%.4f', floor(similarity * 10000 + 0.5) / 10000) || ')', chr(10) ORDER BY ord) AS block FROM ranked WHERE ord <= 8 GROUP BY qid, country")
 def text_block(spark, sf_dir):
     c = _qid(search.recall(view(spark, sf_dir, "tags"), _asked(spark, sf_dir), 8))
-    line = F.concat(F.lit("- "), "word", F.coalesce(F.concat(F.lit(" (类目: "), "category", F.lit(")")), F.lit("")), F.format_string(" (相似度: %.4f)", F.floor(F.col("similarity") * 10000 + 0.5) / 10000))
+    line = F.concat(F.lit("- "), "word", F.coalesce(F.concat(F.lit(" (类目: "), F.nullif("category", F.lit("")), F.lit(")")), F.lit("")), F.coalesce(F.when(F.col("trend_score") != 0, F.concat(F.lit(" (热度: "), F.col("trend_score").cast("string"), F.lit(")"))), F.lit("")), F.format_string(" (相似度: %.4f)", F.floor(F.col("similarity") * 10000 + 0.5) / 10000))
     lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
     return c.groupBy("qid", "country").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
 
@@ -349,8 +355,8 @@ both("q41_audit_list", ("audit",), "SELECT id, ts, actor, action FROM audit WHER
 @operator("q42_retention_purge", (), "WITH now AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS n, min(event_id) AS first FROM events, now WHERE ts >= t - INTERVAL 10 DAY GROUP BY event_type")
 def retention(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return store.purge(e, "ts", now, 10).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
+    return store.purge(e.join(now), "ts", F.col("now"), 10).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 both("q43_dsar_search", ("tags", "anchors", "audit", "traces"), "SELECT 'tags' AS store, CAST(id AS VARCHAR(20)) AS rid FROM tags WHERE contains(word, 'The') UNION ALL SELECT 'anchors', CAST(id AS VARCHAR(20)) FROM anchors WHERE contains(cn_word, 'The') UNION ALL SELECT 'traces', concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) FROM traces WHERE response ILIKE '%The%' UNION ALL SELECT 'audit', CAST(id AS VARCHAR(20)) FROM audit WHERE detail ILIKE '%7%'")
@@ -367,11 +373,19 @@ both("q46_lineage_by_run", (), "SELECT user_id AS run_id, event_id, event_type,
 both("q47_trace_lookup", ("traces",), "SELECT t.conv_id, t.turn, t.word_sha256 FROM traces t WHERE t.word_sha256 IN (SELECT word_sha256 FROM traces GROUP BY word_sha256 HAVING count(*) > 1)")
 
 
+_REDACTED = "text"
+for _p, _m in tx.LOG_PATTERNS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '{_m}', 'g')"
+
+
 @operator("q48_log_redaction")
 def log_redaction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.redact_log(F.col("text")).alias("line"))
 
 
+ORACLE_SQL["q48_log_redaction"] = f"SELECT doc_id, {_REDACTED} AS line FROM documents"
+
+
 @operator("q49_luhn", (), "WITH d AS (SELECT p_partkey, concat('4539', lpad(CAST(p_partkey AS VARCHAR), 12, '7')) AS x FROM part) SELECT p_partkey, x, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(x)[i] AS INT) ELSE (CAST(reverse(x)[i] AS INT) * 2) % 10 + (CAST(reverse(x)[i] AS INT) * 2) // 10 END)) % 10 = 0 AS ok FROM d")
 def luhn(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("4539"), F.lpad(F.col("p_partkey").cast("string"), 12, "7")).alias("x"))

@@ -8,10 +8,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _WORDS = {"spark": r"split(trim(text), '\\s+')", "duck": r"regexp_split_to_array(trim(text), '\s+')"}
 _TWO = {"spark": r"concat_ws(' ', slice(split(trim(d.text), '\\s+'), 1, 2))", "duck": r"array_to_string(regexp_split_to_array(trim(d.text), '\s+')[1:2], ' ')"}
 _POSITIONS = {
-    "spark": "SELECT doc_id, lang, seed_words, CAST(p AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, {words} AS seed_words FROM {t} WHERE text IS NOT NULL) LATERAL VIEW posexplode(seed_words) x AS p, word",
-    "duck": "SELECT doc_id, lang, seed_words, CAST(i - 1 AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, w AS seed_words, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, lang, {words} AS w FROM {t} WHERE text IS NOT NULL))",
+    "spark": "SELECT doc_id, lang, seed, CAST(p AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, {words} AS w, regexp_extract(trim(text), '^(\\\\S*)', 1) AS seed FROM {t} WHERE text IS NOT NULL) LATERAL VIEW posexplode(w) x AS p, word",
+    "duck": "SELECT doc_id, lang, seed, CAST(i - 1 AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, w[1] AS seed, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, lang, {words} AS w FROM {t} WHERE text IS NOT NULL))",
 }
-_FIRST = {"spark": "element_at(seed_words, 1)", "duck": "seed_words[1]"}
 _COUNTRY = "CASE {x} % 6 WHEN 0 THEN 'DE' WHEN 1 THEN 'FR' WHEN 2 THEN 'NL' WHEN 3 THEN 'UK' WHEN 4 THEN 'IT' ELSE 'ES' END"
 #: What each view stands on, in order.
 NEEDS = {"anchors": ("base",), "tags": ("base",), "suggestions": (), "terms": (), "audit": (), "traces": (), "base": ()}
@@ -27,7 +26,7 @@ def _view(name: str, kind: str, table) -> str:
     if name == "suggestions":
         rows = _POSITIONS[kind].format(words=_WORDS[kind], t=table("documents"))
         country = "CASE WHEN lang = 'en' THEN 'UK' WHEN doc_id % 4 = 3 THEN CASE WHEN doc_id % 8 = 3 THEN 'IT' ELSE 'NL' END ELSE upper(lang) END"
-        return f"SELECT doc_id, {country} AS country, {_FIRST[kind]} AS seed, word, rank, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('g', CAST(doc_id % 4 AS VARCHAR(9))) END AS category, CASE WHEN doc_id % 2 = 0 THEN 'amazon_suggest' ELSE 'ebay_suggest' END AS source FROM ({rows}) x"
+        return f"SELECT doc_id, {country} AS country, seed, word, rank, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('g', CAST(doc_id % 4 AS VARCHAR(9))) END AS category, CASE WHEN doc_id % 2 = 0 THEN 'amazon_suggest' ELSE 'ebay_suggest' END AS source FROM ({rows}) x"
     if name == "terms":
         ends = "CASE p_partkey % 5 WHEN 0 THEN ' eco-friendly' WHEN 1 THEN ' Net Zero set' WHEN 2 THEN ' ÉCOLOGIQUE' WHEN 3 THEN ' sustainables' ELSE '' END"
         return f"SELECT p_partkey AS id, concat(p_name, {ends}) AS word, {_COUNTRY.format(x='p_partkey')} AS country FROM {table('part')}"

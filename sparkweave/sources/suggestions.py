@@ -16,10 +16,11 @@ def parse_object(bodies: DataFrame) -> DataFrame:
 
 
 def parse_pair(bodies: DataFrame) -> DataFrame:
-    """``[prefix, [word, ...]]``; items that aren't strings are dropped."""
-    items = F.from_json(F.get_json_object("body", "$[1]"), "array<string>")
-    raw = bodies.select("country", "seed", "category", F.posexplode(items).alias("rank", "word"))
-    return hygiene(raw.where(~F.col("word").rlike(r"^[\[{]")))
+    """``[prefix, [word, ...]]``; items that aren't texts are dropped, and ranks count them."""
+    items = F.try_variant_get(F.try_parse_json("body"), "$[1]", "array<variant>")
+    raw = bodies.select("country", "seed", "category", F.posexplode(items).alias("rank", "item"))
+    raw = raw.where(F.schema_of_variant("item") == "STRING").withColumn("word", F.try_variant_get("item", "$", "string"))
+    return hygiene(raw.drop("item"))
 
 
 def parse_rows(bodies: DataFrame) -> DataFrame:
