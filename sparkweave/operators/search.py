@@ -2,26 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import RECALL, RERANK, REUSABLE, THRESHOLD_WITH_CATEGORY, THRESHOLD_WITHOUT
 from ..functions.text import casefold
-from ..functions.vector import dot, norm
+from ..functions.vector import norm
 
+#: Queries and points that one task compares with each other.
+BLOCK, CHUNK = 1024, 8192
 
-def _lengths(df: DataFrame, vector: str, name: str) -> DataFrame:
-    return df.withColumn(name, norm(F.col(vector)))
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(qid, id, similarity, ord): each query's k most similar points of its key: queries (qid, key, q), points (id, key, vector).
+
+    Of each key, blocks of queries meet chunks of points, so a key with a third of all rows is as
+    many tasks as its size asks for; each task sends on no more than k points a query. Similarity is
+    the cosine, rounded to 6 digits; ties go to the smaller id. Null and zero vectors and null keys take no part.
+    """
+    usable = lambda df, v: df.where(F.col("key").isNotNull() & (F.coalesce(norm(F.col(v)), F.lit(0.0)) > 0))
+    asked, there = usable(queries.select("qid", "key", "q"), "q"), usable(points.select("id", "key", "vector"), "vector")
+    count = lambda size, name: F.ceil(F.count("*") / size).cast("int").alias(name)
+    sizes = asked.groupBy("key").agg(count(BLOCK, "blocks")).join(there.groupBy("key").agg(count(CHUNK, "chunks")), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, "key").select("key", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("b"), every("chunks").alias("c"), "qid", "q")
+    there = there.join(sizes, "key").select("key", every("blocks").alias("b"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("c"), "id", "vector")
+    schema = T.StructType([asked.schema["qid"], there.schema["id"], T.StructField("similarity", T.DoubleType())])
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            order = pa.compute.sort_indices(right["id"]).to_numpy().astype(np.int64)
+            x = _matrix(right["vector"])[order]
+            asks = _matrix(left["q"])
+            for at in range(0, len(asks), 256):
+                s = np.round(asks[at : at + 256] @ x.T, 6)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                rows.append(np.repeat(np.arange(at, at + len(s)), best.shape[1]))
+                cols.append(order[best].ravel())
+                values.append(np.take_along_axis(s, best, axis=1).ravel())
+        take = lambda c, i: c.combine_chunks().take(pa.array(np.concatenate(i)))
+        return pa.table({"qid": take(left["qid"], rows), "id": take(right["id"], cols), "similarity": pa.array(np.concatenate(values))})
+
+    found = asked.groupBy("key", "b", "c").cogroup(there.groupBy("key", "b", "c")).applyInArrow(solve, schema)
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("ord", F.row_number().over(w).cast("long")).where(F.col("ord") <= k)
 
 
 def recall(tags: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
     """Each query's k most similar reusable tags of its country: queries (qid, country, q), tags (id, ..., vector)."""
-    usable = _lengths(tags.where(F.col("compliance_status") == REUSABLE), "vector", "_n")
-    asked = _lengths(queries.withColumnRenamed("country", "_country"), "q", "_qn")
-    pairs = usable.join(asked, F.col("country") == F.col("_country"))
-    scored = pairs.withColumn("similarity", F.round(F.try_divide(dot(F.col("vector"), F.col("q")), F.col("_n") * F.col("_qn")), 6))
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("ord", F.row_number().over(w).cast("long")).where(F.col("ord") <= k).drop("_n", "_qn", "_country", "q", "vector")
+    usable = tags.where(F.col("compliance_status") == REUSABLE)
+    found = nearest(queries.withColumnRenamed("country", "key"), usable.withColumnRenamed("country", "key"), k)
+    return found.join(usable.drop("vector"), "id").join(queries.drop("country", "q"), "qid")
 
 
 def category_filter(candidates: DataFrame, category: Column) -> DataFrame:
@@ -38,18 +80,17 @@ def recommend(tags: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def align(words: DataFrame, anchors: DataFrame, with_category: float = THRESHOLD_WITH_CATEGORY, without: float = THRESHOLD_WITHOUT) -> DataFrame:
     """Each word's best anchor (of its category, if it has one) at or over the threshold, else nulls: words (id, category, vector)."""
-    a = _lengths(anchors.select(F.col("id").alias("anchor_id"), F.col("cn_word"), F.col("category").alias("_ac"), F.col("vector").alias("_av")), "_av", "_an")
-    w = _lengths(words.select("id", "category", "vector"), "vector", "_wn")
-    # two joins, so that words with a category meet only the anchors that share it
-    same = w.where("category IS NOT NULL").join(a, F.col("category") == F.col("_ac"))
-    other = w.where("category IS NULL").join(a)
-    score = F.round(F.try_divide(dot(F.col("vector"), F.col("_av")), F.col("_wn") * F.col("_an")), 6)
-    best = same.unionByName(other).select("id", F.struct(score.alias("s"), (-F.col("anchor_id")).alias("a"), F.col("cn_word").alias("w")).alias("b"))
-    best = best.groupBy("id").agg(F.max("b").alias("b"))
+    each = F.when(F.col("category").isNotNull(), F.concat(F.lit("c:"), "category")).otherwise("*")
+    asked = words.select(F.col("id").alias("qid"), each.alias("key"), F.col("vector").alias("q"))
+    # words without a category meet all anchors, others those that share it
+    keys = F.array_compact(F.array(F.lit("*"), F.concat(F.lit("c:"), "category")))
+    there = anchors.select("id", F.explode(keys).alias("key"), "vector")
+    best = nearest(asked, there, 1).select(F.col("qid").alias("id"), F.col("id").alias("_anchor"), F.col("similarity").alias("_s"))
+    best = best.join(anchors.select(F.col("id").alias("_anchor"), F.col("cn_word").alias("_w")), "_anchor")
     out = words.drop("vector").join(best, "id", "left")
-    enough = F.col("b.s") >= F.when(F.col("category").isNotNull(), with_category).otherwise(without)
+    enough = F.col("_s") >= F.when(F.col("category").isNotNull(), with_category).otherwise(without)
     hit = lambda c: F.when(enough, c)
-    return out.select(*words.drop("vector").columns, hit(-F.col("b.a")).alias("anchor_id"), hit(F.col("b.w")).alias("anchor_word"), hit(F.col("b.s")).alias("anchor_score"))
+    return out.select(*words.drop("vector").columns, hit(F.col("_anchor")).alias("anchor_id"), hit(F.col("_w")).alias("anchor_word"), hit(F.col("_s")).alias("anchor_score"))
 
 
 def rerank(candidates: DataFrame, picks: DataFrame, k: int) -> DataFrame:

@@ -155,3 +155,22 @@ def test_small_text_functions(spark):
     r = one.select(tx.html_escape(F.col("h")).alias("h"), tx.safe_redirect(F.col("p")).alias("p"), tx.safe_redirect(F.col("q")).alias("q"), tx.unlisted(F.col("l")).alias("l"), tx.listed(F.array(F.lit("a"), F.lit("b"))).alias("j")).first()
     assert tuple(r) == ("&lt;a href=&quot;x&quot;&gt;&amp;&#x27;", "/ok", "/", ["a", "b", "c"], "a、b")
     assert collect.country_quota(6) == 20
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks and chunks give what all pairs give."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "CHUNK", 5)
+    rng = np.random.default_rng(1)
+    v, q = rng.standard_normal((60, 4)).round(1), rng.standard_normal((20, 4)).round(1)
+    v[10:20] = v[10]
+    points_ = spark.createDataFrame([(i, "ab"[i % 2], x.tolist()) for i, x in enumerate(v)] + [(98, "a", None), (99, "a", [0.0] * 4)], "id long, key string, vector array<double>")
+    asked = spark.createDataFrame([(i, "ab"[i % 2], x.tolist()) for i, x in enumerate(q)] + [(50, "z", [1.0] * 4), (51, None, [1.0] * 4)], "qid long, key string, q array<double>")
+    got = {(r.qid, r.ord): (r.id, r.similarity) for r in search.nearest(asked, points_, 3).collect()}
+    s = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 6)
+    assert len(got) == 60
+    for i in range(20):
+        order = sorted((j for j in range(60) if j % 2 == i % 2), key=lambda j: (-s[i, j], j))[:3]
+        assert [got[i, n + 1][0] for n in range(3)] == order
