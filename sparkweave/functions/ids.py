@@ -26,3 +26,8 @@ def all_of(conditions: list[Column]) -> Column:
 def any_of(conditions: list[Column]) -> Column:
     """Disjunction; no conditions: true, as an absent filter."""
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(True)
+
+
+def text_hash(c: Column) -> Column:
+    """SHA-256 of a text, a null one as empty; logs show its first 12 characters."""
+    return F.sha2(F.coalesce(c, F.lit("")), 256)

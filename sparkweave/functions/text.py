@@ -98,3 +98,8 @@ def listed(words: Column) -> Column:
 def unlisted(text: Column) -> Column:
     """The words of a text that separates them by either comma, without blanks."""
     return F.filter(F.transform(F.split(text, "[、,]"), strip), lambda x: x != "")
+
+
+def json_text(c: Column, path: str, default: str) -> Column:
+    """The text at a path of a JSON text; the default where the text isn't JSON or has nothing there."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(c), path, "string"), F.lit(default))

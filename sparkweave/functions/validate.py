@@ -51,3 +51,8 @@ def requests(rows: DataFrame) -> DataFrame:
 def schedules(rows: DataFrame) -> DataFrame:
     """Schedules (cron) with ok: the length is in bounds and the five fields are valid."""
     return rows.withColumn("ok", within(F.col("cron"), "cron") & cron_ok(F.col("cron")))
+
+
+def allowed(roles: Column, required: tuple[str, ...]) -> Column:
+    """Whether a user has one of the required roles; without roles no."""
+    return F.coalesce(F.arrays_overlap(roles, F.array(*(F.lit(r) for r in required))), F.lit(False))

@@ -79,3 +79,10 @@ def first_words(words: DataFrame, n: int) -> DataFrame:
     """The ``n`` first words of each country by (rank, word)."""
     w = Window.partitionBy("country").orderBy("rank", "word")
     return words.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def cn_scores(suggestions: DataFrame) -> DataFrame:
+    """(word, heat, category): a word's best unrounded score, and the first category by (rank, category) among the rows that have one."""
+    least = suggestions.groupBy("word", "category").agg(F.min("rank").alias("rank"))
+    top = least.groupBy("word").agg(F.min("rank").alias("rank"), F.min(F.when(F.col("category").isNotNull(), F.struct("rank", "category"))).alias("c"))
+    return top.select("word", F.greatest(F.lit(SCORE_FLOOR), 1 - F.col("rank") / F.lit(float(SCORE_RANKS))).alias("heat"), F.col("c.category").alias("category"))

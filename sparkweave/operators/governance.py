@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEADLINE_DAYS, MAX_DAYS, MIN_DAYS, RETENTION_DAYS, TICKET_STATUS
@@ -141,3 +141,31 @@ def appended(table: DataFrame | None, rows: DataFrame, path: str) -> None:
 def lineage_of(events: DataFrame, run_id: str) -> DataFrame:
     """A run's events in the order of time."""
     return events.where(F.col("run_id") == run_id).orderBy("ts", "id")
+
+
+def subject_rows(stores: Mapping[str, tuple[DataFrame, str, Column]], term: str, any_case: tuple[str, ...] = ()) -> DataFrame:
+    """(store, rid) of all rows whose column holds a subject's term; in the stores of ``any_case`` by ILIKE, so % and _ match as there.
+
+    stores: name -> (table, column of text, id of a row as text).
+    """
+    out = None
+    for name, (table, column, rid) in stores.items():
+        hit = F.col(column).ilike(f"%{term}%") if name in any_case else F.contains(F.col(column), F.lit(term))
+        rows = table.where(hit).select(F.lit(name).alias("store"), rid.cast("string").alias("rid"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str) -> DataFrame:
+    """(store, erased, kept): what an erasure of rows that hold the term would do."""
+    out = None
+    for name, (table, column) in stores.items():
+        hit = F.coalesce(F.contains(F.col(column), F.lit(term)), F.lit(False))
+        row = table.agg(F.count_if(hit).alias("erased"), F.count_if(~hit).alias("kept")).select(F.lit(name).alias("store"), "erased", "kept")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lineage_steps(events: DataFrame, run: str, *order: str) -> DataFrame:
+    """Events with their step in their run."""
+    return events.withColumn("step", F.row_number().over(Window.partitionBy(run).orderBy(*order)))

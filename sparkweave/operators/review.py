@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_REASON, DOUBTFUL, MANUAL_REJECT, REASON_CHARS, REUSABLE, VERDICTS
+from ..constants import BLOCKED, DEFAULT_REASON, DOUBTFUL, MANUAL_REJECT, REASON_CHARS, REUSABLE, VERDICTS
 from ..functions.text import strip, strip_fences
 from ..functions.validate import country, within
 
@@ -96,3 +96,10 @@ def counters(routed: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     count = lambda c, name: F.count_if(c).alias(name)
     a = F.col("action")
     return rows.groupBy(*keys).agg(count(~dup & (a == "approved"), "approved"), count(~dup & a.startswith("pending"), "pending"), count(~dup & (a == "blocked"), "rejected"), count(dup, "duplicate"), count(~dup, "new"), F.count("*").alias("total"))
+
+
+def transition(status: Column, approve: Column) -> Column:
+    """(transition, status) of a decision: only doubtful words change; a missing decision rejects nothing."""
+    open_ = status == DOUBTFUL
+    kind = F.when(open_ & approve, "approved").when(open_ & ~approve, "rejected").otherwise("unchanged")
+    return F.struct(kind.alias("transition"), F.when(kind == "approved", REUSABLE).when(kind == "rejected", BLOCKED).otherwise(status).alias("status"))

@@ -7,24 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import COUNTRIES, STATUTORY_TERMS
+from ..constants import COUNTRIES, DOUBTFUL, PROGRESS_KEYS, RECENT_ANCHORS, STATUTORY_TERMS
 from ..functions import text as tx
-from ..functions.ids import point_id
+from ..functions import validate
+from ..functions.ids import point_id, text_hash
 from ..functions.pii import pseudonymise
 from ..functions.vector import normalise
-from ..operators import collect, points, rules, search, store
-from .views import duck_query, spark_query, view
+from ..operators import collect, governance, listing, points, review, rules, search, store
+from .views import duck_query, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def both(name: str, views: tuple[str, ...], sql: str, duck: str | None = None) -> None:
-    """A query that one SQL text states for Spark and for the check (or one each)."""
-    QUERIES[name] = lambda spark, sf_dir: spark_query(spark, sf_dir, views, sql)
-    ORACLE_SQL[name] = duck_query(views, duck or sql)
-
-
 def operator(name: str, views: tuple[str, ...] = (), duck: str | None = None):
     """Registers a function of (spark, sf_dir); ``duck`` is SQL over the views."""
 
@@ -135,8 +130,10 @@ def best_score(spark, sf_dir):
     return _best(spark, sf_dir).select("country", "source", "word", "trend_score", "category")
 
 
-both("q08_cn_score_dedup", ("suggestions",), """SELECT word, max(s) AS heat, max(CASE WHEN category IS NOT NULL AND n = 1 THEN category END) AS category FROM
+@operator("q08_cn_score_dedup", ("suggestions",), """SELECT word, max(s) AS heat, max(CASE WHEN category IS NOT NULL AND n = 1 THEN category END) AS category FROM
 (SELECT *, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN category IS NULL THEN 1 ELSE 0 END, s DESC, rank, category) AS n FROM (SELECT word, category, rank, greatest(CAST(0.1 AS DOUBLE), 1 - CAST(rank AS DOUBLE) / 15) AS s FROM suggestions) x) y GROUP BY word""")
+def cn_score(spark, sf_dir):
+    return collect.cn_scores(view(spark, sf_dir, "suggestions"))
 
 
 @operator("q09_top50_per_country", ("suggestions",), f"WITH {_BEST} SELECT country, source, word, trend_score, category, ord FROM tops WHERE ord <= 50")
@@ -247,10 +244,29 @@ def progress(spark, sf_dir):
 
 # ---------------------------------------------------------------- progress and sets
 
-both("q21_unseen_anti_join", ("suggestions",), "SELECT DISTINCT a.country, a.word FROM suggestions a WHERE a.source = 'amazon_suggest' AND NOT EXISTS (SELECT 1 FROM suggestions b WHERE b.source = 'ebay_suggest' AND b.country = a.country AND b.word = a.word)")
-both("q22_exists_flag", ("tags", "suggestions"), "SELECT s.country, s.word, t.word IS NOT NULL AS known FROM (SELECT DISTINCT country, word FROM suggestions) s LEFT JOIN (SELECT DISTINCT country, split_part(word, ' ', 1) AS word FROM tags) t ON t.country = s.country AND t.word = s.word")
-both("q23_last_n_keys", (), "SELECT event_id, user_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 1000")
-both("q24_recent_anchors", ("anchors",), "SELECT id, cn_word, category FROM anchors ORDER BY created_at DESC, id LIMIT 50")
+
+@operator("q21_unseen_anti_join", ("suggestions",), "SELECT a.country, a.word FROM suggestions a WHERE a.source = 'amazon_suggest' AND NOT EXISTS (SELECT 1 FROM suggestions b WHERE b.source = 'ebay_suggest' AND b.country = a.country AND b.word = a.word)")
+def unseen(spark, sf_dir):
+    """Repeated words stay as often as they come."""
+    s = view(spark, sf_dir, "suggestions").select("country", "word", "source")
+    a, b = (s.where(F.col("source") == x) for x in ("amazon_suggest", "ebay_suggest"))
+    return listing.unseen(a, b, "country", "word").select("country", "word")
+
+
+@operator("q22_exists_flag", ("tags", "suggestions"), "SELECT s.country, s.word, t.word IS NOT NULL AS known FROM (SELECT DISTINCT country, word FROM suggestions) s LEFT JOIN (SELECT DISTINCT country, split_part(word, ' ', 1) AS word FROM tags) t ON t.country = s.country AND t.word = s.word")
+def exists_flag(spark, sf_dir):
+    known = view(spark, sf_dir, "tags").select("country", F.split_part("word", F.lit(" "), F.lit(1)).alias("word"))
+    return listing.flagged(view(spark, sf_dir, "suggestions").select("country", "word").distinct(), known, "country", "word")
+
+
+@operator("q23_last_n_keys", (), "SELECT event_id, user_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def last_keys(spark, sf_dir):
+    return listing.latest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), PROGRESS_KEYS, "ts", "event_id").select("event_id", "user_id")
+
+
+@operator("q24_recent_anchors", ("anchors",), "SELECT id, cn_word, category FROM anchors ORDER BY created_at DESC, id LIMIT 50")
+def recent_anchors(spark, sf_dir):
+    return listing.latest(view(spark, sf_dir, "anchors"), RECENT_ANCHORS, "created_at", ties=("id",)).select("id", "cn_word", "category")
 
 
 @operator("q25_batch_groups", ("tags",), "SELECT id, country, CAST(floor((row_number() OVER (PARTITION BY country ORDER BY id) - 1) / 12) AS BIGINT) AS batch FROM tags")
@@ -258,9 +274,20 @@ def batch_groups(spark, sf_dir):
     return points.numbered(view(spark, sf_dir, "tags").select("id", "country"), "country", "id", 12)
 
 
-both("q36_linked_counts", ("anchors", "tags"), "SELECT a.id, a.cn_word, coalesce(c.n, 0) AS linked FROM anchors a LEFT JOIN (SELECT anchor_id, count(*) AS n FROM tags GROUP BY anchor_id) c ON c.anchor_id = a.id")
-both("q34_filtered_counts", ("tags",), "SELECT country, category, count(*) AS n FROM tags WHERE contains(word, 'th') GROUP BY country, category")
-both("q35_dashboard", ("anchors", "tags"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, coalesce({R}(try_divide(t.n, t.n + t.p), 3), 0.0D) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(coalesce(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n, CAST(coalesce(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t".replace("{R}", "bround"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, coalesce(round_even(t.n / nullif(t.n + t.p, 0), 3), 0.0) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(coalesce(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n, CAST(coalesce(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t")
+@operator("q36_linked_counts", ("anchors", "tags"), "SELECT a.id, a.cn_word, coalesce(c.n, 0) AS linked FROM anchors a LEFT JOIN (SELECT anchor_id, count(*) AS n FROM tags GROUP BY anchor_id) c ON c.anchor_id = a.id")
+def linked_counts(spark, sf_dir):
+    return listing.linked(view(spark, sf_dir, "anchors").select("id", "cn_word"), view(spark, sf_dir, "tags"))
+
+
+@operator("q34_filtered_counts", ("tags",), "SELECT country, category, count(*) AS n FROM tags WHERE contains(word, 'th') GROUP BY country, category")
+def filtered_counts(spark, sf_dir):
+    return listing.counts(view(spark, sf_dir, "tags"), "country", "category", holds="th")
+
+
+@operator("q35_dashboard", ("anchors", "tags"), "SELECT a.n AS anchors, t.n AS tags, t.p AS pending, t.b AS blocked, t.countries, coalesce(round_even(t.n / nullif(t.n + t.p, 0), 3), 0.0) AS ratio FROM (SELECT count(*) AS n FROM anchors) a CROSS JOIN (SELECT CAST(coalesce(sum(CASE WHEN compliance_status = '可复用' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS n, CAST(coalesce(sum(CASE WHEN compliance_status = '存疑' THEN 1 ELSE 0 END), 0) AS DOUBLE) AS p, CAST(sum(CASE WHEN compliance_status = '需拦截' THEN 1 ELSE 0 END) AS BIGINT) AS b, count(DISTINCT CASE WHEN country <> '' THEN country END) AS countries FROM tags) t")
+def dashboard(spark, sf_dir):
+    return listing.dashboard(view(spark, sf_dir, "anchors"), view(spark, sf_dir, "tags"))
+
 
 # ---------------------------------------------------------------- rerank
 
@@ -302,6 +329,7 @@ def text_block(spark, sf_dir):
 
 # ---------------------------------------------------------------- tables
 
+
 @operator("q30_upsert_lww", (), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def upsert_lww(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
@@ -330,7 +358,12 @@ def deterministic_id(spark, sf_dir):
 
 ORACLE_SQL["q37_deterministic_id"] = ORACLE_SQL["q37_deterministic_id"].replace("@8", "{8}").replace("@4", "{4}").replace("@12", "{12}")
 
-both("q38_sha_hashes", ("traces",), "SELECT conv_id, turn, word_sha256, left(word_sha256, 12) AS log_prefix FROM traces")
+
+@operator("q38_sha_hashes", ("traces",), "SELECT conv_id, turn, word_sha256, left(word_sha256, 12) AS log_prefix FROM traces")
+def sha_hashes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text_hash(F.col("text")).alias("word_sha256"))
+    return c.withColumn("log_prefix", F.left("word_sha256", F.lit(12)))
+
 
 _FOLD = "list_reduce(list_prepend('GENESIS', list(concat_ws('|', id, ts, actor, action, rtype, rid) ORDER BY id)), lambda p, x: sha256(p || '|' || x))"
 
@@ -349,7 +382,10 @@ def chain_verify(spark, sf_dir):
     return store.chain_verify(log, "actor").groupBy("actor").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("broken"))
 
 
-both("q41_audit_list", ("audit",), "SELECT id, ts, actor, action FROM audit WHERE action = 'click' ORDER BY id DESC LIMIT 50")
+@operator("q41_audit_list", ("audit",), "SELECT id, ts, actor, action FROM audit WHERE action = 'click' ORDER BY id DESC LIMIT 50")
+def audit_list(spark, sf_dir):
+    rows = governance.matching(view(spark, sf_dir, "audit"), {"action": "click"})
+    return listing.latest(rows, 50, "id").select("id", "ts", "actor", "action")
 
 
 @operator("q42_retention_purge", (), "WITH now AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS n, min(event_id) AS first FROM events, now WHERE ts >= t - INTERVAL 10 DAY GROUP BY event_type")
@@ -359,8 +395,18 @@ def retention(spark, sf_dir):
     return store.purge(e.join(now), "ts", F.col("now"), 10).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-both("q43_dsar_search", ("tags", "anchors", "audit", "traces"), "SELECT 'tags' AS store, CAST(id AS VARCHAR(20)) AS rid FROM tags WHERE contains(word, 'The') UNION ALL SELECT 'anchors', CAST(id AS VARCHAR(20)) FROM anchors WHERE contains(cn_word, 'The') UNION ALL SELECT 'traces', concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) FROM traces WHERE response ILIKE '%The%' UNION ALL SELECT 'audit', CAST(id AS VARCHAR(20)) FROM audit WHERE detail ILIKE '%7%'")
-both("q44_dsar_erase_counts", ("tags", "anchors", "traces"), "SELECT 'tags' AS store, sum(CASE WHEN contains(word, 'The') THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN contains(word, 'The') THEN 0 ELSE 1 END) AS kept FROM tags UNION ALL SELECT 'anchors', sum(CASE WHEN contains(cn_word, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(cn_word, 'The') THEN 0 ELSE 1 END) FROM anchors UNION ALL SELECT 'traces', sum(CASE WHEN contains(response, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(response, 'The') THEN 0 ELSE 1 END) FROM traces")
+@operator("q43_dsar_search", ("tags", "anchors", "audit", "traces"), "SELECT 'tags' AS store, CAST(id AS VARCHAR(20)) AS rid FROM tags WHERE contains(word, 'The') UNION ALL SELECT 'anchors', CAST(id AS VARCHAR(20)) FROM anchors WHERE contains(cn_word, 'The') UNION ALL SELECT 'traces', concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) FROM traces WHERE response ILIKE '%The%' UNION ALL SELECT 'audit', CAST(id AS VARCHAR(20)) FROM audit WHERE detail ILIKE '%7%'")
+def dsar_search(spark, sf_dir):
+    tags, anchors, traces, audit = (view(spark, sf_dir, x) for x in ("tags", "anchors", "traces", "audit"))
+    rid = F.concat("conv_id", F.lit(":"), "turn")
+    stores = {"tags": (tags, "word", F.col("id")), "anchors": (anchors, "cn_word", F.col("id")), "traces": (traces, "response", rid)}
+    found = governance.subject_rows(stores, "The", any_case=("traces",))
+    return found.unionByName(governance.subject_rows({"audit": (audit, "detail", F.col("id"))}, "7", any_case=("audit",)))
+
+
+@operator("q44_dsar_erase_counts", ("tags", "anchors", "traces"), "SELECT 'tags' AS store, sum(CASE WHEN contains(word, 'The') THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN contains(word, 'The') THEN 0 ELSE 1 END) AS kept FROM tags UNION ALL SELECT 'anchors', sum(CASE WHEN contains(cn_word, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(cn_word, 'The') THEN 0 ELSE 1 END) FROM anchors UNION ALL SELECT 'traces', sum(CASE WHEN contains(response, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(response, 'The') THEN 0 ELSE 1 END) FROM traces")
+def erase_counts(spark, sf_dir):
+    return governance.erasure_counts({n: (view(spark, sf_dir, n), c) for n, c in (("tags", "word"), ("anchors", "cn_word"), ("traces", "response"))}, "The")
 
 
 @operator("q45_redact_json")
@@ -369,8 +415,18 @@ def redact_json(spark, sf_dir):
     return e.select("event_id", store.redact_json(F.to_json(F.struct("event_type", "props")), "click").alias("detail"))
 
 
-both("q46_lineage_by_run", (), "SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}")
-both("q47_trace_lookup", ("traces",), "SELECT t.conv_id, t.turn, t.word_sha256 FROM traces t WHERE t.word_sha256 IN (SELECT word_sha256 FROM traces GROUP BY word_sha256 HAVING count(*) > 1)")
+@operator("q46_lineage_by_run", (), "SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}")
+def lineage_by_run(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type", "ts")
+    return governance.lineage_steps(e, "run_id", "ts", "event_id").drop("ts")
+
+
+@operator("q47_trace_lookup", ("traces",), "SELECT conv_id, turn, word_sha256 FROM traces WHERE word_sha256 IN (SELECT sha256(coalesce(text, '')) FROM conversations WHERE conv_id % 7 = 0)")
+def trace_lookup(spark, sf_dir):
+    """The texts of every seventh conversation are asked for."""
+    asked = table(spark, sf_dir, "conversations").where("conv_id % 7 = 0").select(text_hash(F.col("text")).alias("word_sha256"))
+    traces = view(spark, sf_dir, "traces").select("conv_id", "turn", "word_sha256")
+    return traces.join(asked.distinct(), "word_sha256", "left_semi").select("conv_id", "turn", "word_sha256")
 
 
 _REDACTED = "text"
@@ -398,7 +454,12 @@ def pii_mask(spark, sf_dir):
     return out.select("doc_id", "p.text", F.size("p.map").alias("n_entities"), F.map_entries("p.map").alias("entities"))
 
 
-both("q51_json_fallback", (), "SELECT event_id, coalesce(CAST(get_json_object(props, '$.k') AS STRING), '存疑') AS k, coalesce(get_json_object(concat(props, 'x{'), '$.zz'), '存疑') AS bad FROM {events}".replace("x{", "x"), "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '存疑') AS k, '存疑' AS bad FROM events")
+@operator("q51_json_fallback", (), "WITH p AS (SELECT event_id, props, CASE WHEN event_id % 2 = 0 THEN props ELSE left(props, 5) END AS cut FROM events) SELECT event_id, coalesce(json_extract_string(props, '$.k'), '存疑') AS k, coalesce(CASE WHEN json_valid(cut) THEN json_extract_string(cut, '$.k') END, '存疑') AS bad FROM p")
+def json_fallback(spark, sf_dir):
+    """Every other text is cut off, so that it isn't JSON."""
+    cut = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.left("props", F.lit(5)))
+    said = {name: tx.json_text(c, "$.k", DOUBTFUL).alias(name) for name, c in (("k", F.col("props")), ("bad", cut))}
+    return table(spark, sf_dir, "events").select("event_id", *said.values())
 
 
 @operator("q52_fence_strip", (), "SELECT item_id, trim(text) AS text FROM benchmark")
@@ -442,7 +503,10 @@ def positional_lookup(spark, sf_dir):
     return found.select("country", "batch", "word", "translation")
 
 
-both("q57_review_transition", ("tags",), "SELECT id, word, country, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN 'approved' WHEN compliance_status = '存疑' THEN 'rejected' ELSE 'unchanged' END AS transition, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN '可复用' WHEN compliance_status = '存疑' THEN '需拦截' ELSE compliance_status END AS status FROM tags")
+@operator("q57_review_transition", ("tags",), "SELECT id, word, country, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN 'approved' WHEN compliance_status = '存疑' THEN 'rejected' ELSE 'unchanged' END AS transition, CASE WHEN compliance_status = '存疑' AND id % 2 = 0 THEN '可复用' WHEN compliance_status = '存疑' THEN '需拦截' ELSE compliance_status END AS status FROM tags")
+def review_transition(spark, sf_dir):
+    t = view(spark, sf_dir, "tags")
+    return t.select("id", "word", "country", review.transition(F.col("compliance_status"), F.col("id") % 2 == 0).alias("t")).select("id", "word", "country", "t.*")
 
 
 @operator("q58_cron_valid", (), "SELECT event_id, event_id % 3 = 1 AS ok FROM events")
@@ -452,7 +516,10 @@ def cron_valid(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.cron_ok(cron).alias("ok"))
 
 
-both("q59_role_overlap", (), "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS allowed FROM {customer}")
+@operator("q59_role_overlap", (), "SELECT c_custkey, list_has_any([c_mktsegment, concat('nation-', c_nationkey)], ['BUILDING', 'MACHINERY', 'nation-3']) AS allowed FROM customer")
+def role_overlap(spark, sf_dir):
+    roles = F.array("c_mktsegment", F.concat(F.lit("nation-"), F.col("c_nationkey")))
+    return table(spark, sf_dir, "customer").select("c_custkey", validate.allowed(roles, ("BUILDING", "MACHINERY", "nation-3")).alias("allowed"))
 
 
 @operator("q61_policy_upsert", (), "SELECT user_id, coalesce(max(value) FILTER (WHERE event_type = 'click'), max(value)) AS value FROM events GROUP BY user_id")
