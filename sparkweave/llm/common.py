@@ -96,17 +96,52 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` over batches in a Python worker, which gives freed memory back to the machine when the task ends."""
+#: What this Python worker holds between tasks.
+_held: list = []
+
+
+def per_worker(make: Callable) -> Callable:
+    """``make(path)``, kept by a worker from task to task for as long as its tasks say that they use it."""
+    kept = functools.lru_cache(2)(make)
+    _held.append(kept)
+    return kept
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable, uses: Callable | None = None) -> Callable:
+    """``run`` over batches in a Python worker, which gives freed memory back to the machine when the task ends.
+
+    What the worker held for other operators goes before the task starts; ``uses`` names what it may go on holding.
+    """
 
     @functools.wraps(run)
     def tidied(batches):
+        for kept in _held:
+            if kept is not uses:
+                kept.cache_clear()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _trim()
+
+    return tidied
+
+
+def tidy_group(run: Callable, size: int = 8 << 20) -> Callable:
+    """``run`` over one group as an Arrow table; freed memory goes back after groups of ``size`` bytes and more."""
+
+    @functools.wraps(run)
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            if table.nbytes >= size:
+                _trim()
 
     return tidied
 
@@ -177,7 +212,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def appended(df: DataFrame, source: str, fields: list, make) -> DataFrame:
+def appended(df: DataFrame, source: str, fields: list, make, uses: Callable | None = None) -> DataFrame:
     """``df`` with more columns, made from the string column ``source`` in steps of bounded size.
 
     ``make(bytes, offsets)`` gives an array for each of ``fields`` (StructFields). Columns of ``df``
@@ -196,4 +231,4 @@ def appended(df: DataFrame, source: str, fields: list, make) -> DataFrame:
                 new = [pa.array(x, k) for x, k in zip(make(data, off), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, *new], names=names)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, uses), schema)

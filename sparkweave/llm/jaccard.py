@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, batch, mix, partitions, ragged, steps, stored, tidy
+from .common import WORD_SPACE, batch, mix, partitions, ragged, steps, stored, tidy, tidy_group
 from .graph import components
 from .words import names
 
@@ -372,7 +372,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, text:
 
     size = partitions(spark) * 4
     packed = own.select("text").mapInArrow(tidy(_keys(width, t, size)), "bucket int, prints binary, runs binary, keys binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(_groups, "a long, b long, members array<long>"), "keys")
+    found = stored(packed.groupBy("bucket").applyInArrow(tidy_group(_groups), "a long, b long, members array<long>"), "keys")
 
     pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(own, reps, _sketched(pairs, reps), t, width)
@@ -431,5 +431,5 @@ def _verified(own: DataFrame, reps: DataFrame, pairs: DataFrame, t: float, width
     hosts = rooms.select(F.col("a").alias("f1"), F.col("a").alias("room"), "salt", F.lit(True).alias("host")).distinct()
     visits = guests.union(hosts).join(reps.select(F.col("rep").alias("doc_id"), "f1"), "f1")
     seated = own.where("doc_id IS NOT NULL").join(visits, "doc_id").select("room", "salt", "host", "f1", "text")
-    links = seated.groupBy("room", "salt").applyInArrow(_verify(width, t), "a long, b long")
+    links = seated.groupBy("room", "salt").applyInArrow(tidy_group(_verify(width, t)), "a long, b long")
     return stored(links.repartition(max(1, partitions(spark) // 4)), "links")

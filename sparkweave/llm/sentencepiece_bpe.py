@@ -20,7 +20,6 @@ A column of the table that has the name of a new one (``ids``, ``decoded``) is r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, appended, ragged, tidy
+from .common import STEP_BYTES, appended, per_worker, ragged, tidy
 from .ngrams import Index
 from .words import WordIds
 
@@ -189,7 +188,7 @@ class PieceModel:
         return out
 
 
-@lru_cache(2)
+@per_worker
 def model(path: str) -> tuple[PieceModel, WordIds]:
     bpe = PieceModel(path)
     return bpe, WordIds(bpe.encode_words)
@@ -219,7 +218,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         flat, cut = encode_texts(path, data, off)
         return [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))]
 
-    return appended(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return appended(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, uses=model)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -241,7 +240,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 yield pa.RecordBatch.from_arrays([*b.slice(first, end - first).columns, pa.array(said, pa.string())], names=schema.names)
                 first = end
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, model), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -27,7 +27,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, ragged, shared_dir, steps, tidy
+from .common import mix, partitions, per_worker, ragged, shared_dir, steps, tidy
 from .words import WordIds
 
 SHARD_IDS = 1 << 20
@@ -144,7 +143,7 @@ class PieceEncoder:
         return ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(at, off)]
 
 
-@lru_cache(2)
+@per_worker
 def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
@@ -261,7 +260,7 @@ def _write(path: str, end_id: int):
         if docs:
             yield row()
 
-    return tidy(run)
+    return tidy(run, encoder)
 
 
 def write_store(docs: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
