@@ -13,9 +13,14 @@ def casefold(c: Column) -> Column:
     return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+#: All characters that are white space in Unicode: controls 9 to 13, and the separators.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    """Unicode white space off both ends; only texts that have some at an end meet the regular expression."""
+    ends = F.contains(F.lit(BLANKS), F.left(c, F.lit(1))) | F.contains(F.lit(BLANKS), F.right(c, F.lit(1)))
+    return F.when(ends, F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).otherwise(c)
 
 
 def has_word(c: Column, term: str) -> Column:

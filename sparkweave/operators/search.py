@@ -102,9 +102,10 @@ def rerank(candidates: DataFrame, picks: DataFrame, k: int) -> DataFrame:
     by_key = Window.partitionBy("qid", "key")
     c = c.withColumn("first", F.row_number().over(by_key.orderBy(F.desc("similarity"), "id"))).withColumn("last", F.row_number().over(by_key.orderBy("similarity", F.desc("id"))))
     p = picks.withColumn("key", casefold(F.col("word"))).groupBy("qid", "key").agg(F.min("pick_ord").alias("pick_ord"), F.min_by("reason", "pick_ord").alias("ai_reason"))
-    chosen = c.where("last = 1").join(p, ["qid", "key"]).withColumn("phase", F.lit(0)).withColumn("place", F.col("pick_ord").cast("double"))
-    rest = c.where("first = 1").join(p.join(c.select("qid", "key").distinct(), ["qid", "key"], "left_semi"), ["qid", "key"], "left_anti")
-    rest = rest.withColumn("phase", F.lit(1)).withColumn("place", -F.col("similarity")).withColumn("pick_ord", F.lit(None).cast("long")).withColumn("ai_reason", F.lit(None).cast("string"))
+    # one left join says of each candidate whether it was picked, so candidates are worked out once
+    picked = F.coalesce(F.col("picked"), F.lit(False))
+    m = c.join(p.withColumn("picked", F.lit(True)), ["qid", "key"], "left").where((picked & (F.col("last") == 1)) | (~picked & (F.col("first") == 1)))
+    m = m.withColumn("phase", F.when(picked, 0).otherwise(1)).withColumn("place", F.when(picked, F.col("pick_ord").cast("double")).otherwise(-F.col("similarity")))
     w = Window.partitionBy("qid").orderBy("phase", "place", "id")
-    out = chosen.unionByName(rest, allowMissingColumns=True).withColumn("position", F.row_number().over(w).cast("long"))
-    return out.where(F.col("position") <= k).withColumn("ai_generated", F.col("phase") == 0).drop("key", "first", "last", "place", "phase")
+    out = m.withColumn("position", F.row_number().over(w).cast("long"))
+    return out.where(F.col("position") <= k).withColumn("ai_generated", F.col("phase") == 0).drop("key", "first", "last", "picked", "place", "phase")

@@ -297,9 +297,9 @@ _RERANK = f"{_ASKED}, c AS (SELECT *, {fold('word')} AS key FROM ranked WHERE or
 def _reranked(spark, sf_dir) -> DataFrame:
     """The third and the fifth candidate, in the other order and upper case, stand for a model's picks; one more is no candidate."""
     c = search.recall(view(spark, sf_dir, "tags"), _asked(spark, sf_dir), 8)
-    picks = c.where("ord IN (3, 5)").select("qid", (9 - F.col("ord")).alias("pick_ord"), F.upper("word").alias("word"), F.lit("picked").alias("reason"))
-    invented = c.where("ord = 1").select("qid", F.lit(0).cast("long").alias("pick_ord"), F.lit("invented tag").alias("word"), F.lit("none").alias("reason"))
-    return search.rerank(c, picks.union(invented), 5)
+    known = F.col("ord") > 1
+    picks = c.where("ord IN (1, 3, 5)").select("qid", F.when(known, 9 - F.col("ord")).otherwise(0).alias("pick_ord"), F.when(known, F.upper("word")).otherwise("invented tag").alias("word"), F.when(known, "picked").otherwise("none").alias("reason"))
+    return search.rerank(c, picks, 5)
 
 
 @operator("q26_rerank_backfill", ("anchors", "tags"), f"WITH {_RERANK} SELECT qid, country, id, word, similarity, position, ai_generated FROM r WHERE position <= 5")
