@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import CLUSTER_SQL
 from .common import read
+from .digest_index import DEDUP_SQL
+from .fill_in_middle import DIGEST_SQL as FILL_SQL
 from .topk import INTEGER_SQL as topk_sql
 
 
@@ -76,6 +79,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_topk, op2_soft_mixing, op3_sentencepiece, op4_toxicity, op5_ngram_jaccard, op6_embedding_dedup, op7_language_id, op8_token_store, op9_url_filter, op10_chat_format)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .digest_index import dedup_table
+
+    return dedup_table(read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clusters
+
+    return clusters(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_voronoi_topk, op2_soft_mixing, op3_sentencepiece, op4_toxicity, op5_ngram_jaccard, op6_embedding_dedup, op7_language_id, op8_token_store, op9_url_filter, op10_chat_format, op11_fill_in_middle, op12_exact_dedup, op13_centroid_clustering)}
 #: The others fit models, tokenise or walk graphs; they are tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op1_voronoi_topk": topk_sql}
+ORACLE_SQL: dict[str, str] = {"op1_voronoi_topk": topk_sql, "op11_fill_in_middle": FILL_SQL, "op12_exact_dedup": DEDUP_SQL, "op13_centroid_clustering": CLUSTER_SQL}
