@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BOUNDS, COUNTRIES
+from ..constants import BOUNDS, COUNTRIES, REQUEST_TYPES
 from .text import cron_ok, strip
 
 
@@ -48,6 +48,22 @@ def requests(rows: DataFrame) -> DataFrame:
     return out.withColumn("target_country", country(F.col("target_country"))).withColumn("query", query_text(F.col("title"), F.col("category")))
 
 
+def subject_requests(rows: DataFrame) -> DataFrame:
+    """Subjects' requests (request_type, contact, note, term) with contact, note and term trimmed, and problems: the fields out of bounds, in this order.
+
+    A missing note is an empty one; a missing term is asked for only where the column is there.
+    """
+    bad = {
+        "request_type": ~F.coalesce(F.col("request_type").isin(*REQUEST_TYPES), F.lit(False)),
+        "contact": ~within(F.col("contact"), "contact"),
+        "note": ~within(F.coalesce("note", F.lit("")), "note"),
+        "term": ~within(F.col("term"), "term") if "term" in rows.columns else F.lit(False),
+    }
+    problems = F.array_compact(F.array(*(F.when(is_bad, name) for name, is_bad in bad.items())))
+    texts = {c: strip(F.col(c)) for c in ("contact", "note", "term") if c in rows.columns}
+    return rows.withColumn("problems", problems).withColumns(texts)
+
+
 def schedules(rows: DataFrame) -> DataFrame:
     """Schedules (cron) with ok: the length is in bounds and the five fields are valid."""
     return rows.withColumn("ok", within(F.col("cron"), "cron") & cron_ok(F.col("cron")))

@@ -10,11 +10,11 @@ from ..functions.text import casefold, strip
 
 
 def hygiene(suggestions: DataFrame) -> DataFrame:
-    """Drops blanks, echoes of the seed, numbers and single characters; ranks stay those of the source."""
+    """Drops blanks, echoes of the seed, numbers and single characters; ranks stay those of the source. A null seed has no echo."""
     # a generator of one row: filters on what it gives stay above it, so each word is stripped once, not once a condition
     once = F.inline(F.array(F.struct(strip(F.col("word")).alias("word"), casefold(strip(F.col("seed"))).alias("_echo"))))
     s = suggestions.select(*(c for c in suggestions.columns if c != "word"), once)
-    s = s.where((F.length("word") >= 2) & (casefold(F.col("word")) != F.col("_echo")) & ~F.col("word").rlike(r"^\p{Nd}+$"))
+    s = s.where((F.length("word") >= 2) & ~casefold(F.col("word")).eqNullSafe(F.col("_echo")) & ~F.col("word").rlike(r"^\p{Nd}+$"))
     return s.select(*suggestions.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEADLINE_DAYS, MAX_DAYS, MIN_DAYS, RETENTION_DAYS, TICKET_STATUS
-from ..functions.ids import all_of
+from ..functions.ids import all_of, any_of
 from .store import redact_json
 
 
@@ -62,11 +62,11 @@ def seeded_policies(policies: DataFrame) -> DataFrame:
 def purged(tables: Mapping[str, DataFrame], policies: DataFrame, now: DataFrame, ts: str = "ts") -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables without what their policy lets go, removed rows per key).
 
-    ``now`` is a table of one row (now). A key without a policy keeps all and isn't counted; a table
-    that lacks the time column stays as it is and counts -1.
+    ``now`` is a table of one row (now). A key without a policy, or whose days are null, keeps all and
+    isn't counted; a table that lacks the time column stays as it is and counts -1, an empty one 0.
     """
     kept, counts = {}, []
-    one = F.broadcast(policies.where(F.col("key").isin(*tables)).crossJoin(now).select("key", (F.col("now") - F.make_dt_interval(F.col("days"))).alias("cut")))  # a row per key
+    one = F.broadcast(policies.where(F.col("key").isin(*tables) & F.col("days").isNotNull()).crossJoin(now).select("key", (F.col("now") - F.make_dt_interval(F.col("days"))).alias("cut")))  # a row per key
     for key, table in tables.items():
         cut = one.where(F.col("key") == key)
         if ts not in table.columns:
@@ -76,7 +76,7 @@ def purged(tables: Mapping[str, DataFrame], policies: DataFrame, now: DataFrame,
         both = table.join(cut, F.lit(True), "left")
         old = F.coalesce(F.col(ts) < F.col("cut"), F.lit(False))
         kept[key] = both.where(~old).select(*table.columns)
-        counts.append(both.where("key IS NOT NULL").groupBy("key").agg(F.count_if(old).alias("removed")))
+        counts.append(cut.select("key").crossJoin(F.broadcast(both.agg(F.count_if(old).alias("removed")))))  # one row
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)
@@ -87,24 +87,28 @@ def erased(stores: Mapping[str, tuple[DataFrame, str]], traces: DataFrame, audit
     """Erasure of a term: the stores without the rows whose word it is, traces without its hashes, the audit log redacted, and one row of proof.
 
     stores: name -> (table, column of the word). Hard deletion; the audit log's hashes don't cover the
-    redacted columns, so its chain stays valid. ``country`` narrows the stores that have one.
+    redacted columns, so its chain stays valid. ``country`` narrows the stores that have one. The audit log is
+    redacted value by value, so a term that the JSON text writes with escapes goes as well, and a row counts
+    if it changed.
     """
     term_hash = F.sha2(F.lit(term), 256)
     out, counts = {}, []
     spark = traces.sparkSession
     for name, (table, word) in stores.items():
-        hit = F.coalesce(F.col(word) == term, F.lit(False))
-        if country is not None and "country" in table.columns:
-            hit = hit & (F.col("country") == country)
+        hit = _is_subject(table, word, term, country)
         out[name] = table.where(~hit)
         counts.append(table.agg(F.count_if(hit).alias("n")).withColumn("what", F.lit("points")))
     named = spark.range(1).select(term_hash.alias("hash"))
     gone = by_either_hash(traces, named)
     out["traces"] = traces.join(gone.select("id"), "id", "left_anti")
     counts.append(gone.agg(F.count("*").alias("n")).withColumn("what", F.lit("traces")))
-    holds = F.coalesce(F.lit(False) if not details else F.concat_ws("\x00", *details).contains(term), F.lit(False))
-    out["audit"] = audit.withColumns({c: F.when(holds, redact_json(F.col(c), term)).otherwise(F.col(c)) for c in details})
-    counts.append(audit.agg(F.count_if(holds).alias("n")).withColumn("what", F.lit("audit")))
+    # only texts that hold the term, or an escape that might stand for it, are parsed
+    may = lambda c: F.contains(F.col(c), F.lit(term)) | F.contains(F.col(c), F.lit("\\"))
+    new = {c: F.when(may(c), redact_json(F.col(c), term)).otherwise(F.col(c)) for c in details}
+    both = audit.withColumns({f"_new_{c}": x for c, x in new.items()})
+    changed = any_of([~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in details]) if details else F.lit(False)
+    counts.append(both.agg(F.count_if(changed).alias("n")).withColumn("what", F.lit("audit")))
+    out["audit"] = both.select(*(F.col(f"_new_{c}").alias(c) if c in details else F.col(c) for c in audit.columns))
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)
@@ -123,14 +127,17 @@ def tickets(requests: DataFrame) -> DataFrame:
 
 
 def updated_tickets(open_: DataFrame, updates: DataFrame) -> DataFrame:
-    """Tickets after updates (ticket_id, status, findings, at), the last of a ticket counts.
+    """Tickets after all updates (ticket_id, status, findings, at), as if they came one by one in the order of time.
 
-    A null finding keeps the one before; completion stamps the time. Unknown states change nothing.
+    The last status counts; a null finding keeps the one before, in this batch or in the ticket; the last
+    completion stamps its time, whatever comes after. Unknown states change nothing, nor do updates
+    without a time. Of updates at one time the one that is greater by (status, findings) is the later.
     """
-    last = updates.where(F.col("status").isin(*TICKET_STATUS)).groupBy("ticket_id").agg(F.max_by(F.struct(F.col("status").alias("s"), F.col("findings").alias("f"), F.col("at").alias("t")), "at").alias("u"))
+    when = F.struct("at", "status", F.coalesce("findings", F.lit("")))
+    valid = updates.where(F.col("status").isin(*TICKET_STATUS) & F.col("at").isNotNull())
+    last = valid.groupBy("ticket_id").agg(F.max_by("status", when).alias("_s"), F.max_by("findings", F.when(F.col("findings").isNotNull(), when)).alias("_f"), F.max(F.when(F.col("status") == "completed", F.col("at"))).alias("_t"))
     both = open_.join(last, "ticket_id", "left")
-    done = F.when(F.col("u.s") == "completed", F.col("u.t")).otherwise(F.col("completed_at"))
-    return both.withColumns({"status": F.coalesce("u.s", "status"), "findings": F.coalesce("u.f", "findings"), "completed_at": done}).select(*open_.columns)
+    return both.withColumns({"status": F.coalesce("_s", "status"), "findings": F.coalesce("_f", "findings"), "completed_at": F.coalesce("_t", "completed_at")}).select(*open_.columns)
 
 
 def appended(table: DataFrame | None, rows: DataFrame, path: str) -> None:
@@ -143,24 +150,43 @@ def lineage_of(events: DataFrame, run_id: str) -> DataFrame:
     return events.where(F.col("run_id") == run_id).orderBy("ts", "id")
 
 
-def subject_rows(stores: Mapping[str, tuple[DataFrame, str, Column]], term: str, any_case: tuple[str, ...] = ()) -> DataFrame:
-    """(store, rid) of all rows whose column holds a subject's term; in the stores of ``any_case`` by ILIKE, so % and _ match as there.
+def subject_rows(stores: Mapping[str, tuple[DataFrame, str, Column]], term: str, country: str | None = None) -> DataFrame:
+    """(store, rid) of all rows whose word is a subject's term, exactly; ``country`` narrows the stores that have one.
 
-    stores: name -> (table, column of text, id of a row as text).
+    stores: name -> (table, column of the word, id of a row as text). Erasure finds the same rows.
     """
     out = None
     for name, (table, column, rid) in stores.items():
-        hit = F.col(column).ilike(f"%{term}%") if name in any_case else F.contains(F.col(column), F.lit(term))
-        rows = table.where(hit).select(F.lit(name).alias("store"), rid.cast("string").alias("rid"))
+        rows = table.where(_is_subject(table, column, term, country)).select(F.lit(name).alias("store"), rid.cast("string").alias("rid"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str) -> DataFrame:
-    """(store, erased, kept): what an erasure of rows that hold the term would do."""
+def _is_subject(table: DataFrame, column: str, term: str, country: str | None) -> Column:
+    hit = F.coalesce(F.col(column) == term, F.lit(False))
+    return hit & F.coalesce(F.col("country") == country, F.lit(False)) if country is not None and "country" in table.columns else hit
+
+
+def subject_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: DataFrame, audit: DataFrame, term: str, country: str | None = None, details: tuple[str, ...] = ("detail",), limit: int = 100) -> DataFrame:
+    """(store, rid) of all that is held on a term: the stores' rows, and the newest ``limit`` traces and audit rows.
+
+    Traces (id, ts, word_sha256, prompt_hash) are found by the term's hash, whether it was the word or the
+    prompt; audit rows (id, ts) by ILIKE on their details, so % and _ match as there.
+    """
+    found = subject_rows(stores, term, country)
+    named = traces.sparkSession.range(1).select(F.sha2(F.lit(term), 256).alias("hash"))
+    newest = by_either_hash(traces, named, limit)
+    said = audit.where(any_of([F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False)) for c in details])).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    for name, rows in (("traces", newest), ("audit", said)):
+        found = found.unionByName(rows.select(F.lit(name).alias("store"), F.col("id").cast("string").alias("rid")))
+    return found
+
+
+def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str, country: str | None = None) -> DataFrame:
+    """(store, erased, kept): what an erasure of the term would do to the stores."""
     out = None
     for name, (table, column) in stores.items():
-        hit = F.coalesce(F.contains(F.col(column), F.lit(term)), F.lit(False))
+        hit = _is_subject(table, column, term, country)
         row = table.agg(F.count_if(hit).alias("erased"), F.count_if(~hit).alias("kept")).select(F.lit(name).alias("store"), "erased", "kept")
         out = row if out is None else out.unionByName(row)
     return out

@@ -105,13 +105,21 @@ def running(rows: DataFrame, key: str, order: str, what: Column, name: str, slic
     """``rows`` with the running sum of ``what`` per key in the order of a number.
 
     A key may hold a third of all rows: each key's order is cut into ranges of about equal size,
-    summed on its own, and the sums of the ranges before come from one row per range.
+    summed on its own, and the sums of the ranges before come from one row per range. A null key is a
+    key; rows without an order come before all others of their key.
     """
+    def by_key(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        other = right.withColumnsRenamed({c: f"_r_{c}" for c in (key, *more)})
+        same = F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+        for c in more:
+            same = same & (F.col(c) == F.col(f"_r_{c}"))
+        return left.join(other, same).drop(*(f"_r_{c}" for c in (key, *more)))
+
     bounds = rows.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    dealt = rows.join(bounds, key).withColumn("_s", F.least(F.floor((F.col(order) - F.col("_lo")) * slices / (F.col("_hi") - F.col("_lo") + 1)), F.lit(slices - 1))).withColumn("_w", what)
+    dealt = by_key(rows, bounds).withColumn("_s", F.when(F.col(order).isNull(), -1).otherwise(F.least(F.floor((F.col(order) - F.col("_lo")) * slices / (F.col("_hi") - F.col("_lo") + 1)), F.lit(slices - 1)))).withColumn("_w", what)
     sums = dealt.groupBy(key, "_s").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows a key
     sums = sums.select(key, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(key, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.withColumn("_own", F.sum("_w").over(inside)).join(sums, [key, "_s"])
+    out = by_key(dealt.withColumn("_own", F.sum("_w").over(inside)), sums, "_s")
     return out.withColumn(name, F.col("_own") + F.col("_base")).select(*rows.columns, name)

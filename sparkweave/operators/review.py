@@ -55,16 +55,17 @@ def reviewed(pending: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
     pending: id, word, country, category, reason, source, ...; decisions: id, approve, category,
     reason, by. An approval makes a safe rule and a reusable tag, assessed by hand, with the
     decision's category if it has one. A rejection needs a reason (1 to 2000 characters) and makes a banned
-    rule. Decisions on unknown ids, of unknown countries or without their reason change nothing. Of
-    several decisions on a word, the rejection counts.
+    rule. Decisions that neither approve nor reject (null), on unknown ids, of unknown countries or without
+    their reason are no decisions. Of several valid ones on a word, the rejection counts.
     """
-    one = decisions.groupBy("id").agg(F.min_by(F.struct("approve", F.col("category").alias("new_category"), F.col("reason").alias("why"), "by"), F.struct("approve", "reason")).alias("d")).select("id", "d.*")
-    good = F.col("approve") | within(F.col("why"), "reason")
-    both = pending.join(one, "id").where(good & country(F.col("country")).isNotNull()).withColumn("country", country(F.col("country")))
+    valid = decisions.where(F.col("approve") | (~F.col("approve") & within(F.col("reason"), "reason")))
+    one = valid.groupBy("id").agg(F.min_by(F.struct("approve", F.col("category").alias("new_category"), F.col("reason").alias("why"), "by"), F.struct("approve", "reason")).alias("d")).select("id", "d.*")
+    both = pending.join(one, "id").where(country(F.col("country")).isNotNull()).withColumn("country", country(F.col("country")))
     yes, no = both.where("approve"), both.where("NOT approve")
     empty = F.lit(None).cast("string")
+    by = F.coalesce("by", F.lit(""))
     rules = yes.select("country", F.lit("safe").alias("list"), "word", empty.alias("rule_id"), F.col("by").alias("added_by"))
-    rules = rules.unionByName(no.select("country", F.lit("banned").alias("list"), "word", F.lit(MANUAL_REJECT).alias("rule_id"), F.concat("by", F.lit("："), "why").alias("added_by")))
+    rules = rules.unionByName(no.select("country", F.lit("banned").alias("list"), "word", F.lit(MANUAL_REJECT).alias("rule_id"), F.concat(by, F.lit("："), "why").alias("added_by")))
     category = F.coalesce(F.when(F.col("new_category") != "", F.col("new_category")), F.col("category"))
     tags = yes.select("word", "country", category.alias("category"), F.lit(REUSABLE).alias("compliance_status"), "reason", "source", F.lit("manual").alias("assessed_by"))
     return {"rules": rules, "tags": tags, "pending": pending.join(both.select("id"), "id", "left_anti")}

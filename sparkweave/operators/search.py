@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
@@ -12,31 +15,37 @@ from pyspark.sql import types as T
 from ..constants import RECALL, RERANK, REUSABLE, THRESHOLD_WITH_CATEGORY, THRESHOLD_WITHOUT
 from ..functions.text import casefold
 from ..functions.vector import norm
+from .shared import stored
 
 #: Queries and points that one task compares with each other.
 BLOCK, CHUNK = 1024, 8192
+#: Points of a cell, and the most cells of all keys: their centres are sent to every task.
+CELL, CELLS = 512, 4096
+#: Slack of an angle worked out in double precision.
+SLACK = 1e-6
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(qid, id, similarity, ord): each query's k most similar points of its key: queries (qid, key, q), points (id, key, vector).
+def _usable(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows with a key and a finite vector that isn't zero, and the vector's length as a further key."""
+    v = F.col(vector)
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return rows.where(F.col("key").isNotNull() & v.isNotNull() & finite & (F.coalesce(norm(v), F.lit(0.0)) > 0)).withColumn("dim", F.size(v))
 
-    Of each key, blocks of queries meet chunks of points, so a key with a third of all rows is as
-    many tasks as its size asks for; each task sends on no more than k points a query. Similarity is
-    the cosine, rounded to 6 digits; ties go to the smaller id. Null and zero vectors and null keys take no part.
-    """
-    usable = lambda df, v: df.where(F.col("key").isNotNull() & (F.coalesce(norm(F.col(v)), F.lit(0.0)) > 0))
-    asked, there = usable(queries.select("qid", "key", "q"), "q"), usable(points.select("id", "key", "vector"), "vector")
+
+def _compared(asked: DataFrame, there: DataFrame, k: int) -> DataFrame:
+    """(qid, id, similarity): of each (key, dim, cell), blocks of queries meet chunks of points and keep k points a query."""
+    by = ["key", "dim", "cell"]
     count = lambda size, name: F.ceil(F.count("*") / size).cast("int").alias(name)
-    sizes = asked.groupBy("key").agg(count(BLOCK, "blocks")).join(there.groupBy("key").agg(count(CHUNK, "chunks")), "key")
+    sizes = asked.groupBy(*by).agg(count(BLOCK, "blocks")).join(there.groupBy(*by).agg(count(CHUNK, "chunks")), by)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = asked.join(sizes, "key").select("key", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("b"), every("chunks").alias("c"), "qid", "q")
-    there = there.join(sizes, "key").select("key", every("blocks").alias("b"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("c"), "id", "vector")
+    asked = asked.join(sizes, by).select(*by, F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("b"), every("chunks").alias("c"), "qid", "q")
+    there = there.join(sizes, by).select(*by, every("blocks").alias("b"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("c"), "id", "vector")
     schema = T.StructType([asked.schema["qid"], there.schema["id"], T.StructField("similarity", T.DoubleType())])
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -54,7 +63,121 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         take = lambda c, i: c.combine_chunks().take(pa.array(np.concatenate(i)))
         return pa.table({"qid": take(left["qid"], rows), "id": take(right["id"], cols), "similarity": pa.array(np.concatenate(values))})
 
-    found = asked.groupBy("key", "b", "c").cogroup(there.groupBy("key", "b", "c")).applyInArrow(solve, schema)
+    return asked.groupBy(*by, "b", "c").cogroup(there.groupBy(*by, "b", "c")).applyInArrow(solve, schema)
+
+
+class Cells:
+    """Cells of points by their nearest centre in angle: centres, least and greatest angle, and number of points, per (key, dim).
+
+    Keys that would get less than one of ``CELLS`` cells have none: their points are cell -1, which every
+    query of the key visits. So the number of centres is bounded whatever the table holds.
+    """
+
+    def __init__(self, points: DataFrame):
+        sizes = points.groupBy("key", "dim").agg(F.count("*").alias("n"))
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        share = F.least(F.ceil(F.col("n") / CELL), F.floor(F.col("n") * CELLS / F.lit(total)))
+        large = sizes.where((F.col("n") > CHUNK) & (share > 1)).withColumn("cells", share.cast("int"))  # at most CELLS keys
+        lot = F.xxhash64("id", F.lit(11))
+        drawn = points.join(F.broadcast(large), ["key", "dim"]).where(F.pmod(lot, F.ceil(F.col("n") / F.col("cells"))) == 0)
+        rank = F.row_number().over(Window.partitionBy("key", "dim").orderBy(lot, "id"))
+        self.centres: dict[tuple, np.ndarray] = {}
+        rows = drawn.withColumn("r", rank).where("r <= cells").select("key", "dim", "vector").collect()  # at most CELLS rows
+        for r in rows:
+            self.centres.setdefault((r["key"], r["dim"]), []).append(r["vector"])
+        for key, vectors in self.centres.items():
+            x = np.array(vectors, np.float64)
+            self.centres[key] = x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def _angles(self, batch: pa.RecordBatch, vector: str) -> Iterator[tuple[tuple, np.ndarray, np.ndarray | None]]:
+        """((key, dim), row numbers, angles to the key's centres) of a batch; None for keys without cells."""
+        keys = list(zip(batch.column("key").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+        codes, names = pd.factorize(pd.Series(keys, dtype=object))
+        for i, key in enumerate(names):
+            at = np.flatnonzero(codes == i)
+            c = self.centres.get(key)
+            yield key, at, None if c is None else np.arccos(np.clip(_matrix(batch.column(vector).take(pa.array(at))) @ c.T, -1, 1))
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        """``points`` with their cell and the angle to its centre."""
+        schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell, angle = np.full(len(b), -1, np.int32), np.zeros(len(b))
+                for _, at, a in self._angles(b, "vector"):
+                    if a is not None:
+                        cell[at] = a.argmin(axis=1)
+                        angle[at] = a.min(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=schema.names)
+
+        return points.mapInArrow(run, schema)
+
+    def measured(self, placed: DataFrame) -> Cells:
+        """Itself, knowing each cell's size and angles."""
+        stats = placed.where("cell >= 0").groupBy("key", "dim", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()  # a row per centre
+        self.stats = {k: np.zeros((len(c), 3)) for k, c in self.centres.items()}
+        for r in stats:
+            self.stats[r["key"], r["dim"]][r["cell"]] = r["n"], r["lo"], r["hi"]
+        return self
+
+    def visits(self, asked: DataFrame, k: int) -> DataFrame:
+        """``asked`` once for each cell to visit. With a column ``least``, the k-th best similarity so far, the cells not ruled out by it that
+        the first visit left; without one the first visit: the cells of the nearest centres that hold k points together.
+
+        A point of a cell whose centre is at angle a from the query, and whose own angles lie within lo and hi, is at least
+        max(a - hi, lo - a) away.
+        """
+        again = "least" in asked.columns
+        out = [c for c in asked.columns if c != "least"]
+        schema = T.StructType([*(asked.schema[c] for c in out), T.StructField("cell", T.IntegerType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                least = b.column("least").to_numpy(zero_copy_only=False) if again else None
+                for key, at, a in self._angles(b, "q"):
+                    if a is None:
+                        rows, cells = (at, np.full(len(at), -1)) if not again else (at[:0], at[:0])
+                    else:
+                        n, lo, hi = self.stats[key].T
+                        order = a.argsort(axis=1, kind="stable")
+                        before = np.take_along_axis(np.broadcast_to(n, a.shape), order, axis=1).cumsum(axis=1)
+                        first = np.zeros(a.shape, bool)
+                        np.put_along_axis(first, order, np.concatenate([np.zeros((len(a), 1)), before[:, :-1]], axis=1) < k, axis=1)
+                        if again:
+                            # similarities are rounded to 6 digits, so a point may be better by half a digit than it looks
+                            reach = np.arccos(np.clip(np.nan_to_num(least[at], nan=-2.0) - 1e-6, -1, 1)) + SLACK
+                            first = ~first & (np.maximum(a - hi, lo - a) <= reach[:, None])
+                        r, cells = np.nonzero(first & (n > 0))
+                        rows = at[r]
+                    part = b.select(out).take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.int32())], names=schema.names)
+
+        return asked.mapInArrow(run, schema)
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(qid, id, similarity, ord): each query's k most similar points of its key: queries (qid, key, q), points (id, key, vector).
+
+    Similarity is the cosine, rounded to 6 digits; ties go to the smaller id. Null and zero vectors, those with a component
+    that is null or not finite, and null keys take no part; vectors of different lengths don't meet.
+
+    Keys of more than a chunk of points are cut into cells. A query first visits the cells around it; its k-th
+    similarity there rules out, by the triangle inequality on angles, cells that can't hold a better point, and it
+    visits the others. Of each cell, blocks of queries meet chunks of points, so a cell with a third of all
+    points is as many tasks as its size asks for; each task sends on no more than k points a query.
+    """
+    asked, there = _usable(queries.select("qid", "key", "q"), "q"), _usable(points.select("id", "key", "vector"), "vector")
+    most = there.groupBy("key", "dim").count().agg(F.max("count")).first()[0] or 0
+    if most <= CHUNK:
+        found = _compared(asked.withColumn("cell", F.lit(-1)), there.withColumn("cell", F.lit(-1)), k)
+    else:
+        cells = Cells(there)
+        there = stored(cells.placed(there), "placed")
+        cells.measured(there)
+        near = stored(_compared(cells.visits(asked, k), there.drop("angle"), k), "near")
+        kth = near.groupBy("qid").agg(F.sort_array(F.collect_list("similarity"), False).alias("s")).select("qid", F.get("s", F.lit(k - 1)).alias("least"))  # a few lists of k a query
+        found = near.unionByName(_compared(cells.visits(asked.join(kth, "qid", "left"), k), there.drop("angle"), k))
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
     return found.withColumn("ord", F.row_number().over(w).cast("long")).where(F.col("ord") <= k)
 

@@ -13,7 +13,7 @@ from ..functions import validate
 from ..functions.ids import point_id, text_hash
 from ..functions.pii import pseudonymise
 from ..functions.vector import normalise
-from ..operators import collect, governance, listing, points, review, rules, search, store
+from ..operators import collect, governance, listing, points, review, route, rules, search, store
 from .views import duck_query, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,14 +214,23 @@ def verdict(spark, sf_dir):
     return _verdicts(spark, sf_dir).select("id", "word", "country", "verdict", "rule_id")
 
 
-_MODEL = "CASE id % 4 WHEN 0 THEN '可复用' WHEN 1 THEN '存疑' WHEN 2 THEN '需拦截' ELSE 'nonsense' END"
-_ACTION = f"CASE WHEN id % 9 = 0 THEN 'pending_no_anchor' WHEN verdict THEN 'approved' WHEN NOT verdict THEN 'blocked' WHEN {_MODEL} = '可复用' THEN 'approved' WHEN {_MODEL} = '需拦截' THEN 'blocked' ELSE 'pending' END"
-_ROUTED = f"{_VERDICT}, routed AS (SELECT id, word, country, {_ACTION} AS action FROM verdicts)"
+_ROUTED = f"""{_VERDICT}, judged AS (SELECT id, word, country, id % 9 <> 0 AS anchored, verdict IS NULL AS asked, coalesce(verdict, false) AS good FROM verdicts),
+routed AS (SELECT id, word, country, 'approved' AS action FROM judged WHERE anchored AND (good OR (asked AND id % 4 = 0))
+UNION ALL SELECT id, word, country, 'pending_no_anchor' FROM judged WHERE NOT anchored AND (good OR (asked AND id % 4 = 0))
+UNION ALL SELECT id, word, country, 'pending' FROM judged WHERE asked AND id % 4 IN (1, 3)
+UNION ALL SELECT id, word, country, 'blocked' FROM judged WHERE (NOT asked AND NOT good) OR (asked AND id % 4 = 2))"""
+
+
+def _said(words: DataFrame) -> DataFrame:
+    """A model's answers stand in by id: reusable, doubtful, to be blocked, nonsense; every other reason is blank."""
+    said = F.get(F.array(F.lit("可复用"), F.lit("存疑"), F.lit("需拦截"), F.lit("nonsense")), (F.col("id") % 4).cast("int"))
+    return words.withColumns({"said_verdict": said, "said_reason": F.when(F.col("id") % 2 == 0, F.concat(F.lit(" said "), "id")).otherwise(" ")})
 
 
 def _routed(spark, sf_dir) -> DataFrame:
-    """Every word's sink: without an anchor to the reviewers, else by the rules, else by the model's verdict (an input here)."""
-    return _verdicts(spark, sf_dir).select("id", "word", "country", F.expr(_ACTION).alias("action"))
+    """Every word's action; each ninth word has no anchor."""
+    words = _said(_verdicts(spark, sf_dir)).withColumn("anchor_id", F.when(F.col("id") % 9 != 0, F.col("id")))
+    return route.routed(route.assessed(words)).select("id", "word", "country", "action")
 
 
 @operator("q18_funnel_route", ("terms",), f"WITH {_ROUTED} SELECT * FROM routed")
@@ -245,7 +254,7 @@ def progress(spark, sf_dir):
 # ---------------------------------------------------------------- progress and sets
 
 
-@operator("q21_unseen_anti_join", ("suggestions",), "SELECT a.country, a.word FROM suggestions a WHERE a.source = 'amazon_suggest' AND NOT EXISTS (SELECT 1 FROM suggestions b WHERE b.source = 'ebay_suggest' AND b.country = a.country AND b.word = a.word)")
+@operator("q21_unseen_anti_join", ("suggestions",), "SELECT a.country, a.word FROM (SELECT country, word FROM suggestions WHERE source = 'amazon_suggest') a LEFT JOIN (SELECT DISTINCT country, word, true AS there FROM suggestions WHERE source = 'ebay_suggest') b ON b.country = a.country AND b.word = a.word WHERE b.there IS NULL")
 def unseen(spark, sf_dir):
     """Repeated words stay as often as they come."""
     s = view(spark, sf_dir, "suggestions").select("country", "word", "source")
@@ -395,18 +404,38 @@ def retention(spark, sf_dir):
     return store.purge(e.join(now), "ts", F.col("now"), 10).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-@operator("q43_dsar_search", ("tags", "anchors", "audit", "traces"), "SELECT 'tags' AS store, CAST(id AS VARCHAR(20)) AS rid FROM tags WHERE contains(word, 'The') UNION ALL SELECT 'anchors', CAST(id AS VARCHAR(20)) FROM anchors WHERE contains(cn_word, 'The') UNION ALL SELECT 'traces', concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) FROM traces WHERE response ILIKE '%The%' UNION ALL SELECT 'audit', CAST(id AS VARCHAR(20)) FROM audit WHERE detail ILIKE '%7%'")
-def dsar_search(spark, sf_dir):
-    tags, anchors, traces, audit = (view(spark, sf_dir, x) for x in ("tags", "anchors", "traces", "audit"))
-    rid = F.concat("conv_id", F.lit(":"), "turn")
-    stores = {"tags": (tags, "word", F.col("id")), "anchors": (anchors, "cn_word", F.col("id")), "traces": (traces, "response", rid)}
-    found = governance.subject_rows(stores, "The", any_case=("traces",))
-    return found.unionByName(governance.subject_rows({"audit": (audit, "detail", F.col("id"))}, "7", any_case=("audit",)))
+_TRACES = "tr AS (SELECT c.conv_id * 1000 + c.turn AS id, c.conv_id AS ts, sha256(coalesce(c.text, '')) AS word_sha256, CASE WHEN b.conv_id IS NOT NULL THEN sha256(coalesce(b.text, '')) END AS prompt_hash FROM conversations c LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1)"
+_HELD = """SELECT subject, 'tags' AS store, CAST(id AS VARCHAR) AS rid FROM tags, subjects WHERE word = term AND (asked IS NULL OR country = asked) UNION ALL SELECT subject, 'anchors', CAST(id AS VARCHAR) FROM anchors, subjects WHERE cn_word = term
+UNION ALL SELECT subject, 'traces', CAST(id AS VARCHAR) FROM (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, id DESC) AS n FROM tr, subjects WHERE word_sha256 = sha256(term) OR prompt_hash = sha256(term)) WHERE n <= 100
+UNION ALL SELECT subject, 'audit', CAST(id AS VARCHAR) FROM (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, id DESC) AS n FROM audit, subjects WHERE detail ILIKE concat('%', term, '%') OR action ILIKE concat('%', term, '%')) WHERE n <= 100"""
+
 
+def traces_of(spark, sf_dir) -> DataFrame:
+    """Traces of model calls, one per turn; the prompt is the turn before."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.sha2("text", 256).alias("prompt_hash"))
+    return c.join(before, ["conv_id", "turn"], "left").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("ts"), F.sha2("text", 256).alias("word_sha256"), "prompt_hash", "conv_id", "turn")
 
-@operator("q44_dsar_erase_counts", ("tags", "anchors", "traces"), "SELECT 'tags' AS store, sum(CASE WHEN contains(word, 'The') THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN contains(word, 'The') THEN 0 ELSE 1 END) AS kept FROM tags UNION ALL SELECT 'anchors', sum(CASE WHEN contains(cn_word, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(cn_word, 'The') THEN 0 ELSE 1 END) FROM anchors UNION ALL SELECT 'traces', sum(CASE WHEN contains(response, 'The') THEN 1 ELSE 0 END), sum(CASE WHEN contains(response, 'The') THEN 0 ELSE 1 END) FROM traces")
+
+@operator("q43_dsar_search", ("tags", "anchors", "audit"), f"WITH {_TRACES}, subjects AS (SELECT 'word' AS subject, (SELECT max(word) FROM tags) AS term, NULL AS asked UNION ALL SELECT 'country', (SELECT max(word) FROM tags), 'DE' UNION ALL SELECT 'text', (SELECT min(text) FROM conversations WHERE text <> ''), NULL UNION ALL SELECT 'detail', 'SIGNUP', NULL) {_HELD}")
+def dsar_search(spark, sf_dir):
+    """Four subjects: a tag's word, the same in one country, the text of a turn, and what the audit log writes in lower case."""
+    tags, anchors, audit = (view(spark, sf_dir, x) for x in ("tags", "anchors", "audit"))
+    text = table(spark, sf_dir, "conversations").where("text <> ''")
+    word, turn = tags.agg(F.max("word")).first()[0], text.agg(F.min("text")).first()[0]  # subjects are parameters of a run
+    stores, out = {"tags": (tags, "word", F.col("id")), "anchors": (anchors, "cn_word", F.col("id"))}, None
+    for subject, term, country in (("word", word, None), ("country", word, "DE"), ("text", turn, None), ("detail", "SIGNUP", None)):
+        found = governance.subject_data(stores, traces_of(spark, sf_dir), audit, term or "", country, ("detail", "action"))
+        found = found.select(F.lit(subject).alias("subject"), "store", "rid")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@operator("q44_dsar_erase_counts", ("tags", "anchors"), "WITH x AS (SELECT max(word) AS term FROM tags) SELECT 'tags' AS store, sum(CASE WHEN word = term AND country = 'DE' THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN word = term AND country = 'DE' THEN 0 ELSE 1 END) AS kept FROM tags, x UNION ALL SELECT 'anchors', sum(CASE WHEN cn_word = term THEN 1 ELSE 0 END), sum(CASE WHEN cn_word = term THEN 0 ELSE 1 END) FROM anchors, x")
 def erase_counts(spark, sf_dir):
-    return governance.erasure_counts({n: (view(spark, sf_dir, n), c) for n, c in (("tags", "word"), ("anchors", "cn_word"), ("traces", "response"))}, "The")
+    tags, anchors = view(spark, sf_dir, "tags"), view(spark, sf_dir, "anchors")
+    term = tags.agg(F.max("word")).first()[0] or ""
+    return governance.erasure_counts({"tags": (tags, "word"), "anchors": (anchors, "cn_word")}, term, "DE")
 
 
 @operator("q45_redact_json")
@@ -415,6 +444,11 @@ def redact_json(spark, sf_dir):
     return e.select("event_id", store.redact_json(F.to_json(F.struct("event_type", "props")), "click").alias("detail"))
 
 
+ORACLE_SQL["q45_redact_json"] = """WITH e AS (SELECT event_id, event_type, replace(props, '"', concat(chr(92), '"')) AS p FROM events)
+SELECT event_id, concat('{"event_type":"', event_type, '","props":"', p, '"}') AS detail FROM e WHERE NOT contains(concat(event_type, p), 'click')
+UNION ALL SELECT event_id, concat('{"event_type": "', replace(event_type, 'click', '<REDACTED>'), '", "props": "', replace(p, 'click', '<REDACTED>'), '"}') FROM e WHERE contains(concat(event_type, p), 'click')"""
+
+
 @operator("q46_lineage_by_run", (), "SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM {events}")
 def lineage_by_run(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type", "ts")

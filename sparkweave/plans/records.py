@@ -9,7 +9,7 @@ from ..constants import COUNTRIES, DEFAULT_REASON
 from ..functions import text as tx
 from ..functions import validate
 from ..operators import collect, governance, points, review, search
-from .catalogue import _ASKED, _ROUTED, ORACLE_SQL, _asked, _qid, _routed, fold, operator, table
+from .catalogue import _ASKED, _ROUTED, _TRACES, ORACLE_SQL, _asked, _qid, _routed, fold, operator, table, traces_of
 from .views import view
 
 _DUCK_STRIP = r"regexp_replace({x}, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -66,34 +66,26 @@ def rule_edits(spark, sf_dir):
     return _both({"outcome": outcome, "after": after}, "country", "word", "action")
 
 
-def _records(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Traces, whose prompt is the turn before, and the audit log."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.sha2("text", 256).alias("prompt_hash"))
-    t = c.join(before, ["conv_id", "turn"], "left").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.sha2("text", 256).alias("word_sha256"), "prompt_hash", "conv_id", "turn")
-    return t, view(spark, sf_dir, "audit")
-
-
-_TRACES = "tr AS (SELECT c.conv_id * 1000 + c.turn AS id, sha256(coalesce(c.text, '')) AS word_sha256, CASE WHEN b.conv_id IS NOT NULL THEN sha256(coalesce(b.text, '')) END AS prompt_hash FROM conversations c LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1)"
-
-
 @operator("q66_trace_by_either_hash", (), f"WITH {_TRACES}, h AS (SELECT word_sha256 AS x FROM tr WHERE id % 7000 < 1000) SELECT id, word_sha256, prompt_hash FROM tr WHERE word_sha256 IN (SELECT x FROM h) OR prompt_hash IN (SELECT x FROM h)")
 def trace_by_hash(spark, sf_dir):
-    t, _ = _records(spark, sf_dir)
+    t = traces_of(spark, sf_dir)
     return governance.by_either_hash(t, t.where("id % 7000 < 1000").select(F.col("word_sha256").alias("hash"))).select("id", "word_sha256", "prompt_hash")
 
 
 @operator("q67_erasure", ("tags", "anchors", "audit"), f"""WITH {_TRACES}, w AS (SELECT min(word) AS x FROM tags WHERE word IS NOT NULL),
-proof AS (SELECT (SELECT count(*) FROM tags, w WHERE word = x) + (SELECT count(*) FROM anchors, w WHERE cn_word = x) AS p, (SELECT count(*) FROM tr, w WHERE word_sha256 = sha256(x) OR prompt_hash = sha256(x)) AS t, (SELECT count(*) FROM audit, w WHERE contains(detail, x)) AS a)
+proof AS (SELECT (SELECT count(*) FROM tags, w WHERE word = x) + (SELECT count(*) FROM anchors, w WHERE cn_word = x) AS p, (SELECT count(*) FROM tr, w WHERE word_sha256 = sha256(x) OR prompt_hash = sha256(x)) AS t, (SELECT count(*) FROM audit WHERE id % 50 = 0) AS a)
 SELECT 'proof' AS part, (SELECT sha256(x) FROM w) AS id, concat(p, '/', t, '/', a) AS detail FROM proof
 UNION ALL SELECT 'tags', CAST(id AS VARCHAR), NULL FROM tags, w WHERE word IS DISTINCT FROM x UNION ALL SELECT 'anchors', CAST(id AS VARCHAR), NULL FROM anchors, w WHERE cn_word IS DISTINCT FROM x
 UNION ALL SELECT 'traces', CAST(id AS VARCHAR), NULL FROM tr, w WHERE word_sha256 <> sha256(x) AND prompt_hash IS DISTINCT FROM sha256(x)
-UNION ALL SELECT 'audit', CAST(id AS VARCHAR), CASE WHEN contains(detail, x) THEN replace(detail, x, '<REDACTED>') ELSE detail END FROM audit, w""")
+UNION ALL SELECT 'audit', CAST(id AS VARCHAR), CASE id % 50 WHEN 0 THEN concat(chr(123), '"w": ["a <REDACTED> b", 1]', chr(125)) WHEN 1 THEN concat(chr(123), '"', x, '":"y"', chr(125)) ELSE detail END FROM audit, w""")
 def erasure(spark, sf_dir):
+    """Some audit rows have the subject's word with its first letter escaped, some have it as a key only."""
     tags, anchors = view(spark, sf_dir, "tags"), view(spark, sf_dir, "anchors")
-    traces, audit = _records(spark, sf_dir)
     term = tags.agg(F.min("word")).first()[0] or ""  # the subject's word is a parameter of a run
-    out = governance.erased({"tags": (tags, "word"), "anchors": (anchors, "cn_word")}, traces, audit, term, F.lit("2026-01-01").cast("timestamp"))
+    escaped = f'{{"w":["a \\u{ord(term[:1] or "x"):04x}{term[1:]} b",1]}}'
+    kind = F.col("id") % 50
+    audit = view(spark, sf_dir, "audit").withColumn("detail", F.when(kind == 0, escaped).when(kind == 1, f'{{"{term}":"y"}}').otherwise(F.col("detail")))
+    out = governance.erased({"tags": (tags, "word"), "anchors": (anchors, "cn_word")}, traces_of(spark, sf_dir), audit, term, F.lit("2026-01-01").cast("timestamp"))
     counts = F.concat_ws("/", "points_deleted", "trace_rows_deleted", "audit_rows_redacted")
     proof = out["proof"].select(F.col("term_sha256").alias("id"), counts.alias("detail"))
     return _both({"proof": proof, "audit": out["audit"], **{k: out[k].select("id") for k in ("tags", "anchors", "traces")}}, "id", "detail")
@@ -120,15 +112,18 @@ def purge_by_policy(spark, sf_dir):
 
 
 @operator("q69_tickets", (), """WITH o AS (SELECT event_id AS ticket_id, user_id, ts FROM events WHERE event_type = 'click'), u AS (SELECT event_id % 100000 AS ticket_id, CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' ELSE 'lost' END AS status, CASE WHEN event_id % 2 = 0 THEN concat('f', event_id) END AS findings, ts + INTERVAL 1 DAY AS at FROM events WHERE event_type = 'click')
-SELECT o.ticket_id, CASE WHEN u.status = 'lost' THEN 'received' ELSE u.status END AS status, CASE WHEN u.status = 'lost' THEN NULL ELSE u.findings END AS findings, CASE WHEN u.status = 'completed' THEN strftime(u.at, '%Y-%m-%d') END AS completed, strftime(o.ts + INTERVAL 30 DAY, '%Y-%m-%d') AS due FROM o JOIN u USING (ticket_id)""")
+SELECT o.ticket_id, CASE WHEN o.ticket_id % 5 = 0 THEN 'in_progress' WHEN u.status = 'lost' THEN 'received' ELSE u.status END AS status, CASE WHEN u.status = 'lost' THEN NULL ELSE u.findings END AS findings, CASE WHEN u.status = 'completed' THEN strftime(u.at, '%Y-%m-%d') END AS completed, strftime(o.ts + INTERVAL 30 DAY, '%Y-%m-%d') AS due FROM o JOIN u USING (ticket_id)""")
 def tickets(spark, sf_dir):
+    """Each ticket has an update after a day, most one before it, and every fifth is opened again later, without findings."""
     e, i = table(spark, sf_dir, "events").where("event_type = 'click'"), F.col("event_id")
     open_ = governance.tickets(e.select(i.alias("ticket_id"), F.lit("word").alias("term"), F.lit("a@b.c").alias("contact"), F.lit(None).cast("string").alias("note"), F.col("ts").alias("created_at")))
     status = F.when(i % 3 == 0, "completed").when(i % 3 == 1, "in_progress").otherwise("lost")
-    day = F.col("ts") + F.make_dt_interval(F.lit(1))
-    updates = e.select(i.alias("ticket_id"), status.alias("status"), F.when(i % 2 == 0, F.concat(F.lit("f"), i)).alias("findings"), day.alias("at"))
-    early = e.where("event_id % 3 < 2").select(i.alias("ticket_id"), F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("findings"), F.col("ts").alias("at"))
-    out = governance.updated_tickets(open_, updates.unionByName(early))
+    day = lambda n: F.col("ts") + F.make_dt_interval(F.lit(n))
+    none = F.lit(None).cast("string").alias("findings")
+    updates = e.select(i.alias("ticket_id"), status.alias("status"), F.when(i % 2 == 0, F.concat(F.lit("f"), i)).alias("findings"), day(1).alias("at"))
+    early = e.where("event_id % 3 < 2").select(i.alias("ticket_id"), F.lit("rejected").alias("status"), none, F.col("ts").alias("at"))
+    again = e.where("event_id % 5 = 0").select(i.alias("ticket_id"), F.lit("in_progress").alias("status"), none, day(2).alias("at"))
+    out = governance.updated_tickets(open_, updates.unionByName(early).unionByName(again))
     show = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.select("ticket_id", "status", "findings", show("completed_at").alias("completed"), show("due_at").alias("due"))
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLOCKED, DOUBTFUL, REUSABLE
+from .versioned import VersionedTable
 
 
 class Provider(Protocol):
@@ -34,6 +36,25 @@ class Offline:
         return v / np.linalg.norm(v)
 
 
+@dataclass(frozen=True)
+class Model:
+    """A model that each Python worker loads once, when its first task needs it. ``name`` stands for its weights, too."""
+
+    name: str
+    load: Callable[[], Provider]
+    dim: int
+
+
+#: What this worker has loaded.
+_loaded: dict[str, Provider] = {}
+
+
+def loaded(model: Model) -> Provider:
+    if model.name not in _loaded:
+        _loaded[model.name] = model.load()
+    return _loaded[model.name]
+
+
 def assessed(words: DataFrame, provider: Provider) -> DataFrame:
     """``words`` (word, country, verdict) with the model's verdict where rules have none; decided words never reach the model."""
     decided, open_ = words.where("verdict IS NOT NULL"), words.where("verdict IS NULL")
@@ -55,3 +76,44 @@ def embedded(texts: DataFrame, provider: Provider, text: str = "text") -> DataFr
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", vector array<double>"
     return texts.mapInPandas(run, schema)
+
+
+VECTORS = "text_key string, model string, vector array<float>, made long"
+
+
+def vector_table(spark, folder: str, parts: int = 32) -> VersionedTable:
+    """Where vectors are kept by the content of their texts."""
+    return VersionedTable(spark, folder, "text_key", VECTORS, parts)
+
+
+def _key(model: Model, text: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{model.name}\x00"), text), 256)
+
+
+def embed_new(texts: DataFrame, model: Model, kept: VersionedTable, text: str = "text") -> int:
+    """Embeds each distinct text that ``kept`` has no vector of and puts the vectors there; the version after.
+
+    A vector of another dimension than the model's, or with a component that is not finite, fails the job; others are scaled to norm 1.
+    """
+    distinct = texts.select(F.col(text).alias("t")).where(F.trim("t") != "").distinct().withColumn("text_key", _key(model, F.col("t")))
+    new = distinct.join(kept.read().select("text_key"), "text_key", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            vectors = []
+            for t in p["t"]:
+                v = np.asarray(loaded(model).embed(t), np.float64)
+                n = np.linalg.norm(v)
+                if v.shape != (model.dim,) or not np.isfinite(n) or n == 0:
+                    raise ValueError(f"{model.name} gave a vector of shape {v.shape} and norm {n}")
+                vectors.append((v / n).astype(np.float32).tolist())
+            yield pd.DataFrame({"text_key": p["text_key"], "model": model.name, "vector": vectors, "made": 0})
+
+    return kept.upsert(new.mapInPandas(run, VECTORS), "made")
+
+
+def embed_through(texts: DataFrame, model: Model, kept: VersionedTable, text: str = "text") -> DataFrame:
+    """``texts`` with their vector, from ``kept`` after ``embed_new``; blank texts get null."""
+    embed_new(texts, model, kept, text)
+    keyed = texts.withColumn("text_key", F.when(F.trim(F.col(text)) != "", _key(model, F.col(text))))
+    return keyed.join(kept.read().select("text_key", "vector"), "text_key", "left").drop("text_key")
