@@ -101,9 +101,18 @@ class VersionedTable:
         self.commits.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
     def upsert(self, rows: DataFrame, seq: str) -> int:
-        """Each key's last row by ``seq``, whole; see ``store.upsert`` for null and equal ones. The version after."""
-        mine = rows.select(*(c for c in rows.columns if c in self.schema.names))
-        return self._changed(lambda _: self._touched(mine), lambda old: store.upsert(old, mine, self.key, seq))
+        """Each key's last row by ``seq``, whole; see ``store.upsert`` for null and equal ones. The version after.
+
+        The rows are worked out once and laid down, as they are read to find the parts and again for every try.
+        """
+        path = f"{self.folder}/incoming/{uuid.uuid4().hex}"
+        try:
+            mine = rows.select(*(c for c in rows.columns if c in self.schema.names))
+            mine.write.parquet(path)
+            mine = self.spark.read.schema(mine.schema).parquet(path)
+            return self._changed(lambda _: self._touched(mine), lambda old: store.upsert(old, mine, self.key, seq))
+        finally:
+            self._remove(path)
 
     def delete(self, keys: DataFrame) -> int:
         """Without the rows whose key is among the first column of ``keys``."""

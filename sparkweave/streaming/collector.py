@@ -38,15 +38,15 @@ class History(StatefulProcessor):
     """Of each (job, country) the newest ``keys`` words that were processed, and the counters of the run at hand.
 
     A word among them is a duplicate and keeps its place; any other is processed and becomes the newest, whether
-    the store knew it or not. The oldest goes when there are too many, or, with ``expire_ms``, when it was
-    recorded that long ago: a timer sees to it where no rows arrive.
+    the store knew it or not. The oldest goes when there are too many, or, with ``expire_ms``, when a run comes
+    whose time is that much later. Expiry goes by the times of the runs, not by timers: a stream with timers on the
+    clock never ends of itself, and one with timers on a watermark would drop the rows of late runs.
     """
 
     def __init__(self, keys: int, expire_ms: int | None):
         self.keys, self.expire_ms = keys, expire_ms
 
     def init(self, handle) -> None:
-        self.handle = handle
         self.place = handle.getMapState("place", "word string", "n long")
         self.order = handle.getMapState("order", "n long", "word string, at long")
         self.span = handle.getValueState("span", "first long, next long")
@@ -65,9 +65,7 @@ class History(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         job, country = key
-        now = timerValues.getCurrentProcessingTimeInMs() if self.expire_ms is not None else 0
         first, upto = self.span.get() if self.span.exists() else (0, 0)
-        first = self._forget(first, upto, now)
         held = self.run.get() if self.run.exists() else None
         run, counts = (held[0], dict(zip(_COUNTED, held[1:], strict=True))) if held else (None, {})
         # a run has a bounded number of candidates a country, and a trigger reads one file
@@ -76,6 +74,8 @@ class History(StatefulProcessor):
         for r in todo.to_dict("records"):
             if r["run_id"] != run:
                 run, counts = r["run_id"], dict.fromkeys(_COUNTED, 0)
+            now = 0 if pd.isna(r["at"]) else int(r["at"].timestamp() * 1000)
+            first = self._forget(first, upto, now)
             word, counts["processed"] = r["word"], counts["processed"] + 1
             old = self.place.containsKey((word,))
             duplicate = old or bool(r["known"])
@@ -93,19 +93,8 @@ class History(StatefulProcessor):
             out.append({"job": job, "country": country, **{c: r[c] for c in ("run_id", "pos", "word", "category", "trend_score", "source")}, "action": None if duplicate else r["action"], "duplicate": duplicate, **counts})
         self.span.update((first, upto))
         self.run.update((run, *(counts[c] for c in _COUNTED)))
-        if self.expire_ms is not None and first < upto:
-            self.handle.registerTimer(self.order.getValue((first,))[1] + self.expire_ms)
         yield pd.DataFrame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.span.exists():
-            first, upto = self.span.get()
-            first = self._forget(first, upto, timerValues.getCurrentProcessingTimeInMs())
-            self.span.update((first, upto))
-            if first < upto:
-                self.handle.registerTimer(self.order.getValue((first,))[1] + self.expire_ms)
-        yield pd.DataFrame()
-
     def close(self) -> None:
         pass
 
@@ -122,8 +111,7 @@ def decisions(candidates: DataFrame, known: DataFrame, keys: int = PROGRESS_KEYS
     there = known.select("country", "word").distinct().withColumn("known", F.lit(True))
     rows = candidates.where("word IS NOT NULL").join(there, ["country", "word"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = rows.select("job", "country", "run_id", "at", F.col("pos").cast("long").alias("pos"), "word", "category", F.col("trend_score").cast("double").alias("trend_score"), "source", "action", "known")
-    mode = "None" if expire_ms is None else "ProcessingTime"
-    return rows.groupBy("job", "country").transformWithStateInPandas(History(keys, expire_ms), DECISIONS, "Append", mode)
+    return rows.groupBy("job", "country").transformWithStateInPandas(History(keys, expire_ms), DECISIONS, "Append", "None")
 
 
 CANDIDATES = "job string, country string, run_id string, at timestamp, pos long, word string, category string, trend_score double, source string, action string"

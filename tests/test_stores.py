@@ -5,10 +5,12 @@ import hashlib
 import http.server
 import json
 import os
+import sys
 import threading
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sparkweave.operators import route
@@ -217,15 +219,16 @@ def test_collector_keeps_the_newest_keys(spark, tmp_path):
 
 
 def test_collector_of_two_jobs_and_expiry(spark, tmp_path):
+    """Chinese words, and words of two countries, in one stream; what a run saw is forgotten a day and a half later."""
     known = spark.createDataFrame([], "country string, word string")
     source, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
-    for i, run in enumerate(("r1", "r2")):
-        both = _candidates(spark, run, ["词", "衣", None], i, "cn", "CN").unionByName(_candidates(spark, run, ["aaaa"], i)).unionByName(_candidates(spark, run, ["aaaa"], i, country="FR"))
+    for run, day in (("r1", 0), ("r2", 1), ("r3", 3)):
+        both = _candidates(spark, run, ["词", "衣", None], day, "cn", "CN").unionByName(_candidates(spark, run, ["aaaa"], day)).unionByName(_candidates(spark, run, ["aaaa"], day, country="FR"))
         collector.submit(both, source)
-        collector.run_collector(spark, source, known, out, progress, expire_ms=1).awaitTermination()
+    collector.run_collector(spark, source, known, out, progress, expire_ms=36 * 3600 * 1000).awaitTermination()
     rows = spark.read.parquet(out).collect()
-    assert len(rows) == 8 and not any(r.duplicate for r in rows)  # what was seen a moment ago is forgotten
-    assert sorted((r.job, r.country, r.run_id, r.word, r.added) for r in rows if r.job == "cn") == [("cn", "CN", run, w, n) for run in ("r1", "r2") for n, w in ((1, "词"), (2, "衣"))]
+    assert len(rows) == 12 and {r.run_id for r in rows if r.duplicate} == {"r2"} == {r.run_id for r in rows} - {"r1", "r3"}
+    assert sorted((r.country, r.run_id, r.word, r.added) for r in rows if r.job == "cn" and r.run_id != "r2") == sorted(("CN", run, w, n) for run in ("r1", "r3") for n, w in ((1, "词"), (2, "衣")))
 
 
 class Counting(providers.Offline):
@@ -249,11 +252,7 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     told = tmp_path / "told"
     told.mkdir()
     folder = str(told)
-    import cloudpickle
-    import pyspark.cloudpickle as carried
-
-    for pickler in (carried, cloudpickle) if cloudpickle is not carried else (carried,):
-        pickler.register_pickle_by_value(__import__(__name__, fromlist=["x"]))
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
     model = providers.Model("counting", lambda: Counting(folder), 8)
     kept = providers.vector_table(spark, str(tmp_path / "vectors"), 2)
     texts = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "id long, text string")
