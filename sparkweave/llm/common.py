@@ -201,6 +201,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Of all groups at most so many can be larger than rows / HOT.
+HOT = 4096
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group, ``groups`` having a row per group and its number of rows in ``size``.
+
+    A group may hold a third of all rows. Groups larger than ``total`` / HOT are fewer than HOT, so they are sent to all
+    tasks and their rows stay where they are; only the others' rows are shuffled.
+    """
+    hot, rest = groups.where(F.col(size) > total / HOT), groups.where(F.col(size) <= total / HOT)
+    near = rows.join(F.broadcast(hot), keys)  # fewer than HOT rows
+    return near.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i]+lengths[i]-1 for all i, one after another."""
     ends = np.cumsum(lengths)

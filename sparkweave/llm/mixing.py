@@ -80,8 +80,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, targets: dict[str, float], t
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain")).dropna().where(F.col("domain").isin(names))
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = own.join(F.broadcast(known), "doc_id").select("domain", "text")
-    seen = appended(seen, "text", [T.StructField("x", T.BinaryType())], lambda data, off: [[r.tobytes() for r in features(data, off)[1].astype(np.float32)]]).select("domain", "x").toPandas()
+    # an id may be on many rows, so these are limited, too, once they are of fixed size
+    seen = own.join(F.broadcast(known), "doc_id").select("domain", "text", F.xxhash64("doc_id", "text").alias("lot"))
+    seen = appended(seen, "text", [T.StructField("x", T.BinaryType())], lambda data, off: [[r.tobytes() for r in features(data, off)[1].astype(np.float32)]]).select("domain", "x", "lot").orderBy("lot", "domain").limit(sample).toPandas()
     x = np.frombuffer(b"".join(seen["x"]), np.float32).reshape(len(seen), CELLS).astype(float)
     y = seen["domain"].map({d: i for i, d in enumerate(names)}).to_numpy(np.int64)
     return DomainModel(names, prior / prior.sum(), x, y)

@@ -40,7 +40,7 @@ from .ngrams import Counter, Index, codes, counted, text_sums
 ORDER = 5
 WINDOW = 40
 #: Grams that a worker may hold.
-LOCAL = 4_000_000
+LOCAL = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _COUNTS = pa.schema([("toxic", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -231,7 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # where the tenth lacks a class, all labelled rows stand in for it
     sample = (known.where(aside) if classes[:2] == classes[2:] else known).orderBy(*order).limit(calibration)
     held = own.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    seen = model.features(held, "text").select("toxic", *_FEATURES).toPandas()
+    # an id may be on many rows, so these are limited, too, once they are numbers
+    seen = model.features(held, "text").select("toxic", *_FEATURES).orderBy(F.xxhash64(*_FEATURES), "toxic").limit(calibration).toPandas()
     model.fit_curve(seen[list(_FEATURES)].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
     return model
 
