@@ -25,7 +25,8 @@ SAFE_REASON, STATUTORY_REASON, BANNED_REASON = "通过安全词库", "命中UCPD
 NO_ANCHOR = " [未找到对应中文锚点]"
 SCORE_RANKS, SCORE_FLOOR = 15, 0.1
 TOP_PER_COUNTRY, PER_COUNTRY, FIRST_QUOTA, TOTAL_CAP = 50, 20, 15, 120
-RECALL, RERANK, DEFAULT_OUTPUT = 16, 8, 5
+RECALL, RERANK, DEFAULT_OUTPUT, MAX_OUTPUT = 16, 8, 5, 10
+PICK_REASON, FILL_REASON = "基于 LLM 精排推荐", "基于向量相似度补充推荐"
 THRESHOLD_WITH_CATEGORY, THRESHOLD_WITHOUT = 0.60, 0.75
 PROGRESS_KEYS, CACHE_KEYS, RECENT_ANCHORS, BATCH = 1000, 2000, 50, 12
 RETENTION_DAYS = {"llm_trace": 90, "audit_log": 396, "lineage_event": 396}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from ..functions.ids import all_of, any_of
 from .store import redact_json
 
 
+#: Subjects of one search.
+SUBJECTS = 1000
+
+
 def iso(ts: Column) -> Column:
     """ISO 8601 text of a time."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
@@ -140,6 +145,12 @@ def updated_tickets(open_: DataFrame, updates: DataFrame) -> DataFrame:
     return both.withColumns({"status": F.coalesce("_s", "status"), "findings": F.coalesce("_f", "findings"), "completed_at": F.coalesce("_t", "completed_at")}).select(*open_.columns)
 
 
+def closed(open_: DataFrame, ticket_id: str, proof: DataFrame) -> DataFrame:
+    """Tickets after an erasure: the one it was for is completed, at the time of the proof and with it as its findings. An unknown ticket changes nothing."""
+    done = proof.select(F.lit(ticket_id).cast(open_.schema["ticket_id"].dataType).alias("ticket_id"), F.lit("completed").alias("status"), F.to_json(F.struct(*proof.columns)).alias("findings"), F.to_timestamp("erased_at").alias("at"))
+    return updated_tickets(open_, done)
+
+
 def appended(table: DataFrame | None, rows: DataFrame, path: str) -> None:
     """Append rows, with the columns of ``table`` if there is one, to the log below ``path``."""
     (rows if table is None else rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))).write.mode("append").parquet(path)
@@ -150,36 +161,45 @@ def lineage_of(events: DataFrame, run_id: str) -> DataFrame:
     return events.where(F.col("run_id") == run_id).orderBy("ts", "id")
 
 
-def subject_rows(stores: Mapping[str, tuple[DataFrame, str, Column]], term: str, country: str | None = None) -> DataFrame:
-    """(store, rid) of all rows whose word is a subject's term, exactly; ``country`` narrows the stores that have one.
-
-    stores: name -> (table, column of the word, id of a row as text). Erasure finds the same rows.
-    """
-    out = None
-    for name, (table, column, rid) in stores.items():
-        rows = table.where(_is_subject(table, column, term, country)).select(F.lit(name).alias("store"), rid.cast("string").alias("rid"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def _is_subject(table: DataFrame, column: str, term: str, country: str | None) -> Column:
     hit = F.coalesce(F.col(column) == term, F.lit(False))
     return hit & F.coalesce(F.col("country") == country, F.lit(False)) if country is not None and "country" in table.columns else hit
 
 
-def subject_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: DataFrame, audit: DataFrame, term: str, country: str | None = None, details: tuple[str, ...] = ("detail",), limit: int = 100) -> DataFrame:
-    """(store, rid) of all that is held on a term: the stores' rows, and the newest ``limit`` traces and audit rows.
+def subjects_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: DataFrame, audit: DataFrame, subjects: Sequence[tuple[str, str, str | None]], details: tuple[str, ...] = ("detail",), limit: int = 100) -> DataFrame:
+    """(subject, store, rid) of all that is held on each of ``subjects`` (name, term, country or None): one pass over each table, however many they are.
 
-    Traces (id, ts, word_sha256, prompt_hash) are found by the term's hash, whether it was the word or the
-    prompt; audit rows (id, ts) by ILIKE on their details, so % and _ match as there.
+    The stores' rows whose word is the term, exactly, and of the country if the store has one; and each subject's newest
+    ``limit`` traces and audit rows. Traces (id, ts, word_sha256, prompt_hash) are found by the term's hash, whether it was the
+    word or the prompt; audit rows (id, ts) by ILIKE on their details, so % and _ match as there. The subjects
+    are the requests at hand, ``SUBJECTS`` at most.
     """
-    found = subject_rows(stores, term, country)
-    named = traces.sparkSession.range(1).select(F.sha2(F.lit(term), 256).alias("hash"))
-    newest = by_either_hash(traces, named, limit)
-    said = audit.where(any_of([F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False)) for c in details])).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
-    for name, rows in (("traces", newest), ("audit", said)):
-        found = found.unionByName(rows.select(F.lit(name).alias("store"), F.col("id").cast("string").alias("rid")))
-    return found
+    if len(subjects) > SUBJECTS:
+        raise ValueError(f"{len(subjects)} subjects at once; ask for {SUBJECTS} at most")
+
+    def hits(table: DataFrame, of, *columns: Column) -> DataFrame:
+        """A row for each subject that a row is about."""
+        named = [F.when(of(term, country), F.lit(name)) for name, term, country in subjects]
+        return table.select(F.explode(F.array_compact(F.array(*named))).alias("subject"), *columns) if named else table.limit(0).select(F.lit("").alias("subject"), *columns)
+
+    def newest(found: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy("subject").orderBy(F.desc("ts"), F.desc("id"))
+        top = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+        return top.select("subject", F.lit(name).alias("store"), F.col("id").cast("string").alias("rid"))
+
+    out = []
+    for name, (table, column, rid) in stores.items():
+        out.append(hits(table, lambda t, c: _is_subject(table, column, t, c), F.lit(name).alias("store"), rid.cast("string").alias("rid")))  # noqa: B023
+    hashed = lambda t, c: (F.col("word_sha256") == F.sha2(F.lit(t), 256)) | F.coalesce(F.col("prompt_hash") == F.sha2(F.lit(t), 256), F.lit(False))
+    said = lambda t, c: any_of([F.coalesce(F.col(d).ilike(f"%{t}%"), F.lit(False)) for d in details])
+    out.append(newest(hits(traces, hashed, F.col("id"), F.col("ts")), "traces"))
+    out.append(newest(hits(audit, said, F.col("id"), F.col("ts")), "audit"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def subject_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: DataFrame, audit: DataFrame, term: str, country: str | None = None, details: tuple[str, ...] = ("detail",), limit: int = 100) -> DataFrame:
+    """(store, rid) of all that is held on one term; see ``subjects_data``."""
+    return subjects_data(stores, traces, audit, [("", term, country)], details, limit).drop("subject")
 
 
 def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str, country: str | None = None) -> DataFrame:

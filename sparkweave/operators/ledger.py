@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.ids import row_hash
 from ..sources.commits import Commits, Conflict
 from . import store
+from .shared import typed
 
 FIELDS = ("id", "ts", "actor", "action", "rtype", "rid")
 SEALS = "chain string, segment long, first_prev string, last_hash string, n long, last_id long"
@@ -28,8 +29,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | str, genesis: str = "GENESIS"):
         self.spark, self.folder, self.genesis = spark, folder.rstrip("/"), genesis
-        schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        self.schema = T.StructType([T.StructField("chain", T.StringType()), T.StructField("segment", T.LongType()), *(f for f in schema if f.name not in ("chain", "segment")), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+        self.schema = T.StructType([T.StructField("chain", T.StringType()), T.StructField("segment", T.LongType()), *(f for f in typed(schema) if f.name not in ("chain", "segment")), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
         self.commits = Commits(spark, f"{self.folder}/versions")
 
     def _all(self, kind: str, schema) -> DataFrame:

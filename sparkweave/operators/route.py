@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import BANNED_REASON, BLOCKED, NO_ANCHOR, REUSABLE, SAFE_REASON, STATUTORY_REASON
 from ..functions.ids import point_id
+from ..sources.versioned import VersionedTable
 from .review import model_verdict
 
 #: Actions and the stores they write to.
@@ -77,3 +81,18 @@ def anchored(words: DataFrame, embed, run_id: str = "manual") -> dict[str, DataF
     event = F.to_json(F.struct(F.lit("OUTPUT").alias("eventType"), F.struct(F.lit(run_id).alias("runId")).alias("run"), F.array(F.struct(F.lit("cn_anchors").alias("namespace"), F.col("word").alias("name"), F.struct(F.lit("inserted").alias("action")).alias("facets"))).alias("outputs")))
     lineage = good.select(F.lit(run_id).alias("run_id"), F.lit("cn_collection").alias("job_name"), F.lit("OUTPUT").alias("event_type"), event.alias("event"))
     return {"cn_anchors": points, "lineage": lineage}
+
+
+def stores(spark: SparkSession, folder: str, out: Mapping[str, DataFrame], parts: int = 32) -> dict[str, VersionedTable]:
+    """The three stores below ``folder``, keyed by point id, made with the columns of ``out`` (what ``sinks`` gave) where they aren't there yet."""
+    made = T.StructType([T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())])
+    return {name: VersionedTable(spark, f"{folder}/{name}", "point_id", T.StructType([*out[name].schema.fields, *made.fields]), parts) for name in dict.fromkeys(STORES.values())}
+
+
+def write(out: Mapping[str, DataFrame], tables: Mapping[str, VersionedTable], now: Column) -> dict[str, int]:
+    """Merges routed words into their stores; the version of each after.
+
+    A word of a country that is there already is replaced as a whole, its time of creation included. Of a word that a
+    run routed to one store more than once one row stays.
+    """
+    return {name: table.upsert(out[name].withColumns({"created_at": now, "updated_at": now}), "updated_at") for name, table in tables.items()}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +27,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as there are cores, if they are read in fewer.
+
+    A table of few row groups is read by few tasks, and what is worked out of each text then runs in these alone. Large
+    tables have more parts than cores and stay where they are: nothing of them is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """A type whose every part may be null, as what is read from files is."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True) if isinstance(kind, T.MapType) else kind
+
+
+def typed(schema: T.StructType | str) -> T.StructType:
+    """A schema, given as such or as text, with every part nullable."""
+    return nullable(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
+
+
 def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,8 @@ from ..functions import validate
 from ..functions.ids import point_id, text_hash
 from ..functions.pii import pseudonymise
 from ..functions.vector import normalise
-from ..operators import collect, governance, listing, points, review, route, rules, search, store
+from ..operators import collect, governance, listing, points, recommend, review, route, rules, search, store
+from ..operators.shared import dealt
 from .views import duck_query, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,9 +332,7 @@ def any_flag(spark, sf_dir):
 @operator("q29_candidate_text_block", ("anchors", "tags"), f"WITH {_ASKED} SELECT qid, country, string_agg('- ' || word || coalesce(' (类目: ' || category || ')', '') || ' (热度: ' || CAST(trend_score AS VARCHAR) || ')' || ' (相似度: ' || printf('%.4f', floor(similarity * 10000 + 0.5) / 10000) || ')', chr(10) ORDER BY ord) AS block FROM ranked WHERE ord <= 8 GROUP BY qid, country")
 def text_block(spark, sf_dir):
     c = _qid(search.recall(view(spark, sf_dir, "tags"), _asked(spark, sf_dir), 8))
-    line = F.concat(F.lit("- "), "word", F.coalesce(F.concat(F.lit(" (类目: "), F.nullif("category", F.lit("")), F.lit(")")), F.lit("")), F.coalesce(F.when(F.col("trend_score") != 0, F.concat(F.lit(" (热度: "), F.col("trend_score").cast("string"), F.lit(")"))), F.lit("")), F.format_string(" (相似度: %.4f)", F.floor(F.col("similarity") * 10000 + 0.5) / 10000))
-    lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
-    return c.groupBy("qid", "country").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("block"))
+    return recommend.blocks(c, "qid", "country")
 
 
 # ---------------------------------------------------------------- tables
@@ -423,12 +422,9 @@ def dsar_search(spark, sf_dir):
     tags, anchors, audit = (view(spark, sf_dir, x) for x in ("tags", "anchors", "audit"))
     text = table(spark, sf_dir, "conversations").where("text <> ''")
     word, turn = tags.agg(F.max("word")).first()[0], text.agg(F.min("text")).first()[0]  # subjects are parameters of a run
-    stores, out = {"tags": (tags, "word", F.col("id")), "anchors": (anchors, "cn_word", F.col("id"))}, None
-    for subject, term, country in (("word", word, None), ("country", word, "DE"), ("text", turn, None), ("detail", "SIGNUP", None)):
-        found = governance.subject_data(stores, traces_of(spark, sf_dir), audit, term or "", country, ("detail", "action"))
-        found = found.select(F.lit(subject).alias("subject"), "store", "rid")
-        out = found if out is None else out.unionByName(found)
-    return out
+    stores = {"tags": (tags, "word", F.col("id")), "anchors": (anchors, "cn_word", F.col("id"))}
+    subjects = [("word", word or "", None), ("country", word or "", "DE"), ("text", turn or "", None), ("detail", "SIGNUP", None)]
+    return governance.subjects_data(stores, traces_of(spark, sf_dir), audit, subjects, ("detail", "action"))
 
 
 @operator("q44_dsar_erase_counts", ("tags", "anchors"), "WITH x AS (SELECT max(word) AS term FROM tags) SELECT 'tags' AS store, sum(CASE WHEN word = term AND country = 'DE' THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN word = term AND country = 'DE' THEN 0 ELSE 1 END) AS kept FROM tags, x UNION ALL SELECT 'anchors', sum(CASE WHEN cn_word = term THEN 1 ELSE 0 END), sum(CASE WHEN cn_word = term THEN 0 ELSE 1 END) FROM anchors, x")
@@ -470,7 +466,7 @@ for _p, _m in tx.LOG_PATTERNS:
 
 @operator("q48_log_redaction")
 def log_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_log(F.col("text")).alias("line"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.redact_log(F.col("text")).alias("line"))
 
 
 ORACLE_SQL["q48_log_redaction"] = f"SELECT doc_id, {_REDACTED} AS line FROM documents"

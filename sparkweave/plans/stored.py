@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COUNTRIES, DEFAULT_REASON
 from ..functions.vector import norm
-from ..operators import collect, points, route, rules, search
+from ..operators import collect, points, recommend, route, rules, search
 from ..operators.ledger import Ledger
 from ..operators.shared import shared_dir, stored
 from ..sources import hotwords, providers, suggestions
@@ -183,3 +183,42 @@ def payloads(spark, sf_dir):
         rows = parse(bodies).select(F.col("category").cast("long").alias("doc_id"), F.lit(shape).alias("shape"), F.col("rank").cast("long").alias("rank"), "word")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_PICKED = f"""r AS (SELECT e.vec_id AS qid, e.embedding AS q, CASE e.vec_id % 7 WHEN 0 THEN 'DE' WHEN 1 THEN 'FR' WHEN 2 THEN 'NL' WHEN 3 THEN 'UK' WHEN 4 THEN 'IT' WHEN 5 THEN 'ES' END AS country, CASE WHEN e.vec_id % 2 = 0 THEN concat('c', e.label) END AS want, e.vec_id % 13 AS top_k FROM embeddings e),
+good AS (SELECT * FROM r WHERE country IS NOT NULL AND top_k BETWEEN 1 AND 10),
+found AS (SELECT qid, want, top_k, t.id, t.word, t.category, t.source, t.anchor_id, {cosine('t.vector', 'good.q')} AS similarity FROM good JOIN tags t ON t.country = good.country WHERE t.compliance_status = '可复用'),
+recalled AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS ord FROM found QUALIFY ord <= 16),
+kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS n FROM recalled WHERE want IS NULL OR category IS NULL OR category = want),
+c AS (SELECT *, {fold('word')} AS key, row_number() OVER (PARTITION BY qid, {fold('word')} ORDER BY ord) AS first, row_number() OVER (PARTITION BY qid, {fold('word')} ORDER BY ord DESC) AS last FROM kept WHERE n <= 8),
+p AS (SELECT qid, key FROM c WHERE n = 3 AND qid % 5 > 0),
+o AS (SELECT c.*, p.key IS NOT NULL AS picked FROM c LEFT JOIN p ON p.qid = c.qid AND p.key = c.key WHERE CASE WHEN p.key IS NULL THEN first = 1 ELSE last = 1 END),
+items AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN picked THEN 0 ELSE 1 END, similarity DESC, id) AS position FROM o QUALIFY position <= top_k)"""
+
+
+@operator("q93_recommendations", ("tags",), f"""WITH {_PICKED}
+SELECT 'item' AS part, qid, position, id, word, source, CASE WHEN picked THEN CASE WHEN qid % 5 = 1 THEN '基于 LLM 精排推荐' ELSE 'third' END ELSE '基于向量相似度补充推荐' END AS reason, picked AS ai, NULL AS total, NULL AS filtered FROM items
+UNION ALL SELECT 'answer', qid, NULL, NULL, NULL, NULL, NULL, coalesce((SELECT bool_or(picked) FROM items i WHERE i.qid = good.qid), false), (SELECT count(*) FROM recalled x WHERE x.qid = good.qid), (SELECT count(*) FROM kept x WHERE x.qid = good.qid) FROM good
+UNION ALL SELECT 'refused', qid, NULL, NULL, NULL, NULL, concat_ws(',', CASE WHEN country IS NULL THEN 'target_country' END, CASE WHEN top_k NOT BETWEEN 1 AND 10 THEN 'top_k' END), NULL, NULL, NULL FROM r WHERE country IS NULL OR top_k NOT BETWEEN 1 AND 10""")
+def recommendations(spark, sf_dir):
+    """Each vector's document asks; the model names the third candidate, gives no reason to some and no answer to others."""
+    e, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    country = F.get(F.array(*(F.lit(c) for c in (*COUNTRIES, "US"))), (i % 7).cast("int"))
+    category = F.when(i % 2 == 0, F.concat(F.lit("c"), F.col("label").cast("string")))
+    asked = e.select(i.alias("qid"), F.concat(F.lit("title "), i).alias("title"), country.alias("target_country"), category.alias("category"), (i % 13).cast("int").alias("top_k"))
+    texts = e.select(F.concat_ws(" ", F.concat(F.lit("title "), i), category).alias("query"), F.col("embedding").alias("vector"))
+
+    def ask(prompts):
+        words = F.regexp_extract_all("prompt", F.lit(r"(?m)^- (.*?)(?: \(类目: [^()]*\))?(?: \(热度: [0-9.]+\))? \(相似度: -?[0-9.]+\)$"), F.lit(1))
+        reason = F.when(F.col("qid") % 5 == 1, " ").otherwise(" third ")
+        pick = F.struct(F.upper(F.get(words, F.lit(2))).alias("word"), reason.alias("reason"))
+        answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(pick).alias("recommendations"))), F.lit("\n```"))
+        return prompts.select("qid", F.when(F.col("qid") % 5 > 0, answer).alias("answer"))
+
+    tags = view(spark, sf_dir, "tags").drop("ts").withColumns({"reason": F.lit("checked"), "anchor_cn_word": F.lit("x")})
+    out = recommend.recommendations(asked, tags, lambda q: q.join(texts, "query"), ask)
+    none = lambda kind: F.lit(None).cast(kind)
+    items = out["items"].select(F.lit("item").alias("part"), "qid", "position", "id", "word", "source", "reason", F.col("ai_generated").alias("ai"), none("long").alias("total"), none("long").alias("filtered"))
+    answers = out["answers"].select(F.lit("answer"), "qid", none("long"), none("long"), none("string"), none("string"), none("string"), "ai_assisted", "total_candidates", "filtered_candidates")
+    refused = out["refused"].select(F.lit("refused"), "qid", none("long"), none("long"), none("string"), none("string"), F.array_join("problems", ","), none("boolean"), none("long"), none("long"))
+    return items.union(answers).union(refused)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import dealt
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _WORDS = {"spark": r"split(trim(text), '\\s+')", "duck": r"regexp_split_to_array(trim(text), '\s+')"}
 _TWO = {"spark": r"concat_ws(' ', slice(split(trim(d.text), '\\s+'), 1, 2))", "duck": r"array_to_string(regexp_split_to_array(trim(d.text), '\s+')[1:2], ' ')"}
@@ -46,6 +48,8 @@ def spark_query(spark: SparkSession, sf_dir: str, names: tuple[str, ...], sql: s
     head = _with(names, "spark", lambda t: "{" + t + "}")
     text = f"{head}, answer AS ({sql}) SELECT * FROM answer" if head else sql
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    if "suggestions" in names:  # each text gives as many rows as it has words
+        used["documents"] = dealt(used["documents"].select("doc_id", "lang", "text"))
     return spark.sql(text, **used)
 
 

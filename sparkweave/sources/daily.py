@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import typed
 from .commits import Commits, Conflict
 
 #: The day of rows that have no time.
@@ -28,9 +30,8 @@ class DailyLog:
         if not self.commits.latest():
             if schema is None:
                 raise ValueError(f"{folder} holds no log; give its schema")
-            schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
             try:
-                self.commits.commit(1, {"schema": schema.json(), "ts": ts, "days": {}})
+                self.commits.commit(1, {"schema": typed(schema).json(), "ts": ts, "days": {}})
             except Conflict:
                 pass
         made = self.commits.read(self.commits.latest())
@@ -106,3 +107,13 @@ class DailyLog:
         for v in self.commits.versions():
             if v != last:
                 self.commits.drop(v)
+
+
+def purged_by_policy(logs: Mapping[str, DailyLog], policies: DataFrame, now: str) -> dict[str, int]:
+    """Purges each log that has a policy (key, days) by its days before ``now`` ("yyyy-MM-dd HH:mm:ss"); the rows that went per key, 0 where none did.
+
+    A key without a log counts -1; a null number of days is no policy.
+    """
+    cut = F.date_format(F.lit(now).cast("timestamp") - F.make_dt_interval(F.col("days")), "yyyy-MM-dd HH:mm:ss")
+    told = policies.where("days IS NOT NULL").select("key", cut.alias("cut")).collect()  # a row per key
+    return {r["key"]: logs[r["key"]].purge(r["cut"]) if r["key"] in logs else -1 for r in told}

@@ -117,3 +117,34 @@ def embed_through(texts: DataFrame, model: Model, kept: VersionedTable, text: st
     embed_new(texts, model, kept, text)
     keyed = texts.withColumn("text_key", F.when(F.trim(F.col(text)) != "", _key(model, F.col(text))))
     return keyed.join(kept.read().select("text_key", "vector"), "text_key", "left").drop("text_key")
+
+
+ANSWERS = "answer_key string, model string, word_sha256 string, said string, made long"
+
+
+def answer_table(spark, folder: str, parts: int = 32) -> VersionedTable:
+    """Where a model's assessments are kept by word and country: the record of what it was asked, too."""
+    return VersionedTable(spark, folder, "answer_key", ANSWERS, parts)
+
+
+def assess_through(words: DataFrame, model: Model, kept: VersionedTable) -> DataFrame:
+    """``words`` (word, country, verdict, ...) with said_verdict: what the model says of those that the rules leave open.
+
+    Each distinct open (word, country) that ``kept`` has no answer to is asked once, and its answer put there; a second run
+    asks only what is new. Decided words never reach the model, nor do null ones: they have no answer. An
+    answer that isn't text is none, and is asked for again.
+    """
+    key = F.sha2(F.concat_ws("\x00", F.lit(model.name), "country", "word"), 256)
+    open_ = F.col("verdict").isNull() & F.col("word").isNotNull() & F.col("country").isNotNull()
+    keyed = words.drop("said_verdict").withColumn("answer_key", F.when(open_, key))
+    new = keyed.where("answer_key IS NOT NULL").select("answer_key", "word", "country").distinct().join(kept.read().select("answer_key"), "answer_key", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            said = [loaded(model).assess(w, c) for w, c in zip(p["word"], p["country"], strict=True)]
+            hashes = [hashlib.sha256(w.encode()).hexdigest() for w in p["word"]]
+            yield pd.DataFrame({"answer_key": p["answer_key"], "model": model.name, "word_sha256": hashes, "said": [s if isinstance(s, str) else None for s in said], "made": 0})
+
+    kept.upsert(new.mapInPandas(run, ANSWERS).where("said IS NOT NULL"), "made")
+    answers = kept.read().select("answer_key", F.col("said").alias("said_verdict"))
+    return keyed.join(answers, "answer_key", "left").drop("answer_key")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import store
+from ..operators.shared import typed
 from .commits import Commits, Conflict
 
 PART = "part_"
@@ -32,9 +33,8 @@ class VersionedTable:
         if not self.commits.latest():
             if key is None or schema is None:
                 raise ValueError(f"{folder} holds no table; give its key and schema")
-            schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
             try:
-                self.commits.commit(1, {"key": key, "schema": schema.json(), "parts": parts, "places": {}})
+                self.commits.commit(1, {"key": key, "schema": typed(schema).json(), "parts": parts, "places": {}})
             except Conflict:  # another writer made it meanwhile
                 pass
         made = self.commits.read(self.commits.latest())

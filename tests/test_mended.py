@@ -56,6 +56,9 @@ def test_erasure_reads_values_not_text(spark):
     got = {r.id: r.detail for r in out["audit"].collect()}
     assert got[1] == '{"a": "<REDACTED>"}' and got[2] == '{"café":1}' and got[3] == '{"a": "x\\"<REDACTED>"}' and got[4] == '{"z":   1}' and got[5] is None and "café" not in got[6]
     assert out["proof"].first().audit_rows_redacted == 3
+    open_ = governance.tickets(spark.createDataFrame([(t, "w", "a@b", None, AT) for t in "ab"], "ticket_id string, term string, contact string, note string, created_at timestamp"))
+    done = {r.ticket_id: r for r in governance.closed(open_, "a", out["proof"]).collect()}
+    assert done["a"].status == "completed" and '"audit_rows_redacted":3' in done["a"].findings and done["a"].completed_at == AT and done["b"].status == "received"
 
 
 def test_subject_search_is_exact_and_finds_what_erasure_removes(spark):

@@ -13,12 +13,12 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from sparkweave.operators import route
+from sparkweave.operators import recommend, route
 from sparkweave.operators.ledger import Ledger
 from sparkweave.operators.runs import Run
 from sparkweave.sources import hotwords, providers, suggestions
 from sparkweave.sources.commits import Commits, Conflict
-from sparkweave.sources.daily import DailyLog
+from sparkweave.sources.daily import DailyLog, purged_by_policy
 from sparkweave.sources.versioned import VersionedTable
 from sparkweave.streaming import collector
 
@@ -166,6 +166,8 @@ def test_days_go_by_name(spark, tmp_path):
     read = log.read("2026-01-07 06:00:00", "2026-01-08 00:00:00")
     assert sorted(r.id for r in read.collect()) == [25, 26, 27] and all("day_=2026-01-07" in f or "day_=2026-01-08" in f for f in read.inputFiles())
     assert kept <= _files(tmp_path / "log") and log.purge("2020-01-01 00:00:00") == 0
+    policies = spark.createDataFrame([("a", 30, None), ("b", None, None), ("c", 30, None)], "key string, days int, updated_at timestamp")
+    assert purged_by_policy({"a": log, "b": log}, policies, "2026-02-05 09:00:00") == {"a": 0, "c": -1}
     log.vacuum()
     again = DailyLog(spark, str(tmp_path / "log"))
     assert again.read().count() == sum(1 for _, t in rows if t is None or t >= cut) and not [f for f in _files(tmp_path / "log") if "2026-01-03" in f]
@@ -197,10 +199,18 @@ def _simulated(runs, known, keys):
     return out
 
 
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SHOWN = ["run_id", "pos", "word", "action", "duplicate", "approved", "pending", "rejected", "duplicates", "added", "processed"]
 
 
-def test_collector_keeps_the_newest_keys(spark, tmp_path):
+def test_collector_keeps_the_newest_keys(spark, tmp_path, one_partition):
     """Runs that arrive one by one, with restarts between them, decide as one pass does; the oldest keys are forgotten."""
     known = spark.createDataFrame([("DE", "k"), ("FR", "a")], "country string, word string")
     runs = [("r1", ["a", "bb", "ccc", "dddd", "k"]), ("r2", ["a", "ee", "bb", "f"]), ("r3", ["a", "ccc", "ee", "a"]), ("r4", ["a", "ccc"])]
@@ -218,7 +228,7 @@ def test_collector_keeps_the_newest_keys(spark, tmp_path):
     assert summary["r1"] == (5, False, 1, 2, 1, 1, 1) and summary["r4"] == (2, True, 0, 0, 0, 2, 0)
 
 
-def test_collector_of_two_jobs_and_expiry(spark, tmp_path):
+def test_collector_of_two_jobs_and_expiry(spark, tmp_path, one_partition):
     """Chinese words, and words of two countries, in one stream; what a run saw is forgotten a day and a half later."""
     known = spark.createDataFrame([], "country string, word string")
     source, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
@@ -243,6 +253,10 @@ class Counting(providers.Offline):
         with open(f"{self.path}/{os.getpid()}", "a", encoding="utf-8") as f:
             f.write(what + "\n")
 
+    def assess(self, word, country):
+        self.say(f"assess {country} {word}")
+        return None if word == "odd" else "可复用"
+
     def embed(self, text):
         self.say(f"embed {text}")
         return super().embed(text) * 3
@@ -263,6 +277,12 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     lines = [x for f in told.iterdir() for x in f.read_text().splitlines()]
     assert sorted(x for x in lines if x != "made") == ["embed a", "embed b", "embed c"]
     assert all(f.read_text().splitlines().count("made") == 1 for f in told.iterdir())  # once a worker
+    answers = providers.answer_table(spark, str(tmp_path / "answers"), 2)
+    words = lambda *rows: spark.createDataFrame(list(rows), "word string, country string, verdict boolean")
+    asked = [{(r.word, r.country): r.said_verdict for r in providers.assess_through(words(*rows), model, answers).collect()} for rows in ([("a", "DE", None), ("a", "DE", None), ("b", "DE", False), ("odd", "DE", None), (None, "DE", None)], [("a", "DE", None), ("a", "FR", None)])]
+    assert asked == [{("a", "DE"): "可复用", ("b", "DE"): None, ("odd", "DE"): None, (None, "DE"): None}, {("a", "DE"): "可复用", ("a", "FR"): "可复用"}]
+    lines = [x for f in told.iterdir() for x in f.read_text().splitlines() if x.startswith("assess")]
+    assert sorted(lines) == ["assess DE a", "assess DE odd", "assess FR a"]
     with pytest.raises(Exception, match="shape"):
         providers.embed_new(texts("z"), providers.Model("odd", lambda: providers.Offline(5), 8), kept)
     out = route.anchored(spark.createDataFrame([("衣", "c", 0.5), ("衣", None, 0.9), (" ", "c", 0.1)], "word string, category string, heat double"), lambda df: providers.embed_through(df, model, kept, "word"))
@@ -353,3 +373,38 @@ def test_hot_words_grow_stale_and_are_served(spark, tmp_path):
     assert words() == [("DE", "z")]
     go(602)
     assert asked == [["DE", "FR"], [], [], ["FR"], ["DE", "FR"], ["DE"], []]
+
+
+def test_recommendations_from_text(spark):
+    """Requests of all kinds: refused, without candidates, without an answer, and answered with inventions."""
+    tags = spark.createDataFrame([(1, "winter coat", "DE", "c", "s", 1.0, "可复用", "fine", "锚", [1.0, 0.0]), (2, "wool coat", "DE", None, "s", 0.0, "可复用", "ok", None, [0.9, 0.1]), (3, "hat", "DE", "d", "s", 1.0, "可复用", "", None, [0.8, 0.2]), (4, "bad", "DE", "c", "s", 1.0, "需拦截", "", None, [1.0, 0.0])], "id long, word string, country string, category string, source string, trend_score double, compliance_status string, reason string, anchor_cn_word string, vector array<double>")
+    asked = spark.createDataFrame([("a", " coat ", "de", "c", 2), ("b", "coat a@b.de", "DE", "", None), ("n", "coat", "FR", None, 5), ("x", " ", "US", None, 11)], "qid string, title string, target_country string, category string, top_k int")
+    said = {"a": '{"recommendations": [{"word": "invented"}, {"word": " WOOL COAT", "reason": " warm "}]}', "b": None}
+    told = {}
+
+    def ask(prompts):
+        told.update({r.qid: r.prompt for r in prompts.collect()})
+        return spark.createDataFrame(list(said.items()), "qid string, answer string")
+
+    hot = spark.createDataFrame([("DE", 1, "z"), ("DE", 0, "y")], "country string, ord long, query string")
+    out = recommend.recommendations(asked, tags, lambda q: q.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0))), ask, hot)
+    items = {(r.qid, r.position): (r.word, r.reason, r.ai_generated, r.anchor_cn_word) for r in out["items"].collect()}
+    fill = "基于向量相似度补充推荐"
+    assert items == {("a", 1): ("wool coat", "warm", True, None), ("a", 2): ("winter coat", fill, False, "锚"), ("b", 1): ("winter coat", fill, False, "锚"), ("b", 2): ("wool coat", fill, False, None), ("b", 3): ("hat", fill, False, None)}
+    assert {r.qid: (r.total_candidates, r.filtered_candidates, r.ai_assisted) for r in out["answers"].collect()} == {"a": (3, 2, True), "b": (3, 3, False), "n": (0, 0, False)}
+    assert [(r.qid, r.problems) for r in out["refused"].collect()] == [("x", ["title", "target_country", "top_k"])]
+    assert set(told) == {"a", "b"} and "<EMAIL_ADDRESS_0>" in told["b"] and "a@b.de" not in told["b"] and "热销词：y, z" in told["a"] and "- winter coat (类目: c) (热度: 1.0) (相似度: 1.0000)" in told["a"] and "未指定" in told["b"]
+
+
+def test_routed_words_are_stored_once(spark, tmp_path):
+    schema = "word string, country string, category string, source string, trend_score double, status string, reason string, rule_id string, anchor_id long, anchor_word string, anchor_score double, action string"
+    row = lambda word, action, reason: (word, "DE", None, "s", 1.0, "x", reason, None, 1, "锚", 0.9, action)
+    run = lambda *rows: route.sinks(spark.createDataFrame(list(rows), schema))
+    at = lambda day: F.lit(f"2026-01-0{day}").cast("timestamp")
+    first = run(row("a", "approved", "one"), row("b", "pending", "one"), row("c", "blocked", "one"))
+    tables = route.stores(spark, str(tmp_path), first, 2)
+    route.write(first, tables, at(1))
+    route.write(run(row("a", "approved", "two"), row("b", "blocked", "two"), row("d", "pending_no_anchor", "two"), row("d", "pending_no_anchor", "two")), route.stores(spark, str(tmp_path), first), at(2))
+    tags, wait, block = (tables[n].read().collect() for n in ("local_tags", "pending_review", "blocked_decisions"))
+    assert [(r.word, r.reason, r.created_at.day) for r in tags] == [("a", "two", 2)]
+    assert sorted((r.word, r.assessment_reason) for r in wait) == [("b", "one"), ("d", "two [未找到对应中文锚点]")] and sorted((r.word, r.reason) for r in block) == [("b", "two"), ("c", "one")]
