@@ -37,8 +37,9 @@ def test_word_scores(spark):
 def test_records(spark):
     t = spark.createDataFrame([(1, "a_c"), (2, "ABC"), (3, None)], "id int, text string")
     stores = {"t": (t, "text", F.col("id"))}
-    assert rows(governance.subject_rows(stores, "a_c")) == [("t", "1")]
-    assert rows(governance.subject_rows(stores, "a_c", any_case=("t",))) == [("t", "1"), ("t", "2")]
+    traces = spark.createDataFrame([], "id int, ts int, word_sha256 string, prompt_hash string")
+    # a store's word is matched exactly, the audit log by ILIKE
+    assert rows(governance.subject_data(stores, traces, t.withColumn("ts", F.col("id")), "a_c", details=("text",))) == [("audit", "1"), ("audit", "2"), ("t", "1")]
     assert rows(governance.erasure_counts({"t": (t, "text")}, "a_c")) == [("t", 1, 2)]
     e = spark.createDataFrame([("r", 2), ("r", 1), ("s", 9)], "run string, ts int")
     assert rows(governance.lineage_steps(e, "run", "ts")) == [("r", 1, 1), ("r", 2, 2), ("s", 9, 1)]

@@ -12,6 +12,7 @@ import __spark_entry__
 from sparkweave.functions import ids, pii, validate
 from sparkweave.functions.terms import Terms
 from sparkweave.operators import collect, governance, points, review, route, rules, search, store
+from sparkweave.operators.shared import dealt
 from sparkweave.sources import suggestions
 
 AT = dt.datetime(2026, 1, 1)
@@ -187,6 +188,13 @@ def test_rule_files_by_country(spark, tmp_path):
     assert [(r.country, r.word) for r in rules.rule_entries(files, "banned").collect()] == [("DE", "a")]
 
 
+def test_few_parts_are_dealt_out(spark):
+    """Read in one part, rows go to all cores; read in enough, they stay where they are."""
+    few, many = (spark.range(0, 40, 1, n) for n in (1, 8))
+    assert dealt(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt(few).count() == 40
+    assert "Exchange" not in dealt(many)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filters_and_subject_requests(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, c string")
     assert t.where(ids.any_of([])).count() == 2 and t.where(ids.any_of([F.col("c") == "a", F.col("id") == 9])).count() == 1
