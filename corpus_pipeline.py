@@ -11,6 +11,7 @@ stay what they were: they are put aside under other names and come back.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -24,16 +25,32 @@ from sparkweave.llm.common import read, stored
 TARGETS = {"high": 0.9, "low": 0.1}
 
 
+#: Rows of an Arrow batch: whole texts are long, and ten thousand of them at once fill buffers of JVM and workers that stay large.
+BATCH_ROWS = 1000
 #: A text isn't of a learned language if coding its bytes after each other takes so many bits more, in all and a byte.
 ODD_BITS, ODD_SHARE = 40.0, 0.5
 
 
+def _small_batches(stage: Callable) -> Callable:
+    """A stage whose session sends texts to Python workers in batches of ``BATCH_ROWS`` rows at most, from then on."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        spark.conf.set(key, str(BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS)))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but those used under names of their own, and what gives a result the columns of ``docs``."""
     names = [c if c in used else f"own_{i}_" for i, c in enumerate(docs.columns)]
     return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
 
 
+@_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: null texts, texts without a letter, and texts of no learned language.
 
@@ -47,6 +64,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(told.where((F.col("lang_pred") != langid.UNKNOWN) & ~foreign))
 
 
+@_small_batches
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rather toxic than not go; null and empty texts, and all texts if no labels are there, stay."""
     rows, back = _aside(docs, "doc_id", "text")
@@ -54,6 +72,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(toxicity.score(rows, model).where("predicted = 0"))
 
 
+@_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id, a null one last.
 
@@ -68,6 +87,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return back(rows.join(kept, "row_", "left_semi"))
 
 
+@_small_batches
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the fitted rates give; its columns stay as they are."""
     rows, back = _aside(docs, "doc_id", "text")
@@ -76,6 +96,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(out.where("copies > 0").withColumn("copy_", copies))
 
 
+@_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and how many there are; null and empty texts have none."""
     path = public_tokenizers.path("piece_bpe_32k.model")
