@@ -10,7 +10,9 @@ sampled vectors don't give so many, recall can't be measured, and every vector v
 a coarser grid that can hold a link: each half of a cell has a radius, and by the triangle inequality
 a cell is out of reach if the halves' distances less the radii are. That is exact; how much it saves
 depends on how the vectors lie. In a visited cell the visitors meet the residents in bounded blocks
-and cosines are computed in double precision; pairs at or over the threshold are links.
+and cosines are computed in double precision; pairs at or over the threshold are links. Vectors of
+floats travel as floats, all others as doubles, and are scaled by a power of two before their squares
+are summed, so that tiny and huge ones keep their direction.
 
 A link counts from both sides, also if only one of the two visits the other's cell. Equal vectors
 are one representative with a multiplicity, so that large groups of copies cost one vector.
@@ -23,7 +25,7 @@ gives an empty one. Only the id and vector of a table are used, whatever other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import dropped, stored, tidy
 from .graph import components, contract
 from .topk import finite
 
@@ -44,10 +46,13 @@ PER_CELL, PER_CODE = 32, 8
 ENOUGH = 32
 #: Cells that every vector visits at least.
 LEAST_CELLS = 8
+#: Numbers in a matrix of distances or cosines that one step works on.
+STEP = 1 << 22
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows.astype(np.float64)
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])  # exact, and no square is lost
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -58,8 +63,9 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     """Centroids by k-means from evenly spaced rows of the sample."""
     c = x[np.linspace(0, len(x) - 1, size).astype(int)].copy()
+    step = max(1, STEP // size)
     for _ in range(rounds):
-        of = _squared(x, c).argmin(axis=1)
+        of = np.concatenate([_squared(x[at : at + step], c).argmin(axis=1) for at in range(0, len(x), step)])
         n = np.bincount(of, minlength=size)
         total = np.zeros_like(c)
         np.add.at(total, of, x)
@@ -112,17 +118,22 @@ class Grid:
         return out
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32)
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors from binaries of ``dim`` floats or doubles."""
+    return _unpacked(column.to_pylist(), dim)
+
+
+def _unpacked(rows: Sequence[bytes], dim: int) -> np.ndarray:
+    kind = np.float64 if len(rows) and len(rows[0]) == 8 * dim else np.float32
+    return unit(np.frombuffer(b"".join(rows), kind).reshape(-1, dim))
 
 
 def _steps_for(grid: Grid, reps: DataFrame, sample: np.ndarray, dim: int, threshold: float, recall: float) -> int | None:
     """Cells to visit so that the target recall of the sample's links is found; None if too few vectors of it have a link."""
-    homes = grid.traversal(sample, 1)[:, 0]
+    homes, step = grid.traversal(sample, 1)[:, 0], max(1, STEP // max(1, len(sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = unit(_floats(b.column(0)).reshape(-1, dim))
+        for x in (_vectors(b.column(0).slice(at, step), dim) for b in batches for at in range(0, len(b), step)):
             cosine = sample @ x.T
             s, r = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-9))
             for at in range(0, len(s), 1024):
@@ -147,7 +158,7 @@ def _radii(grid: Grid, reps: DataFrame, dim: int) -> list[np.ndarray]:
         far = np.zeros((2, grid.size))
         for b in batches:
             for at in range(0, len(b), 1024):
-                x = unit(_floats(b.column(0).slice(at, 1024)).reshape(-1, dim))
+                x = _vectors(b.column(0).slice(at, 1024), dim)
                 home = grid.traversal(x, 1)[:, 0]
                 for half, (d, code) in enumerate(zip(grid.distances(x), (home // grid.size, home % grid.size), strict=True)):
                     np.maximum.at(far[half], code, d[np.arange(len(x)), code])
@@ -184,7 +195,8 @@ def _local(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[i
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
+    kind = vectors.select(vector).schema[0].dataType.simpleString()
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if kind == "array<float>" else "array<double>").alias("v"))
     usable = finite("v") & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     own = own.withColumn("v", F.when(usable, F.col("v")))
     reps = own.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
@@ -193,10 +205,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     parts = [_links_of(reps.where(F.col("size") == r["size"]), r["size"], r["n"], threshold, recall) for r in shape]
     if not parts:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
+    found = parts[0][0]
+    for p, _ in parts[1:]:
         found = found.union(p)
     found = stored(found, "links")
+    dropped(*(t for _, made in parts for t in made))
     links = found.where("NOT edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
     comp = components(found.where("edge").select("a", "b"))
     facts = reps.select("v", "rep", "mult").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
@@ -205,18 +218,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float) -> DataFrame:
-    """(a, b, edge): edges of a forest of the links; else b links that a has, copies counted."""
+def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b, edge): edges of a forest of the links, else b links that a has, copies counted; and the stored tables it reads."""
+    kind = np.float32 if reps.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1), b.column(2)], names=["x", "rep", "mult"])
 
     reps = stored(reps.select("v", "rep", "mult").mapInArrow(tidy(raw), "x binary, rep long, mult long"), "vectors")
     size = int(max(2, np.ceil(np.sqrt(n / PER_CELL))))
     wanted = min(SAMPLE, max(MOST_PROBES, PER_CODE * size))
     taken = reps.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("x").collect()
-    sample = unit(np.frombuffer(b"".join(bytes(r["x"]) for r in taken), np.float32).reshape(-1, dim))
+    sample = _unpacked([bytes(r["x"]) for r in taken], dim)
     grid = Grid(sample, min(size, -(-len(sample) // PER_CODE)))
     probes, steps = PROBES, None
     while steps is None:  # where links are rare, more probes
@@ -233,7 +248,7 @@ def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
-                x = unit(_floats(part.column(0)).reshape(-1, dim))
+                x = _vectors(part.column(0), dim)
                 cells = grid.within(x, radii, most) if whole else list(grid.traversal(x, steps).astype(np.int32))
                 home = pa.array(np.array([c[0] for c in cells], np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"" if whole else c.tobytes() for c in cells], pa.binary()), home, pa.array(cells, pa.list_(pa.int32()))], names=["x", "rep", "mult", "visits", "home", "cells"])
@@ -253,7 +268,7 @@ def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float
     def meet(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(hosts):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "edge": np.zeros(0, bool)})
-        g, h = (unit(np.frombuffer(b"".join(x), np.float32).reshape(-1, dim)) for x in (guests["gx"], hosts["x"]))
+        g, h = (_unpacked(x.to_list(), dim) for x in (guests["gx"], hosts["x"]))
         gid, hid = guests["grep"].to_numpy(), hosts["rep"].to_numpy()
         hit = (g @ h.T >= threshold) & (gid[:, None] != hid)
         gm, hm, home = guests["gmult"].to_numpy(), hosts["mult"].to_numpy(), guests["ghome"].to_numpy()
@@ -269,4 +284,5 @@ def _links_of(reps: DataFrame, dim: int, n: int, threshold: float, recall: float
         b = np.concatenate((to_guest[to_guest > 0], to_host[to_host > 0], np.array([e[1] for e in edges], np.int64)))
         return pd.DataFrame({"a": a, "b": b, "edge": np.arange(len(a)) >= len(a) - len(edges)})
 
-    return guest.groupBy("gc", "grb", "gvb").cogroup(stay.groupBy("cell", "rb", "vb")).applyInPandas(meet, "a long, b long, edge boolean")
+    links = guest.groupBy("gc", "grb", "gvb").cogroup(stay.groupBy("cell", "rb", "vb")).applyInPandas(meet, "a long, b long, edge boolean")
+    return links, [reps, placed, cells]

@@ -126,6 +126,23 @@ def test_embedding_dedup_rare_links(spark):
     assert hit.any() and [got[i] for i in range(len(v))] == hit.sum(axis=1).tolist()
 
 
+def test_embedding_dedup_doubles(spark, monkeypatch):
+    """Doubles stay doubles: tiny and huge vectors keep their direction; small steps change nothing."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((50, 8))
+    v = np.concatenate((base, 1e-300 * base[:20], 1e200 * base[10:30], base[:10] + 0.05 * rng.standard_normal((10, 8))))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.abs(v).max(axis=1)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    monkeypatch.setattr(embed_dedup, "ENOUGH", 10**6)
+    assert [r.n_links for r in embed_dedup.near_duplicates(table).orderBy("vec_id").collect()] == hit.sum(axis=1).tolist()
+    books = embed_dedup.codebook(base, 4)
+    monkeypatch.setattr(embed_dedup, "STEP", 12)
+    assert np.allclose(embed_dedup.codebook(base, 4), books)
+
+
 def test_language(spark):
     rng = random.Random(4)
     say = {"aa": "abab baba abba", "bb": "xyxy yxyx yyxx"}
