@@ -166,6 +166,12 @@ def _is_subject(table: DataFrame, column: str, term: str, country: str | None) -
     return hit & F.coalesce(F.col("country") == country, F.lit(False)) if country is not None and "country" in table.columns else hit
 
 
+def _is_traced(term: str) -> Column:
+    """Whether a trace's word or prompt is the term, by its hash."""
+    named = F.sha2(F.lit(term), 256)
+    return F.coalesce(F.col("word_sha256") == named, F.lit(False)) | F.coalesce(F.col("prompt_hash") == named, F.lit(False))
+
+
 def subjects_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: DataFrame, audit: DataFrame, subjects: Sequence[tuple[str, str, str | None]], details: tuple[str, ...] = ("detail",), limit: int = 100) -> DataFrame:
     """(subject, store, rid) of all that is held on each of ``subjects`` (name, term, country or None): one pass over each table, however many they are.
 
@@ -190,9 +196,8 @@ def subjects_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: D
     out = []
     for name, (table, column, rid) in stores.items():
         out.append(hits(table, lambda t, c: _is_subject(table, column, t, c), F.lit(name).alias("store"), rid.cast("string").alias("rid")))  # noqa: B023
-    hashed = lambda t, c: (F.col("word_sha256") == F.sha2(F.lit(t), 256)) | F.coalesce(F.col("prompt_hash") == F.sha2(F.lit(t), 256), F.lit(False))
     said = lambda t, c: any_of([F.coalesce(F.col(d).ilike(f"%{t}%"), F.lit(False)) for d in details])
-    out.append(newest(hits(traces, hashed, F.col("id"), F.col("ts")), "traces"))
+    out.append(newest(hits(traces, lambda t, c: _is_traced(t), F.col("id"), F.col("ts")), "traces"))
     out.append(newest(hits(audit, said, F.col("id"), F.col("ts")), "audit"))
     return reduce(DataFrame.unionByName, out)
 
@@ -202,11 +207,19 @@ def subject_data(stores: Mapping[str, tuple[DataFrame, str, Column]], traces: Da
     return subjects_data(stores, traces, audit, [("", term, country)], details, limit).drop("subject")
 
 
-def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str, country: str | None = None) -> DataFrame:
-    """(store, erased, kept): what an erasure of the term would do to the stores."""
+def erasure_counts(stores: Mapping[str, tuple[DataFrame, str]], term: str | Sequence[str], country: str | None = None, traces: DataFrame | None = None) -> DataFrame:
+    """(store, erased, kept): what an erasure of the term, or of all of several, would do to the stores and ``traces``; a row that several name counts once.
+
+    As ``erased`` does it: a store's rows go by their word, exactly, and by the country if the store has one; traces (word_sha256,
+    prompt_hash) by the term's hash, whether it was the word or the prompt, of whatever country.
+    """
+    terms = [term] if isinstance(term, str) else term
+    hits = {name: (table, [_is_subject(table, column, t, country) for t in terms]) for name, (table, column) in stores.items()}
+    if traces is not None:
+        hits["traces"] = (traces, [_is_traced(t) for t in terms])
     out = None
-    for name, (table, column) in stores.items():
-        hit = _is_subject(table, column, term, country)
+    for name, (table, named) in hits.items():
+        hit = any_of([F.lit(False), *named])
         row = table.agg(F.count_if(hit).alias("erased"), F.count_if(~hit).alias("kept")).select(F.lit(name).alias("store"), "erased", "kept")
         out = row if out is None else out.unionByName(row)
     return out

@@ -427,11 +427,16 @@ def dsar_search(spark, sf_dir):
     return governance.subjects_data(stores, traces_of(spark, sf_dir), audit, subjects, ("detail", "action"))
 
 
-@operator("q44_dsar_erase_counts", ("tags", "anchors"), "WITH x AS (SELECT max(word) AS term FROM tags) SELECT 'tags' AS store, sum(CASE WHEN word = term AND country = 'DE' THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN word = term AND country = 'DE' THEN 0 ELSE 1 END) AS kept FROM tags, x UNION ALL SELECT 'anchors', sum(CASE WHEN cn_word = term THEN 1 ELSE 0 END), sum(CASE WHEN cn_word = term THEN 0 ELSE 1 END) FROM anchors, x")
+_TERMS = "x AS (SELECT max(word) AS term FROM tags UNION ALL SELECT min(text) FROM conversations WHERE text <> '')"
+
+
+@operator("q44_dsar_erase_counts", ("tags", "anchors"), f"WITH {_TRACES}, {_TERMS} SELECT 'tags' AS store, sum(CASE WHEN word IN (SELECT term FROM x) AND country = 'DE' THEN 1 ELSE 0 END) AS erased, sum(CASE WHEN word IN (SELECT term FROM x) AND country = 'DE' THEN 0 ELSE 1 END) AS kept FROM tags UNION ALL SELECT 'anchors', sum(CASE WHEN cn_word IN (SELECT term FROM x) THEN 1 ELSE 0 END), sum(CASE WHEN cn_word IN (SELECT term FROM x) THEN 0 ELSE 1 END) FROM anchors UNION ALL SELECT 'traces', count(*) FILTER (WHERE named), count(*) FILTER (WHERE named IS NOT TRUE) FROM (SELECT word_sha256 IN (SELECT sha256(term) FROM x) OR prompt_hash IN (SELECT sha256(term) FROM x) AS named FROM tr)")
 def erase_counts(spark, sf_dir):
+    """One request that names a tag's word and the text of a turn, so that it is about tags, anchors and traces."""
     tags, anchors = view(spark, sf_dir, "tags"), view(spark, sf_dir, "anchors")
-    term = tags.agg(F.max("word")).first()[0] or ""
-    return governance.erasure_counts({"tags": (tags, "word"), "anchors": (anchors, "cn_word")}, term, "DE")
+    text = table(spark, sf_dir, "conversations").where("text <> ''")
+    terms = [tags.agg(F.max("word")).first()[0], text.agg(F.min("text")).first()[0]]  # parameters of a run
+    return governance.erasure_counts({"tags": (tags, "word"), "anchors": (anchors, "cn_word")}, [t for t in terms if t is not None], "DE", traces_of(spark, sf_dir))
 
 
 @operator("q45_redact_json")

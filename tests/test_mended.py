@@ -1,9 +1,11 @@
 """Cases that once came out wrong: null, tied, odd and repeated input of the small operators."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,35 @@ def test_subject_search_is_exact_and_finds_what_erasure_removes(spark):
     assert governance.subject_data(stores, traces, audit, "x", limit=1).where("store = 'traces'").first().rid == "3"
 
 
+def test_erasure_counts_hold_the_traces(spark):
+    tags = spark.createDataFrame([(1, "coat", "DE"), (2, "coat", "FR"), (3, "hat", "DE"), (4, None, "DE")], "id long, word string, country string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(1, sha("coat"), None), (2, sha("x"), sha("coat")), (3, sha("coat"), sha("hat")), (4, sha("x"), sha("y")), (5, None, None), (6, sha("a coat"), None), (7, None, sha("hat"))]
+    traces = spark.createDataFrame(rows, "id long, word_sha256 string, prompt_hash string")
+    counts = lambda terms: {r.store: (r.erased, r.kept) for r in governance.erasure_counts({"tags": (tags, "word")}, terms, "DE", traces).collect()}
+    assert counts("coat") == {"tags": (1, 3), "traces": (3, 4)} and counts(["coat", "hat"]) == {"tags": (2, 2), "traces": (4, 3)} and counts([]) == {"tags": (0, 4), "traces": (0, 7)}
+    audit = spark.createDataFrame([], "id long, detail string")
+    assert governance.erased({}, traces, audit, "coat", F.lit("2026-01-01").cast("timestamp"))["proof"].first().trace_rows_deleted == 3
+
+
+def test_q44_counts_every_trace(spark, tmp_path):
+    db = duckdb.connect()
+    for t in ("events", "documents", "embeddings", "conversations"):
+        rows = f"SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'"
+        if t == "conversations":  # texts said again, in other conversations, and a null and an empty one
+            rows += f" UNION ALL SELECT conv_id + 1000, turn, role, text FROM ({rows}) UNION ALL SELECT 5000 + i, 0, 'user', t FROM (VALUES (0, NULL), (1, '')) v(i, t)"
+        db.execute(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    mine = __spark_entry__.queries()["q44_dsar_erase_counts"](spark, str(tmp_path))
+    assert sorted(map(tuple, mine.collect())) == sorted(db.execute(__spark_entry__.oracle_sql()["q44_dsar_erase_counts"]).fetchall())
+    got = {r.store: (r.erased, r.kept) for r in mine.collect()}
+    said = db.execute("SELECT conv_id, turn, text FROM conversations").fetchall()
+    term = min(t for *_, t in said if t)
+    gone = {(c, k) for c, k, t in said if t == term}
+    gone |= {(c, k) for c, k, _ in said if (c, k - 1) in gone}
+    assert set(got) == {"tags", "anchors", "traces"} and got["traces"] == (len(gone), len(said) - len(gone)) and len(gone) >= 2
+
+
 def test_tickets_as_if_one_by_one(spark):
     open_ = governance.tickets(spark.createDataFrame([(t, "w", "a@b", None, AT) for t in "abc"], "ticket_id string, term string, contact string, note string, created_at timestamp"))
     day = lambda n: AT + dt.timedelta(n)
