@@ -19,6 +19,11 @@ from .shared import stored
 
 #: Queries and points that one task compares with each other.
 BLOCK, CHUNK = 1024, 8192
+#: Components of the queries that points stream by, four times their results at most; copies of points for each row of a key that smaller blocks may
+#: cost; points to start with and at once; results that wait to be ranked.
+VALUES, COPIES, STEP, WAIT = 2**20, 3, (64, 2048), 2**20
+#: Queries that cells are tried on, and cells a query may visit on average.
+PROBES, VISITS = 256, 8
 #: Points of a cell, and the most cells of all keys: their centres are sent to every task.
 CELL, CELLS = 512, 4096
 #: Slack of an angle worked out in double precision.
@@ -66,6 +71,109 @@ def _compared(asked: DataFrame, there: DataFrame, k: int) -> DataFrame:
     return asked.groupBy(*by, "b", "c").cogroup(there.groupBy(*by, "b", "c")).applyInArrow(solve, schema)
 
 
+class Best:
+    """The k most similar points of each query of a block, while points pass by in ascending order of their ids."""
+
+    def __init__(self, asked: pa.Table, k: int):
+        self.qids, self.asks, self.k = asked["qid"].combine_chunks(), _matrix(asked["vector"]), k
+        self.least = np.full(len(asked), -np.inf)  # of queries that have k points, the similarity that others must exceed
+        self.rows, self.at, self.values, self.ids = [], [], [], []
+        self.held = self.hits = self.seen = self.new = 0
+        self.wait = max(WAIT, 2 * len(asked) * k)
+
+    def meet(self, points: pa.RecordBatch) -> None:
+        ids, x = points.column("id"), _matrix(points.column("vector"))
+        at = 0
+        while at < len(x):
+            n = min(max(self.seen, STEP[0]), STEP[1], len(x) - at)
+            step, first = x[at : at + n].T, self._hold(ids.slice(at, n))
+            for q in range(0, len(self.asks), 256):
+                s = self.asks[q : q + 256] @ step
+                r, c = np.nonzero(s > self.least[q : q + 256, None])
+                self._add(r + q, c + first, np.round(s[r, c], 6))
+                if self.hits > self.wait:
+                    self._rank()
+                    first = self._hold(ids.slice(at, n))
+            at += n
+            self.seen += n
+            self.new += n
+            if 2 * self.new >= self.seen or self.new > self.wait:  # thresholds rise whenever the points have doubled
+                self._rank()
+
+    def _hold(self, ids: pa.Array) -> int:
+        self.ids.append(ids)
+        self.held += len(ids)
+        return self.held - len(ids)
+
+    def _add(self, rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.at.append(at)
+        self.values.append(values)
+        self.hits += len(rows)
+
+    def _rank(self) -> None:
+        """Keeps k points a query: the sort is stable, so of equal ones the first, that with the smallest id."""
+        rows, at, values = np.concatenate(self.rows), np.concatenate(self.at), np.concatenate(self.values)
+        order = np.lexsort((-values, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = rows[place == self.k - 1]
+        self.least[last] = values[order][place == self.k - 1]
+        kept = place < self.k
+        ids = pa.concat_arrays(self.ids).take(pa.array(at[order][kept]))
+        self.rows, self.at, self.values, self.ids = [], [], [], [ids]
+        self.held, self.hits, self.new = len(ids), 0, 0
+        self._add(rows[kept], np.arange(len(ids)), values[order][kept])
+
+    def found(self) -> pa.Table:
+        self._rank()
+        return pa.table({"qid": self.qids.take(pa.array(self.rows[0])), "id": self.ids[0], "similarity": pa.array(self.values[0])})
+
+
+def _streamed(asked: DataFrame, there: DataFrame, k: int) -> DataFrame:
+    """(qid, id, similarity): blocks of queries meet all points of their (key, dim), which stream by, and keep k points a query.
+
+    Each query is shuffled once and each point once a block. Blocks are as large as memory allows; where points are few beside queries they are
+    smaller, so that there are more tasks.
+    """
+    by = ["key", "dim"]
+    n, p = F.col("n"), F.col("p")
+    sizes = asked.groupBy(*by).agg(F.count("*").alias("n")).join(there.groupBy(*by).agg(F.count("*").alias("p")), by)
+    fewest = F.ceil(n / F.greatest(F.lit(BLOCK), F.floor(F.lit(VALUES) / F.greatest(F.col("dim"), F.lit(4 * k)))))
+    blocks = F.greatest(fewest, F.least(F.ceil(n / F.lit(BLOCK)), F.floor(F.lit(COPIES) * (n + p) / p)))
+    sizes = sizes.select(*by, blocks.cast("int").alias("blocks"))
+    rows = asked.join(sizes, by).select(*by, F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("b"), F.lit(False).alias("point"), "qid", F.lit(None).cast(there.schema["id"].dataType).alias("id"), F.col("q").alias("vector"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
+    rows = rows.unionByName(there.join(sizes, by).select(*by, every, F.lit(True).alias("point"), F.lit(None).cast(asked.schema["qid"].dataType).alias("qid"), "id", "vector"))
+    schema = T.StructType([asked.schema["qid"], there.schema["id"], T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, queries, best = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.ones(len(batch), bool)
+            new[1:] = np.any([pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in batch.columns[:4]], axis=0)
+            ends = [*np.flatnonzero(new)[1:].tolist(), len(batch)]
+            for a, z in zip([0, *ends], ends, strict=False):
+                part = batch.slice(a, z - a)
+                name = [c[0] for c in part.columns[:3]]
+                if name != block:
+                    if best:
+                        yield from best.found().to_batches()
+                    block, queries, best = name, [], None
+                if not part.column("point")[0].as_py():
+                    queries.append(part)
+                elif queries:
+                    best = best or Best(pa.Table.from_batches(queries), k)
+                    best.meet(part)
+        if best:
+            yield from best.found().to_batches()
+
+    parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(3 * (sizes.agg(F.sum("blocks")).first()[0] or 0), 4096))
+    return rows.repartition(parts, *by, "b").sortWithinPartitions(*by, "b", "point", "id").mapInArrow(run, schema)
+
+
 class Cells:
     """Cells of points by their nearest centre in angle: centres, least and greatest angle, and number of points, per (key, dim).
 
@@ -156,37 +264,55 @@ class Cells:
         return asked.mapInArrow(run, schema)
 
 
+def _worth(cells: Cells, asked: DataFrame, there: DataFrame, k: int) -> bool:
+    """Whether some queries, tried, would visit few cells beside those around them: this decides how the rest are worked out, not what is found."""
+    n = asked.count()
+    probes = asked.where(F.pmod(F.xxhash64("qid", F.lit(5)), F.lit(-(-n // PROBES) or 1)) == 0)
+    near = _compared(cells.visits(probes, k).where("cell >= 0"), there, k)
+    visits = cells.visits(probes.join(_kth(near, k), "qid", "left"), k)
+    return visits.count() <= VISITS * min(n, PROBES)
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    return found.groupBy("qid").agg(F.sort_array(F.collect_list("similarity"), False).alias("s")).select("qid", F.get("s", F.lit(k - 1)).alias("least"))  # a few lists of k a query
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(qid, id, similarity, ord): each query's k most similar points of its key: queries (qid, key, q), points (id, key, vector).
 
     Similarity is the cosine, rounded to 6 digits; ties go to the smaller id. Null and zero vectors, those with a component
     that is null or not finite, and null keys take no part; vectors of different lengths don't meet.
 
-    Keys of more than a chunk of points are cut into cells. A query first visits the cells around it; its k-th
-    similarity there rules out, by the triangle inequality on angles, cells that can't hold a better point, and it
-    visits the others. Of each cell, blocks of queries meet chunks of points, so a cell with a third of all
-    points is as many tasks as its size asks for; each task sends on no more than k points a query.
+    Points stream by blocks of queries. Keys of more than a chunk of points are cut into cells first, and some queries
+    are tried on them. A query visits the cells around it; its k-th similarity there rules out, by the triangle inequality on angles,
+    cells that can't hold a better point. Where that leaves few cells, as on clustered vectors, each query visits its own. Where it leaves
+    most, a copy of each query for each cell would fill the disk, so all points stream by as before. Either way is exact.
     """
     asked, there = _usable(queries.select("qid", "key", "q"), "q"), _usable(points.select("id", "key", "vector"), "vector")
     most = there.groupBy("key", "dim").count().agg(F.max("count")).first()[0] or 0
-    if most <= CHUNK:
-        found = _compared(asked.withColumn("cell", F.lit(-1)), there.withColumn("cell", F.lit(-1)), k)
+    cells = Cells(there) if most > CHUNK else None
+    if cells and cells.centres:
+        placed = stored(cells.placed(there), "placed")
+        cells.measured(placed)
+        there = placed.drop("angle")
+        if _worth(cells, asked, there, k):
+            first = cells.visits(asked, k)
+            near = stored(_compared(first.where("cell >= 0"), there, k), "near")
+            found = near.unionByName(_compared(cells.visits(asked.join(_kth(near, k), "qid", "left"), k), there, k))
+            found = found.unionByName(_streamed(first.where("cell < 0").drop("cell"), there.where("cell < 0").drop("cell"), k))
+        else:
+            found = _streamed(asked, there.drop("cell"), k)
     else:
-        cells = Cells(there)
-        there = stored(cells.placed(there), "placed")
-        cells.measured(there)
-        near = stored(_compared(cells.visits(asked, k), there.drop("angle"), k), "near")
-        kth = near.groupBy("qid").agg(F.sort_array(F.collect_list("similarity"), False).alias("s")).select("qid", F.get("s", F.lit(k - 1)).alias("least"))  # a few lists of k a query
-        found = near.unionByName(_compared(cells.visits(asked.join(kth, "qid", "left"), k), there.drop("angle"), k))
+        found = _streamed(asked, there, k)
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
     return found.withColumn("ord", F.row_number().over(w).cast("long")).where(F.col("ord") <= k)
 
 
 def recall(tags: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
     """Each query's k most similar reusable tags of its country: queries (qid, country, q), tags (id, ..., vector)."""
-    usable = tags.where(F.col("compliance_status") == REUSABLE)
-    found = nearest(queries.withColumnRenamed("country", "key"), usable.withColumnRenamed("country", "key"), k)
-    return found.join(usable.drop("vector"), "id").join(queries.drop("country", "q"), "qid")
+    usable, asked = stored(tags.where(F.col("compliance_status") == REUSABLE), "usable"), stored(queries, "asked")
+    found = nearest(asked.withColumnRenamed("country", "key"), usable.withColumnRenamed("country", "key"), k)
+    return found.join(asked.drop("country", "q"), "qid").join(usable.drop("vector"), "id")
 
 
 def category_filter(candidates: DataFrame, category: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators.shared import dealt
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _WORDS = {"spark": r"split(trim(text), '\\s+')", "duck": r"regexp_split_to_array(trim(text), '\s+')"}
-_TWO = {"spark": r"concat_ws(' ', slice(split(trim(d.text), '\\s+'), 1, 2))", "duck": r"array_to_string(regexp_split_to_array(trim(d.text), '\s+')[1:2], ' ')"}
+_TWO = {"spark": r"d.word", "duck": r"array_to_string(regexp_split_to_array(trim(d.text), '\s+')[1:2], ' ')"}
 _POSITIONS = {
     "spark": "SELECT doc_id, lang, seed, CAST(p AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, {words} AS w, regexp_extract(trim(text), '^(\\\\S*)', 1) AS seed FROM {t} WHERE text IS NOT NULL) LATERAL VIEW posexplode(w) x AS p, word",
     "duck": "SELECT doc_id, lang, seed, CAST(i - 1 AS BIGINT) AS rank, word FROM (SELECT doc_id, lang, w[1] AS seed, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, lang, {words} AS w FROM {t} WHERE text IS NOT NULL))",
@@ -20,7 +20,10 @@ NEEDS = {"anchors": ("base",), "tags": ("base",), "suggestions": (), "terms": ()
 
 def _view(name: str, kind: str, table) -> str:
     if name == "base":
-        return f"SELECT e.vec_id, e.embedding, e.label, {_TWO[kind]} AS word, ev.ts FROM {table('embeddings')} e JOIN {table('documents')} d ON d.doc_id = e.vec_id JOIN {table('events')} ev ON ev.event_id = e.vec_id"
+        docs = table("documents")
+        if kind == "spark":  # words before the join, so that it moves no whole texts
+            docs = rf"(SELECT doc_id, concat_ws(' ', slice(split(trim(text), '\\s+'), 1, 2)) AS word FROM {docs})"
+        return f"SELECT e.vec_id, e.embedding, e.label, {_TWO[kind]} AS word, ev.ts FROM {table('embeddings')} e JOIN {docs} d ON d.doc_id = e.vec_id JOIN {table('events')} ev ON ev.event_id = e.vec_id"
     if name == "anchors":
         return "SELECT vec_id AS id, word AS cn_word, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE concat('c', CAST(label AS VARCHAR(9))) END AS category, embedding AS vector, ts AS created_at FROM base WHERE vec_id % 5 = 0"
     if name == "tags":

@@ -3,10 +3,13 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__
+from sparkweave.operators import search
 
 
 def rows_of(found):
@@ -34,3 +37,37 @@ def test_tickets_beyond_a_hundred_thousand_events(spark, tmp_path):
     pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "ts": pa.array(at, pa.timestamp("us")), "user_id": pa.array(ids, pa.int64()), "event_type": kinds}), tmp_path / "events.parquet")
     got = same(spark, tmp_path, "q69_tickets", ["events"])
     assert len(got) > 100
+
+
+def shuffled(spark):
+    """MB that the session's tasks have written for shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    all_ = sc.statusStore().executorList(False)
+    return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size())) / 1e6
+
+
+@pytest.fixture(scope="module")
+def unclustered(tmp_path_factory):
+    """1,500 vectors without clusters, some twice, and 9 MB of texts."""
+    at, rng, n = tmp_path_factory.mktemp("unclustered"), np.random.default_rng(4), 1500
+    v = rng.standard_normal((n, 16)).astype(np.float32)
+    v[700:740] = v[100:140]
+    ids = pa.array(np.arange(n))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "label": pa.array(np.arange(n) % 10, pa.int32())}), at / "embeddings.parquet")
+    pq.write_table(pa.table({"doc_id": ids, "text": [f" w{i % 400}  x{i % 300} {rng.bytes(3000).hex()}" for i in range(n)], "lang": ["en"] * n, "source": ["s"] * n, "n_chars": ids}), at / "documents.parquet")
+    pq.write_table(pa.table({"event_id": ids, "ts": pa.array([dt.datetime(2024, 1, 1)] * n, pa.timestamp("us")), "user_id": ids, "event_type": ["click"] * n}), at / "events.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["q27_provenance_join"])
+def test_recall_moves_neither_texts_nor_a_query_for_each_cell(spark, unclustered, monkeypatch, name):
+    for constant, value in (("BLOCK", 64), ("CHUNK", 100), ("CELL", 4), ("PROBES", 32)):
+        monkeypatch.setattr(search, constant, value, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    try:
+        same(spark, unclustered, name, ["embeddings", "documents", "events"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 6
