@@ -60,7 +60,7 @@ def unclustered(tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["q27_provenance_join", "q01_recommend_topk", "q02_knn_topk_per_query", "q04_category_soft_filter", "q72_rerank_fallbacks", "q26_rerank_backfill", "q28_any_flag"])
+@pytest.mark.parametrize("name", ["q27_provenance_join", "q01_recommend_topk", "q02_knn_topk_per_query", "q04_category_soft_filter", "q72_rerank_fallbacks", "q26_rerank_backfill", "q28_any_flag", "q29_candidate_text_block"])
 def test_recall_moves_neither_texts_nor_a_query_for_each_cell(spark, unclustered, monkeypatch, name):
     for constant, value in (("BLOCK", 64), ("CHUNK", 100), ("CELL", 4), ("PROBES", 32)):
         monkeypatch.setattr(search, constant, value, raising=False)
