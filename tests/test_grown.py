@@ -71,3 +71,24 @@ def test_recall_moves_neither_texts_nor_a_query_for_each_cell(spark, unclustered
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffled(spark) - before < 6
+
+
+def test_cells_are_visited_where_they_rule_most_out(spark, monkeypatch):
+    """Clustered vectors go by cells, beside a key too small for any; others stream. Both find what all pairs give."""
+    for constant, value in (("BLOCK", 16), ("CHUNK", 100), ("CELL", 40), ("PROBES", 32)):
+        monkeypatch.setattr(search, constant, value)
+    chosen, worth = [], search._worth
+    monkeypatch.setattr(search, "_worth", lambda *a: chosen.append(worth(*a)) or chosen[-1])
+    rng, unit = np.random.default_rng(5), lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centres = rng.standard_normal((20, 16))
+    for v in (centres[np.arange(1000) % 20] + 0.05 * rng.standard_normal((1000, 16)), rng.standard_normal((1000, 16))):
+        v[990:] = v[980:990]
+        key = ["b" if i % 50 == 0 else "a" for i in range(1000)]
+        there = spark.createDataFrame([(f"p{i:04}", k, x.tolist()) for i, (k, x) in enumerate(zip(key, v, strict=True))], "id string, key string, vector array<double>")
+        asked = spark.createDataFrame([(i, "ab"[i % 2], v[i].tolist()) for i in range(0, 1000, 9)], "qid long, key string, q array<double>")
+        got = {(r.qid, r.ord): (int(r.id[1:]), r.similarity) for r in search.nearest(asked, there, 5).collect()}
+        s = np.round(unit(v) @ unit(v).T, 6)
+        for i in range(0, 1000, 9):
+            want = sorted((j for j in range(1000) if key[j] == "ab"[i % 2]), key=lambda j: (-s[i, j], j))[:5]
+            assert [got[i, n + 1] for n in range(5)] == [(j, s[i, j]) for j in want]
+    assert chosen == [True, False]
